@@ -30,6 +30,7 @@ class BatchTable:
             rows.select(*self.columns)
             .hint("rebalance", self.date_column)
             .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
             .partitionBy(self.date_column)
             .parquet(f"{self.path}/batch_id={batch_id}")
         )
@@ -58,11 +59,17 @@ def compact(spark: SparkSession, tallies: BatchTable, path: str, since_batch: in
     """Rewrite, in the table at ``path``, the dates touched from ``since_batch`` on.
 
     Each touched date is rebuilt from all of its tallies and replaced as a whole, so a
-    repeated or interrupted run ends in the same table. Untouched dates are not read.
+    repeated or interrupted run ends in the same table. Dates outside the touched range
+    are not read: the range is two literals, which prune the folders.
     """
     every = tallies.read(spark)
     touched = every.where(F.col("batch_id") >= since_batch).select(F.col("dates").alias("touched")).distinct()
-    stale = every.join(touched, F.col("dates").eqNullSafe(F.col("touched")), "left_semi")
+    # as text: a saturated timestamp has a date beyond what Python can hold
+    span = touched.agg(F.min("touched").cast("string"), F.max("touched").cast("string")).first()
+    first, last = (F.lit(bound).cast("date") for bound in span)
+    stale = every.where(F.col("dates").between(first, last) | F.col("dates").isNull()).join(
+        touched, F.col("dates").eqNullSafe(F.col("touched")), "left_semi"
+    )
     (
         measures(merge(stale))
         .hint("rebalance", "dates")
