@@ -11,13 +11,13 @@ from tallyhour.functions import EPOCH, millis, op_code, saturating_instant
 from tallyhour.schemas import TRACKING, change_ddl
 
 
-def _wire(name: str) -> Column:
+def _wire(name: str) -> str:
     if name == "ts":
-        return millis(F.col("ts")).alias("ts")
+        return "unix_millis(`ts`)"
     if name == "bid":
         # widened, so the message carries the stored 32-bit value digit for digit
-        return F.col("bid").cast("float").cast("double").alias("bid")
-    return F.col(name).cast(TRACKING[name]).alias(name)
+        return "CAST(CAST(`bid` AS float) AS double)"
+    return f"CAST(`{name}` AS {TRACKING[name]})"
 
 
 def to_envelope(tracking: DataFrame, cursor: str | datetime | Column = EPOCH) -> DataFrame:
@@ -25,8 +25,9 @@ def to_envelope(tracking: DataFrame, cursor: str | datetime | Column = EPOCH) ->
 
     Every field of the row is written, missing ones as JSON null.
     """
+    fields = ", ".join(f"{_wire(name)} AS `{name}`" for name in TRACKING)
     payload = F.struct(
-        F.struct(*[_wire(name) for name in TRACKING]).alias("after"),
+        F.expr(f"struct({fields})").alias("after"),
         op_code(cursor).alias("op"),
         millis(F.current_timestamp()).alias("ts_ms"),
     )

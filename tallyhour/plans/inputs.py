@@ -8,7 +8,6 @@ and a campaign no event has, so that a leak of either would show.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyhour.schemas import JOB, PUBLISHER, TRACKING
 
@@ -18,8 +17,8 @@ _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, val
 _KIND_OF = {"click": "click", "purchase": "conversion", "signup": "qualified", "error": "unqualified"}
 
 
-def _fill(columns: dict[str, str], known: dict[str, str]) -> list:
-    return [F.expr(known.get(name, "NULL")).cast(kind).alias(name) for name, kind in columns.items()]
+def _fill(columns: dict[str, str], known: dict[str, str]) -> list[str]:
+    return [f"CAST({known.get(name, 'NULL')} AS {kind}) AS `{name}`" for name, kind in columns.items()]
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +36,14 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "uid": "user_id",
         "ed": "props",
     }
-    return events.select(*_fill(TRACKING, known))
+    return events.selectExpr(*_fill(TRACKING, known))
 
 
 def job(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"job_id": "c_custkey + 2", "company_id": "c_nationkey", "group_id": "99", "campaign_id": "98"}
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(*_fill(JOB, known))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*_fill(JOB, known))
 
 
 def publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"id": "s_suppkey + 2", "publisher_name": "s_name"}
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(*_fill(PUBLISHER, known))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*_fill(PUBLISHER, known))

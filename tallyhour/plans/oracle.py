@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
             "AS publisher_id, campaign_id, group_id, clicks"
         ),
         "envelope_build": _raw(
-            f"{_RAW.replace('campaign_id, group_id, ', '')}, CAST(29 AS INTEGER) AS n_fields, 'r' AS op, "
+            f"{_RAW}, CAST(29 AS INTEGER) AS n_fields, 'r' AS op, "
             "CAST(1 AS INTEGER) AS has_capture_time"
         ),
         "envelope_parse": whole_raw,

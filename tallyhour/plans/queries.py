@@ -25,7 +25,7 @@ from tallyhour.operators.rollup import ID_COLUMNS, default_dims, hourly, require
 from tallyhour.plans import inputs
 from tallyhour.plans.batch import deliver, hourly_events
 from tallyhour.plans.capture import run_increment
-from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, HOUR_KEYS, JOB, ROLLUP_FIELDS
+from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, HOUR_KEYS, JOB, ROLLUP_FIELDS, TRACKING
 from tallyhour.session import pin_utc, scratch
 from tallyhour.sinks.batches import BatchTable, compact, published, tally_table
 from tallyhour.sinks.cursor import CursorTable
@@ -267,27 +267,20 @@ def remap_publisher_keys(spark, sf_dir):
 
 @_query
 def envelope_build(spark, sf_dir):
-    value = F.col("value").cast("string")
-    after = F.get_json_object(value, "$.payload.after")
-    read = {
-        "create_time": "string",
-        "job_id": "int",
-        "ts": "bigint",
-        "custom_track": "string",
-        "publisher_id": "int",
-        "uid": "string",
-        "ed": "string",
-    }
-    fields = [
-        F.get_json_object(value, f"$.payload.after.{name}").cast(kind).alias("ts_millis" if name == "ts" else name)
-        for name, kind in read.items()
-    ]
-    return to_envelope(inputs.tracking(spark, sf_dir)).select(
-        *fields,
-        F.round(F.get_json_object(value, "$.payload.after.bid").cast("double"), 4).alias("bid"),
-        F.size(F.json_object_keys(after)).alias("n_fields"),
-        F.get_json_object(value, "$.payload.op").alias("op"),
-        F.get_json_object(value, "$.payload.ts_ms").isNotNull().cast("int").alias("has_capture_time"),
+    """Messages taken apart again level by level, without the parse schema."""
+    kinds = {name: kind for name, kind in TRACKING.items() if name in RAW} | {"ts": "bigint", "bid": "double"}
+    payload = F.get_json_object(F.col("value").cast("string"), "$.payload")
+    return (
+        to_envelope(inputs.tracking(spark, sf_dir))
+        .select(F.json_tuple(payload, "after", "op", "ts_ms").alias("after", "op", "ts_ms"))
+        .select("*", F.json_tuple("after", *kinds).alias(*kinds))
+        .withColumns({name: F.col(name).cast(kind) for name, kind in kinds.items()})
+        .select(
+            *[F.col("ts").alias("ts_millis") if name == "ts" else _comparable(name) for name in kinds],
+            F.size(F.json_object_keys("after")).alias("n_fields"),
+            "op",
+            F.col("ts_ms").isNotNull().cast("int").alias("has_capture_time"),
+        )
     )
 
 

@@ -14,26 +14,17 @@ from tallyhour.schemas import TALLY, ddl
 
 @dataclass(frozen=True)
 class BatchTable:
-    """Parquet below ``path``, one folder per ``batch_id``, split by date inside.
+    """Parquet below ``path``, one folder per ``batch_id``.
 
-    ``path`` must be on storage all executors share. The rebalance keeps a batch that
-    spans many dates from writing a file per task and date, and lets adaptive execution
-    split a date that holds most of the rows.
+    ``path`` must be on storage all executors share. A batch is written as it leaves the
+    rollup's shuffle, whose partitions adaptive execution has merged to file size.
     """
 
     path: str
     columns: dict[str, str]
-    date_column: str = "dates"
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        (
-            rows.select(*self.columns)
-            .hint("rebalance", self.date_column)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(self.date_column)
-            .parquet(f"{self.path}/batch_id={batch_id}")
-        )
+        rows.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All batches, with their ``batch_id``; an empty frame before the first."""
@@ -59,8 +50,10 @@ def compact(spark: SparkSession, tallies: BatchTable, path: str, since_batch: in
     """Rewrite, in the table at ``path``, the dates touched from ``since_batch`` on.
 
     Each touched date is rebuilt from all of its tallies and replaced as a whole, so a
-    repeated or interrupted run ends in the same table. Dates outside the touched range
-    are not read: the range is two literals, which prune the folders.
+    repeated or interrupted run ends in the same table. The touched range is two literals,
+    pushed to the scan: a live batch covers few dates, so the files of others are skipped.
+    The rebalance keeps the write from making a file per task and date, and lets adaptive
+    execution split a date that holds most of the rows.
     """
     every = tallies.read(spark)
     touched = every.where(F.col("batch_id") >= since_batch).select(F.col("dates").alias("touched")).distinct()

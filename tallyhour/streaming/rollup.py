@@ -37,6 +37,11 @@ def run_rollup(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        if not dedup_horizon:
+            if not batch.isEmpty():
+                sink(tally(batch), batch_id)
+            return
+        # each look at a deduplicated batch would run its state again, so keep the tallies
         tallies = tally(batch).persist()
         try:
             if not tallies.isEmpty():
