@@ -3,19 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A key and an int per row: about 64 MB as a broadcast hash table.
-BROADCAST_ROWS = 1_000_000
-
-
-def sized(dimension: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a narrow dimension counted to be small.
-
-    For sources whose size the planner cannot know, such as JDBC. Beyond ``max_rows`` the
-    frame is returned as it is and Spark shuffles the join, splitting skewed partitions.
-    """
-    return F.broadcast(dimension) if dimension.count() <= max_rows else dimension
+from tallyhour.operators.joins import sized
 
 
 def company_of(job: DataFrame) -> DataFrame:
@@ -27,9 +16,8 @@ def with_company(rollup: DataFrame, job: DataFrame, check_size: bool = False) ->
     """Left join on ``job_id``; rows of an unknown job stay, without a company.
 
     The rollup is aggregated before it gets here, so a job with a third of all events
-    brings only its hour keys. Spark's own size check picks broadcast or shuffle.
+    brings only its hour keys. Spark picks broadcast or shuffle by the size it knows;
+    ``check_size`` counts the dimension instead, for sources that do not tell theirs.
     """
     companies = company_of(job)
-    if check_size:
-        companies = sized(companies)
-    return rollup.join(companies, "job_id", "left")
+    return rollup.join(sized(companies) if check_size else companies, "job_id", "left")

@@ -11,22 +11,32 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhour.operators.joins import sized
+
 
 @dataclass(frozen=True)
 class Reference:
+    """Facts' ``column`` must be a ``key`` of ``dimension``.
+
+    ``check_size`` counts the keys to decide on a broadcast, for sources of unknown size.
+    """
+
     column: str
     dimension: DataFrame
     key: str
+    check_size: bool = False
 
 
 def mark(facts: DataFrame, reference: Reference, flag: str) -> DataFrame:
     """Add ``flag``: does the dimension hold the row's key, or is the key missing?
 
-    One left join, from which both halves of a split are filters. The distinct keeps
-    repeated dimension rows from multiplying facts and shares the join's own shuffle.
+    One left join, from which both halves of a split are filters. The referenced key is
+    unique, as a foreign key requires. Both sides reach a shuffled join straight from
+    their shuffle, which lets adaptive execution split a key that most facts share; a
+    distinct in between would prevent that.
     """
-    known = reference.dimension.select(F.col(reference.key).alias(reference.column)).distinct()
-    known = known.withColumn(flag, F.lit(True))
+    known = reference.dimension.select(F.col(reference.key).alias(reference.column))
+    known = (sized(known) if reference.check_size else known).withColumn(flag, F.lit(True))
     found = F.coalesce(F.col(flag), F.col(reference.column).isNull())
     return facts.join(known, reference.column, "left").withColumn(flag, found)
 
@@ -68,7 +78,7 @@ def nullify_deleted(facts: DataFrame, surviving: Reference) -> DataFrame:
 
 
 def remap_keys(facts: DataFrame, column: str, changes: DataFrame) -> DataFrame:
-    """Follow key changes given as ``(old_key, new_key)``; other keys stay."""
+    """Follow key changes given as ``(old_key, new_key)``, one per old key; other keys stay."""
     moves = changes.select(F.col("old_key").alias(column), F.col("new_key"))
     return (
         facts.join(moves, column, "left")

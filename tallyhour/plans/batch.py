@@ -40,9 +40,9 @@ def deliver(
         if quarantine is None:
             write(to_events_contract(rows), batch_id)
             return
-        references = [Reference("job_id", job, "job_id")]
+        references = [Reference("job_id", job, "job_id", check_size)]
         if load_publisher is not None:
-            references.append(Reference("publisher_id", load_publisher(), "id"))
+            references.append(Reference("publisher_id", load_publisher(), "id", check_size))
         marked = mark_all(rows, references).persist()
         try:
             write(to_events_contract(accepted(marked, *references)), batch_id)
