@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhour.operators.joins import BROADCAST_ROWS
 from tallyhour.operators.rollup import measures, merge
 from tallyhour.schemas import TALLY, ddl
 
@@ -58,8 +59,12 @@ def compact(spark: SparkSession, tallies: BatchTable, path: str, since_batch: in
     every = tallies.read(spark)
     touched = every.where(F.col("batch_id") >= since_batch).select(F.col("dates").alias("touched")).distinct()
     # as text: a saturated timestamp has a date beyond what Python can hold
-    span = touched.agg(F.min("touched").cast("string"), F.max("touched").cast("string")).first()
+    *span, n_dates = touched.agg(
+        F.min("touched").cast("string"), F.max("touched").cast("string"), F.count(F.lit(1))
+    ).first()
     first, last = (F.lit(bound).cast("date") for bound in span)
+    if n_dates <= BROADCAST_ROWS:
+        touched = F.broadcast(touched)
     stale = every.where(F.col("dates").between(first, last) | F.col("dates").isNull()).join(
         touched, F.col("dates").eqNullSafe(F.col("touched")), "left_semi"
     )
