@@ -19,8 +19,9 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--topic-format", default="kafka")
     parser.add_argument("--topic-option", action="append", default=[], metavar="KEY=VALUE")
     parser.add_argument("--cursor", required=True, help="shared folder of the scan cursor")
-    parser.add_argument("--overlap", default="10 minutes", help="how far back each scan looks for late rows")
-    parser.add_argument("--strict", action="store_true", help="scan ts > cursor only, without bound or overlap")
+    parser.add_argument("--settle", default="2 seconds", help="how late a row may arrive and still be sent")
+    parser.add_argument("--overlap", help="also send this stretch before the cursor again; needs deduplicating readers")
+    parser.add_argument("--strict", action="store_true", help="scan ts > cursor only, without settling time or overlap")
     parser.add_argument("--seconds", type=float, default=POLL_SECONDS, help="time between polls")
     parser.add_argument("--polls", type=int, help="stop after this many polls")
     return parser
@@ -39,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
             raw,
             cursors,
             lambda messages: publish(messages, topic, args.topic_format),
+            settle=args.settle,
             overlap=args.overlap,
             strict=args.strict,
         )

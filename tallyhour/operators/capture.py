@@ -16,20 +16,28 @@ def incremental_scan(
     tracking: DataFrame,
     cursor: Cursor,
     until: Cursor | None = None,
+    settle: str | None = None,
     overlap: str | None = None,
 ) -> DataFrame:
     """Rows after ``cursor``: ``ts > cursor``, never those without a ``ts``.
 
     ``until`` bounds the scan by the poll start, so a row dated in the future waits for
-    its time. ``overlap`` (an interval such as ``10 minutes``) reaches back before the
-    cursor for rows that arrived late; readers drop the copies by ``create_time``.
-    Both bounds are constants and reach the source as pushed filters.
+    its time. Rows may arrive after others with a later ``ts``. ``settle`` (an interval
+    such as ``2 seconds``) keeps that far behind ``until`` and so loses no row that is
+    late by less, at the price of as much delay. ``overlap`` instead reaches back before
+    the cursor, which sends that stretch again: readers drop the copies by
+    ``create_time``. All bounds are constants and reach the source as pushed filters.
     """
     after = instant(cursor)
     if overlap:
         after = after - F.expr(f"INTERVAL {overlap}")
     rows = tracking.where(F.col("ts") > after)
-    return rows if until is None else rows.where(F.col("ts") <= instant(until))
+    if until is None:
+        return rows
+    last = instant(until)
+    if settle:
+        last = last - F.expr(f"INTERVAL {settle}")
+    return rows.where(F.col("ts") <= last)
 
 
 def cursor_columns(cursor: Cursor, poll_start: Cursor, strict: bool = False) -> list[Column]:

@@ -30,6 +30,7 @@ def run_increment(
     cursors: CursorTable,
     publish: Callable[[DataFrame], None],
     poll_start: str | None = None,
+    settle: str | None = None,
     overlap: str | None = None,
     strict: bool = False,
 ) -> Increment:
@@ -38,7 +39,7 @@ def run_increment(
     Count and newest ``ts`` are observed on the rows as they are published, so the raw
     table is read once. The cursor is saved only after the publish returned: a crash in
     between sends rows again, which readers drop by ``create_time``. ``strict`` keeps to
-    a bare ``ts > cursor`` without an upper bound or overlap.
+    a bare ``ts > cursor`` without an upper bound, settling time or overlap.
     """
     spark = tracking.sparkSession
     poll_start = poll_start or datetime.now(timezone.utc).isoformat()
@@ -46,7 +47,7 @@ def run_increment(
     if strict:
         scan = incremental_scan(tracking, cursor)
     else:
-        scan = incremental_scan(tracking, cursor, until=poll_start, overlap=overlap)
+        scan = incremental_scan(tracking, cursor, until=poll_start, settle=settle, overlap=overlap)
     following, sent = cursor_columns(cursor, poll_start, strict)
     seen = Observation()
     publish(to_envelope(scan.observe(seen, iso_text(following).alias("next_cursor"), sent), cursor))

@@ -256,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_scan": _raw("create_time, job_id, epoch_us(ts) // 1000 AS ts_millis, 'r' AS op", "WHERE ts IS NOT NULL"),
         "bounded_scan": _raw(
             "create_time, epoch_us(ts) // 1000 AS ts_millis",
-            "WHERE ts > TIMESTAMP '2024-01-14 18:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00'",
+            "WHERE ts > TIMESTAMP '2024-01-14 18:00:00' AND ts <= TIMESTAMP '2024-01-20 10:00:00'",
         ),
         "op_code": "SELECT 'r' AS op, CAST(COUNT(*) AS BIGINT) AS n_messages FROM events UNION ALL "
         "SELECT 'c', CAST(COUNT(*) AS BIGINT) FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'",

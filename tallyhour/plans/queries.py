@@ -332,7 +332,7 @@ def snapshot_scan(spark, sf_dir):
 
 @_query
 def bounded_scan(spark, sf_dir):
-    rows = incremental_scan(inputs.tracking(spark, sf_dir), CURSOR, until="2024-01-20T12:00:00Z", overlap="6 hours")
+    rows = incremental_scan(inputs.tracking(spark, sf_dir), CURSOR, until="2024-01-20T12:00:00Z", settle="2 hours", overlap="6 hours")
     return _shown(rows, ["create_time", "ts"])
 
 

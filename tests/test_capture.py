@@ -135,6 +135,17 @@ def test_late_row_with_the_newest_ts(spark, tracking):
         assert names(distinct_changes(topic.changes())) == found
 
 
+def test_settling_time_waits_for_late_rows(spark, tracking):
+    """A row that arrives a second late is sent once, without copies of the others."""
+    topic, cursors = Topic(spark), CursorTable(scratch(spark, "cursor"))
+    first, late = event(ts="2025-10-02T10:00:00"), event(ts="2025-10-02T09:59:59.500")
+    run_increment(tracking(first), cursors, topic.publish, "2025-10-02T10:00:00.5Z", settle="2 seconds")
+    assert cursors.load(spark).startswith("1970")
+    run_increment(tracking(first, late), cursors, topic.publish, "2025-10-02T10:00:02Z", settle="2 seconds")
+    run_increment(tracking(first, late), cursors, topic.publish, "2025-10-02T10:00:09Z", settle="2 seconds")
+    assert names(topic.changes()) == ["t0", "t1"]
+
+
 def test_future_row_waits_for_its_time(spark, raw):
     topic, cursors = Topic(spark), CursorTable(scratch(spark, "cursor"))
     for poll_start in (POLL, "2025-10-05T00:00:01Z", "2025-10-10T00:00:00Z"):
