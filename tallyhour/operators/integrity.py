@@ -19,12 +19,14 @@ class Reference:
     """Facts' ``column`` must be a ``key`` of ``dimension``.
 
     ``check_size`` counts the keys to decide on a broadcast, for sources of unknown size.
+    ``carry`` names dimension columns to bring along, which saves a second join.
     """
 
     column: str
     dimension: DataFrame
     key: str
     check_size: bool = False
+    carry: tuple[str, ...] = ()
 
 
 def mark(facts: DataFrame, reference: Reference, flag: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mark(facts: DataFrame, reference: Reference, flag: str) -> DataFrame:
     their shuffle, which lets adaptive execution split a key that most facts share; a
     distinct in between would prevent that.
     """
-    known = reference.dimension.select(F.col(reference.key).alias(reference.column))
+    known = reference.dimension.select(F.col(reference.key).alias(reference.column), *reference.carry)
     known = (sized(known) if reference.check_size else known).withColumn(flag, F.lit(True))
     found = F.coalesce(F.col(flag), F.col(reference.column).isNull())
     return facts.join(known, reference.column, "left").withColumn(flag, found)

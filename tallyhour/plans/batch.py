@@ -31,16 +31,16 @@ def deliver(
 
     Dimensions are loaded anew for each batch, so a job added later is seen by later
     batches. With ``quarantine``, rows the target's foreign keys would refuse go there
-    rather than failing the batch.
+    rather than failing the batch; one join with the jobs then gives both the company and
+    the check.
     """
 
     def sink(tallies: DataFrame, batch_id: int) -> None:
-        job = load_job()
-        rows = with_company(measures(tallies), job, check_size)
+        rows = measures(tallies)
         if quarantine is None:
-            write(to_events_contract(rows), batch_id)
+            write(to_events_contract(with_company(rows, load_job(), check_size)), batch_id)
             return
-        references = [Reference("job_id", job, "job_id", check_size)]
+        references = [Reference("job_id", load_job(), "job_id", check_size, carry=("company_id",))]
         if load_publisher is not None:
             references.append(Reference("publisher_id", load_publisher(), "id", check_size))
         marked = mark_all(rows, references).persist()

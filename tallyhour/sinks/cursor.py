@@ -19,18 +19,16 @@ class CursorTable:
 
     path: str
 
-    def _slots(self) -> list[str]:
-        return [f"{self.path}/slot-{n}" for n in (0, 1)]
+    def _slot(self, n: int | str) -> str:
+        return f"{self.path}/slot-{n}"
 
     def _newest(self, spark: SparkSession) -> Row | None:
-        rows = []
-        for slot in self._slots():
-            try:
-                rows.append(spark.read.schema(_COLUMNS).json(slot).orderBy(F.desc("version")).first())
-            except AnalysisException as missing:
-                if missing.getCondition() != "PATH_NOT_FOUND":
-                    raise
-        return max((row for row in rows if row), key=lambda row: row.version, default=None)
+        try:
+            return spark.read.schema(_COLUMNS).json(self._slot("*")).orderBy(F.desc("version")).first()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def load(self, spark: SparkSession) -> str:
         """ISO-8601 text of the cursor; the epoch before the first save."""
@@ -42,4 +40,4 @@ class CursorTable:
         version = newest.version + 1 if newest else 0
         text = iso_text(parse_iso(F.lit(cursor)))
         row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), text.alias("last_scan_time"))
-        row.coalesce(1).write.mode("overwrite").json(self._slots()[version % 2])
+        row.coalesce(1).write.mode("overwrite").json(self._slot(version % 2))

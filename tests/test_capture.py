@@ -90,7 +90,7 @@ def test_a_save_cut_short_leaves_the_previous_cursor(spark):
     cursors.save(spark, "2025-10-01T00:00:00Z")
     cursors.save(spark, "2025-10-02T00:00:00Z")
     # what an overwrite leaves when it dies after clearing its folder
-    spark.createDataFrame([], "version bigint, last_scan_time string").write.mode("overwrite").json(cursors._slots()[0])
+    spark.createDataFrame([], "version bigint, last_scan_time string").write.mode("overwrite").json(cursors._slot(0))
     assert cursors.load(spark) == "2025-10-02T00:00:00.000000Z"
 
 

@@ -41,6 +41,13 @@ def test_missing_keys_are_valid_and_zero_is_a_key(spark, job):
     assert good.columns == ["publisher_id", "job_id"]
 
 
+def test_a_check_can_bring_columns_along(spark, job):
+    reference = Reference("job_id", job, "job_id", check_size=True, carry=("company_id",))
+    good, bad = split_by_reference(facts(spark), reference)
+    assert rows_of(good, "job_id", "company_id") == [(1, 10), (2, None), (None, None)]
+    assert rows_of(bad, "job_id", "company_id") == [(0, None), (9, None)]
+
+
 def test_deleted_keys_are_cleared(spark, job):
     cleared = nullify_deleted(facts(spark), Reference("job_id", job, "job_id"))
     assert rows_of(cleared, "job_id", "publisher_id") == sorted(
