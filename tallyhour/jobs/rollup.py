@@ -56,10 +56,11 @@ def main(argv: list[str] | None = None) -> None:
         return jdbc_dimension(spark, jdbc, "SELECT id FROM master_publisher")
 
     write = BatchTable(args.events_path, fact).write if args.events_path else jdbc_sink(jdbc)
-    quarantine = None
+    quarantine = landing = None
     if args.quarantine_path:
         quarantine = _stamped(BatchTable(args.quarantine_path, {**fact, "failed_reference": "string"}))
-    sink = deliver(load_job, write, load_publisher, quarantine, check_size=True)
+        landing = args.quarantine_path.rstrip("/") + "-landing"
+    sink = deliver(load_job, write, load_publisher, quarantine, landing, check_size=True)
     trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger} if args.trigger else {}
     topic = topic_stream(spark, option_map(args.topic_option), args.topic_format)
     run_rollup(topic, sink, args.checkpoint, args.dedup_horizon, **trigger).awaitTermination()

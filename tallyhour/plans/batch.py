@@ -25,6 +25,7 @@ def deliver(
     write: BatchSink,
     load_publisher: Loader | None = None,
     quarantine: BatchSink | None = None,
+    landing: str | None = None,
     check_size: bool = False,
 ) -> BatchSink:
     """A micro-batch sink: tallies to fact rows, with references checked if asked.
@@ -32,22 +33,24 @@ def deliver(
     Dimensions are loaded anew for each batch, so a job added later is seen by later
     batches. With ``quarantine``, rows the target's foreign keys would refuse go there
     rather than failing the batch; one join with the jobs then gives both the company and
-    the check.
+    the check. Accepted and refused rows are both read from ``landing``, a folder of this
+    query on shared storage that each batch overwrites, so the batch is computed once.
     """
+    if quarantine is None:
+        return lambda tallies, batch_id: write(
+            to_events_contract(with_company(measures(tallies), load_job(), check_size)), batch_id
+        )
+    if landing is None:
+        raise ValueError("a quarantine needs a landing folder")
 
     def sink(tallies: DataFrame, batch_id: int) -> None:
-        rows = measures(tallies)
-        if quarantine is None:
-            write(to_events_contract(with_company(rows, load_job(), check_size)), batch_id)
-            return
         references = [Reference("job_id", load_job(), "job_id", check_size, carry=("company_id",))]
         if load_publisher is not None:
             references.append(Reference("publisher_id", load_publisher(), "id", check_size))
-        marked = mark_all(rows, references).persist()
-        try:
-            write(to_events_contract(accepted(marked, *references)), batch_id)
-            quarantine(rejected(marked, *references), batch_id)
-        finally:
-            marked.unpersist()
+        marked = mark_all(measures(tallies), references)
+        marked.write.mode("overwrite").parquet(landing)
+        landed = tallies.sparkSession.read.schema(marked.schema).parquet(landing)
+        write(to_events_contract(accepted(landed, *references)), batch_id)
+        quarantine(rejected(landed, *references), batch_id)
 
     return sink

@@ -274,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_publish": whole_raw,
         "stream_deltas_compacted": whole_rollup,
         "stream_replay_idempotent": whole_rollup,
+        "stream_deduped": whole_rollup,
         "compacted_table": whole_rollup,
         "stream_events_appended": _facts(
             f"{_KEYS}, company_id, {_ADDED_UP}", f"{_COMPANY} WHERE {_KNOWN_JOB} AND {_KNOWN_PUBLISHER}"

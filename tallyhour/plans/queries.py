@@ -432,11 +432,13 @@ def deduped_changes(spark, sf_dir):
 # Streams
 
 
-def _topic_files(spark: SparkSession, sf_dir: str, slices: int = 3) -> dict[str, str]:
+def _topic_files(spark: SparkSession, sf_dir: str, slices: int = 3, copies: int = 1) -> dict[str, str]:
     """All messages as files in slices that cut across hours; options for that many batches."""
     path = scratch(spark, "topic")
     messages = to_envelope(inputs.tracking(spark, sf_dir))
-    messages.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(slices))).write.partitionBy("slice").parquet(path)
+    sliced = messages.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(slices)))
+    for _ in range(copies):
+        sliced.write.partitionBy("slice").mode("append").parquet(path)
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     return {"path": path, "maxBytesPerTrigger": str(ceil(size / slices))}
 
@@ -500,6 +502,16 @@ def stream_replay_idempotent(spark, sf_dir):
     return _shown(published(spark, table), HOUR_KEYS + MEASURES)
 
 
+@_query
+def stream_deduped(spark, sf_dir):
+    """Every message is delivered twice, the copies in batches of their own."""
+    folder = scratch(spark, "redelivered")
+    table = tally_table(f"{folder}/tallies")
+    options = _topic_files(spark, sf_dir, copies=2)
+    run_to_end(topic_stream(spark, options, "parquet"), table.write, f"{folder}/checkpoint", dedup_horizon="1 day")
+    return _shown(published(spark, table), HOUR_KEYS + MEASURES)
+
+
 @_query
 def compacted_table(spark, sf_dir):
     """A partitioned table rebuilt twice, the second time for the last batch's dates."""
@@ -520,6 +532,7 @@ def _stream_events(spark, sf_dir):
         good.write,
         lambda: inputs.publisher(spark, sf_dir),
         lambda rows, batch_id: bad.write(rows.withColumn("updated_at", F.current_timestamp()), batch_id),
+        f"{folder}/landing",
         check_size=True,
     )
     run_to_end(topic_stream(spark, _topic_files(spark, sf_dir), "parquet"), sink, f"{folder}/checkpoint")

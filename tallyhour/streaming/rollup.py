@@ -29,6 +29,9 @@ def run_rollup(
 ) -> StreamingQuery:
     """Start the query; ``sink(tallies, batch_id)`` receives each batch that has rows.
 
+    The tallies are not cached, which would also fix their number of partitions: a sink
+    that needs them twice writes them down first, as ``deliver`` does.
+
     No watermark guards the hours: an event of any age joins the batch it arrives in, and
     one hour key may appear in many batches. The checkpoint is mandatory, and an error in
     the sink stops the query, so a restart repeats that batch. The sink must therefore be
@@ -37,17 +40,9 @@ def run_rollup(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if not dedup_horizon:
-            if not batch.isEmpty():
-                sink(tally(batch), batch_id)
-            return
-        # each look at a deduplicated batch would run its state again, so keep the tallies
-        tallies = tally(batch).persist()
-        try:
-            if not tallies.isEmpty():
-                sink(tallies, batch_id)
-        finally:
-            tallies.unpersist()
+        # looking into a deduplicated batch would run its state once more
+        if dedup_horizon or not batch.isEmpty():
+            sink(tally(batch), batch_id)
 
     writer = changes_of(topic, dedup_horizon).writeStream.foreachBatch(on_batch)
     if trigger:

@@ -122,6 +122,30 @@ def test_dimension_is_read_anew_and_rows_are_not_filled_later(spark, pipeline, t
     assert rows_of(fact.read(spark), "batch_id", "job_id", "company_id", "clicks") == [(0, 1, None, 1), (1, 1, 10, 1)]
 
 
+def test_a_batch_leaves_few_files_at_any_shuffle_width(spark, pipeline, tracking, conf):
+    conf(spark__sql__shuffle__partitions="64")
+    pipeline.send(tracking(*[event(job=n) for n in range(200)]))
+    fact = BatchTable(f"{pipeline.folder}/events", FACT)
+    refused = BatchTable(f"{pipeline.folder}/refused", {**FACT, "failed_reference": "string"})
+    jobs = spark.range(100).selectExpr("CAST(id AS int) AS job_id", "1 AS company_id")
+
+    def sink(tallies, batch_id):
+        pipeline.tallies.write(tallies, batch_id)
+        stamped = lambda rows, n: refused.write(rows.selectExpr("*", "current_timestamp() AS updated_at"), n)
+        deliver(lambda: jobs, fact.write, quarantine=stamped, landing=f"{pipeline.folder}/landing")(tallies, batch_id)
+
+    pipeline.run(sink)
+    for table, n_rows in ((pipeline.tallies, 200), (fact, 100), (refused, 100)):
+        rows = table.read(spark)
+        assert rows.count() == n_rows
+        assert len(rows.inputFiles()) <= 4
+
+
+def test_quarantine_needs_a_landing_folder():
+    with pytest.raises(ValueError):
+        deliver(lambda: None, lambda rows, n: None, quarantine=lambda rows, n: None)
+
+
 def test_live_trigger_and_wait(spark, pipeline, tracking):
     pipeline.send(tracking(event()))
     query = run_rollup(pipeline.topic(), pipeline.tallies.write, f"{pipeline.folder}/checkpoint", processingTime="100 milliseconds")
