@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyhour.jobs.options import option_map
 from tallyhour.plans.batch import BatchSink, deliver
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, PUBLISHER
-from tallyhour.session import build
+from tallyhour.session import build, for_state
 from tallyhour.sinks.batches import BatchTable
 from tallyhour.sinks.jdbc import jdbc_sink
 from tallyhour.sources.dimension import jdbc_dimension, stored_dimension
@@ -44,6 +44,8 @@ def _stamped(table: BatchTable) -> BatchSink:
 def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = build("tallyhour-rollup")
+    if args.dedup_horizon:
+        spark = for_state(spark)
     jdbc = option_map(args.jdbc_option)
     fact = {name: EVENTS[name] for name in [*EVENTS_WRITTEN, "updated_at"]}
 

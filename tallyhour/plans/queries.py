@@ -26,7 +26,7 @@ from tallyhour.plans import inputs
 from tallyhour.plans.batch import deliver, hourly_events
 from tallyhour.plans.capture import run_increment
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, HOUR_KEYS, JOB, ROLLUP_FIELDS, TRACKING
-from tallyhour.session import pin_utc, scratch
+from tallyhour.session import for_state, pin_utc, scratch
 from tallyhour.sinks.batches import BatchTable, compact, published, tally_table
 from tallyhour.sinks.cursor import CursorTable
 from tallyhour.sinks.jdbc import append_once
@@ -507,8 +507,8 @@ def stream_deduped(spark, sf_dir):
     """Every message is delivered twice, the copies in batches of their own."""
     folder = scratch(spark, "redelivered")
     table = tally_table(f"{folder}/tallies")
-    options = _topic_files(spark, sf_dir, copies=2)
-    run_to_end(topic_stream(spark, options, "parquet"), table.write, f"{folder}/checkpoint", dedup_horizon="1 day")
+    topic = topic_stream(for_state(spark), _topic_files(spark, sf_dir, copies=2), "parquet")
+    run_to_end(topic, table.write, f"{folder}/checkpoint", dedup_horizon="1 day")
     return _shown(published(spark, table), HOUR_KEYS + MEASURES)
 
 

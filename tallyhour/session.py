@@ -42,6 +42,17 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def for_state(spark: SparkSession) -> SparkSession:
+    """A session for a query that keeps state: as many partitions as the cluster has cores.
+
+    The first start of such a query fixes its partitions for good, and each holds a store
+    to commit in every batch; adaptive execution does not merge them.
+    """
+    session = pin_utc(spark.newSession())
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return session
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

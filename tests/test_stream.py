@@ -202,7 +202,8 @@ def test_kafka_defaults_to_the_earliest_offset(monkeypatch):
     }
 
 
-def test_programs_from_raw_table_to_fact(spark, tracking):
+@pytest.mark.parametrize("dedup", [[], ["--dedup-horizon", "1 hour"]])
+def test_programs_from_raw_table_to_fact(spark, tracking, dedup):
     folder = scratch(spark, "jobs")
     tracking(event(), event(job=9), event(publisher=None), event(job=2, kind="qualified")).write.parquet(f"{folder}/raw")
     spark.createDataFrame([(1, 10, 0, 0), (2, 20, 0, 0)], ddl(JOB)).write.parquet(f"{folder}/job")
@@ -216,7 +217,7 @@ def test_programs_from_raw_table_to_fact(spark, tracking):
     rollup_job.main(
         ["--topic-format", "parquet", "--topic-option", f"path={folder}/topic", "--checkpoint", f"{folder}/cp",
          "--job-path", f"{folder}/job", "--publisher-path", f"{folder}/publisher", "--events-path", f"{folder}/events",
-         "--quarantine-path", f"{folder}/bad", "--once"]
+         "--quarantine-path", f"{folder}/bad", "--once", *dedup]
     )
     good = BatchTable(f"{folder}/events", FACT).read(spark)
     bad = BatchTable(f"{folder}/bad", {**FACT, "failed_reference": "string"}).read(spark)
