@@ -42,6 +42,7 @@ HEADLINE = [
     "stream_parse",
     "stream_deltas_compacted",
     "stream_replay_idempotent",
+    "stream_deduped",
     "compacted_table",
     "stream_events_appended",
     "table_append_with_defaults",
@@ -74,7 +75,7 @@ def small_batches(spark: SparkSession, sf_dir: str, records: int = 50, batches:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build(
         "bench",
         f"local[{cpus}]",

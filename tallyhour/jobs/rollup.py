@@ -12,7 +12,7 @@ from tallyhour.plans.batch import BatchSink, deliver
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, PUBLISHER
 from tallyhour.session import build, for_state
 from tallyhour.sinks.batches import BatchTable
-from tallyhour.sinks.jdbc import jdbc_sink
+from tallyhour.sinks.jdbc import jdbc_plain_sink, jdbc_sink
 from tallyhour.sources.dimension import jdbc_dimension, stored_dimension
 from tallyhour.sources.topic import topic_stream
 from tallyhour.streaming.rollup import run_rollup
@@ -24,6 +24,10 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--topic-option", action="append", default=[], metavar="KEY=VALUE")
     parser.add_argument("--checkpoint", required=True, help="shared folder of the query's progress")
     parser.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE", help="url, driver, user, password")
+    parser.add_argument("--jdbc-table", default="events")
+    parser.add_argument("--jdbc-connections", type=int, default=8, help="parallel writers")
+    parser.add_argument("--dates-as-text", action="store_true", help="for a target that keeps dates as text")
+    parser.add_argument("--plain-append", action="store_true", help="for a target without batch_id; replays append again")
     parser.add_argument("--job-path", help="job dimension as parquet, instead of over JDBC")
     parser.add_argument("--publisher-path", help="publisher dimension as parquet, instead of over JDBC")
     parser.add_argument("--events-path", help="fact table as parquet batches, instead of over JDBC")
@@ -57,7 +61,11 @@ def main(argv: list[str] | None = None) -> None:
             return stored_dimension(spark, args.publisher_path, PUBLISHER)
         return jdbc_dimension(spark, jdbc, "SELECT id FROM master_publisher")
 
-    write = BatchTable(args.events_path, fact).write if args.events_path else jdbc_sink(jdbc)
+    if args.events_path:
+        write = BatchTable(args.events_path, fact).write
+    else:
+        jdbc_target = jdbc_plain_sink if args.plain_append else jdbc_sink
+        write = jdbc_target(jdbc, args.jdbc_table, args.jdbc_connections, args.dates_as_text)
     quarantine = landing = None
     if args.quarantine_path:
         quarantine = _stamped(BatchTable(args.quarantine_path, {**fact, "failed_reference": "string"}))

@@ -9,15 +9,9 @@ from tallyhour.schemas import EVENTS, EVENTS_DEFAULTS, EVENTS_WRITTEN
 from tallyhour.session import scratch
 
 
-def to_events_contract(enriched: DataFrame, dates_as_text: bool = False) -> DataFrame:
-    """The written columns in order, then the load time.
-
-    ``dates_as_text`` renders ``yyyy-MM-dd`` for targets that keep the date as text.
-    """
-    rows = enriched.select(*EVENTS_WRITTEN)
-    if dates_as_text:
-        rows = rows.withColumn("dates", F.col("dates").cast("string"))
-    return rows.withColumn("updated_at", F.current_timestamp())
+def to_events_contract(enriched: DataFrame) -> DataFrame:
+    """The written columns in order, then the load time."""
+    return enriched.select(*EVENTS_WRITTEN).withColumn("updated_at", F.current_timestamp())
 
 
 def with_table_defaults(rows: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ from tallyhour.operators.capture import incremental_scan, next_cursor
 from tallyhour.operators.contract import events_rows, to_events_contract
 from tallyhour.operators.dedup import distinct_changes
 from tallyhour.operators.enrich import with_company
-from tallyhour.operators.envelope import parse_envelope, read_changes, to_envelope
+from tallyhour.operators.envelope import read_changes, to_envelope
 from tallyhour.operators.integrity import Reference, nullify_deleted, remap_keys, split_by_reference
-from tallyhour.operators.rollup import ID_COLUMNS, default_dims, hourly, require_job, tally, with_hour
+from tallyhour.operators.rollup import ID_COLUMNS, default_dims, hourly, require_job, with_hour
 from tallyhour.plans import inputs
 from tallyhour.plans.batch import deliver, hourly_events
 from tallyhour.plans.capture import run_increment
@@ -610,7 +610,8 @@ def stored_tables(spark, sf_dir):
         filled = table.agg(*[F.count(column).alias(column) for column in columns])
         per_column = filled.unpivot([], list(columns), "column_name", "filled")
         kind_of = F.create_map(*[F.lit(part) for item in kinds.items() for part in item])
-        described.append(per_column.select(F.lit(name).alias("table_name"), "column_name", kind_of[F.col("column_name")].alias("column_type"), "filled"))
+        kind = kind_of[F.col("column_name")].alias("column_type")
+        described.append(per_column.select(F.lit(name).alias("table_name"), "column_name", kind, "filled"))
     first, *rest = described
     for frame in rest:
         first = first.unionByName(frame)

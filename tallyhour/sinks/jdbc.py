@@ -59,15 +59,34 @@ def append_once(
     append(tagged if stored.isEmpty() else missing_rows(tagged, stored))
 
 
-def jdbc_sink(connection: dict[str, str], table: str = "events", connections: int = 8) -> Callable[[DataFrame, int], None]:
+def jdbc_sink(
+    connection: dict[str, str],
+    table: str = "events",
+    connections: int = 8,
+    dates_as_text: bool = False,
+) -> Callable[[DataFrame, int], None]:
     """A micro-batch sink over JDBC; its rows are appended once however often they replay."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
         append_once(
-            rows,
+            _dates(rows, dates_as_text),
             batch_id,
             lambda batch: jdbc_batch_keys(rows.sparkSession, connection, table, batch),
             lambda chosen: jdbc_append(chosen, connection, table, connections),
         )
 
     return write
+
+
+def jdbc_plain_sink(
+    connection: dict[str, str],
+    table: str = "events",
+    connections: int = 8,
+    dates_as_text: bool = False,
+) -> Callable[[DataFrame, int], None]:
+    """A micro-batch sink for a target without ``batch_id``: a replay appends again."""
+    return lambda rows, batch_id: jdbc_append(_dates(rows, dates_as_text), connection, table, connections)
+
+
+def _dates(rows: DataFrame, as_text: bool) -> DataFrame:
+    return rows.withColumn("dates", F.col("dates").cast("string")) if as_text else rows

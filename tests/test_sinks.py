@@ -33,11 +33,6 @@ def test_written_columns_in_order(contract):
     assert dict(rows.dtypes) == {name: kind for name, kind in EVENTS.items() if name in rows.columns}
 
 
-def test_dates_as_text(contract):
-    rows = to_events_contract(contract(event()), dates_as_text=True)
-    assert rows_of(rows, "dates") == [("2025-10-01",)]
-
-
 def test_defaults_fill_only_what_is_missing(contract):
     rows = with_table_defaults(contract(event()).withColumn("sources", F.lit("Log File")))
     assert rows_of(rows, "sources") == [("Log File",)]
@@ -106,7 +101,8 @@ def test_compaction_of_dates_beyond_python(spark, tracking):
     table.write(far, 0)
     compact(spark, table, f"{folder}/events")
     assert published(spark, table).selectExpr("year(dates)").first()[0] == 294247
-    assert spark.read.schema(ddl({"clicks": "bigint", "dates": "date"})).parquet(f"{folder}/events").selectExpr("year(dates)").first()[0] == 294247
+    stored = spark.read.schema(ddl({"clicks": "bigint", "dates": "date"})).parquet(f"{folder}/events")
+    assert stored.selectExpr("year(dates)").first()[0] == 294247
 
 
 def test_append_once_adds_what_is_missing(spark, contract):
@@ -198,6 +194,20 @@ def test_jdbc_append_options():
     assert Rows.write.calls == {"format": "jdbc", "dbtable": "events", "numPartitions": 4, "mode": "append", **CONNECTION}
 
 
+def test_jdbc_sinks(monkeypatch, contract):
+    rows, sent = contract(event(), event(ts=None)), []
+    monkeypatch.setattr(jdbc, "jdbc_append", lambda chosen, *rest: sent.append((chosen, rest)))
+    monkeypatch.setattr(jdbc, "jdbc_batch_keys", lambda *_: rows.where("hours = 10").select(*HOUR_KEYS))
+    jdbc.jdbc_sink(CONNECTION, "facts", 2)(rows, 4)
+    jdbc.jdbc_plain_sink(CONNECTION, dates_as_text=True)(rows, 4)
+    (once, once_to), (plain, plain_to) = sent
+    assert rows_of(once, "dates", "clicks", "batch_id") == [(None, 1, 4)]
+    assert once_to == (CONNECTION, "facts", 2)
+    assert plain.columns == [*EVENTS_WRITTEN, "updated_at"]
+    assert rows_of(plain, "dates") == [("2025-10-01",), (None,)]
+    assert plain_to == (CONNECTION, "events", 8)
+
+
 def test_jdbc_batch_keys_query():
     session = Recorder()
     jdbc.jdbc_batch_keys(session, CONNECTION, "events", 12)
