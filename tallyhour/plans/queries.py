@@ -305,7 +305,7 @@ def bad_records_dropped(spark, sf_dir):
         .when(number == 7, F.regexp_replace("text", '"bid":[^,]*', '"bid":"x"'))
         .otherwise(F.col("text"))
     )
-    changes = read_changes(messages.select(damaged.cast("binary").alias("value")), ROLLUP_FIELDS)
+    changes = read_changes(messages.select(damaged.cast("binary").alias("value")), ["create_time", *ROLLUP_FIELDS])
     return _shown(require_job(changes), ["create_time", "job_id", "custom_track", "bid", "ts"])
 
 

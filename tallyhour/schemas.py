@@ -110,7 +110,7 @@ KINDS = {
 HOUR_KEYS = ["job_id", "dates", "hours", "publisher_id", "campaign_id", "group_id"]
 
 # What the rollup reads. Nested columns are not pruned out of a JSON parse, so the rollup names them.
-ROLLUP_FIELDS = ["create_time", "bid", "campaign_id", "custom_track", "group_id", "job_id", "publisher_id", "ts"]
+ROLLUP_FIELDS = ["bid", "campaign_id", "custom_track", "group_id", "job_id", "publisher_id", "ts"]
 
 # Mergeable state of one hour key: every measure of EVENTS can be computed from sums of these.
 TALLY = {

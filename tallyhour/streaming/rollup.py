@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyhour.operators.dedup import distinct_stream
+from tallyhour.operators.dedup import KEY, distinct_stream
 from tallyhour.operators.envelope import read_changes
 from tallyhour.operators.rollup import tally
 from tallyhour.plans.batch import BatchSink
@@ -16,8 +16,9 @@ from tallyhour.schemas import ROLLUP_FIELDS
 
 def changes_of(topic: DataFrame, dedup_horizon: str | None = None) -> DataFrame:
     """The rollup's columns of each change; copies within ``dedup_horizon`` dropped."""
-    changes = read_changes(topic, ROLLUP_FIELDS)
-    return distinct_stream(changes, dedup_horizon) if dedup_horizon else changes
+    if not dedup_horizon:
+        return read_changes(topic, ROLLUP_FIELDS)
+    return distinct_stream(read_changes(topic, [KEY, *ROLLUP_FIELDS]), dedup_horizon)
 
 
 def run_rollup(
