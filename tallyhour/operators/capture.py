@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhour.functions import instant
+from tallyhour.functions import instant, iso_text
 
 Cursor = str | datetime | Column
 
@@ -40,6 +40,17 @@ def incremental_scan(
     return rows.where(F.col("ts") <= last)
 
 
+def first_span(scan: DataFrame, span: str) -> DataFrame:
+    """The rows of a scan within ``span`` (an interval) of its earliest ``ts``.
+
+    Finding that ``ts`` reads one column; as a literal it then bounds the scan itself.
+    """
+    earliest = scan.agg(iso_text(F.min("ts")).alias("ts")).first().ts
+    if earliest is None:
+        return scan
+    return scan.where(F.col("ts") <= instant(earliest) + F.expr(f"INTERVAL {span}"))
+
+
 def cursor_columns(cursor: Cursor, poll_start: Cursor, strict: bool = False) -> list[Column]:
     """Aggregates of a scan: the next cursor and the number of rows.
 

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation
 
 from tallyhour.functions import iso_text
-from tallyhour.operators.capture import cursor_columns, incremental_scan
+from tallyhour.operators.capture import cursor_columns, first_span, incremental_scan
 from tallyhour.operators.envelope import to_envelope
 from tallyhour.sinks.cursor import CursorTable
 
@@ -32,13 +32,16 @@ def run_increment(
     poll_start: str | None = None,
     settle: str | None = None,
     overlap: str | None = None,
+    span: str | None = None,
     strict: bool = False,
 ) -> Increment:
     """Publish everything after the stored cursor and store the next one.
 
     Count and newest ``ts`` are observed on the rows as they are published, so the raw
     table is read once. The cursor is saved only after the publish returned: a crash in
-    between sends rows again, which readers drop by ``create_time``. ``strict`` keeps to
+    between sends rows again, which readers drop by ``create_time``. ``span`` limits an
+    increment to that much time, so that the first scan of a long table stores its
+    progress on the way; rows are then sent by later increments. ``strict`` keeps to
     a bare ``ts > cursor`` without an upper bound, settling time or overlap.
     """
     spark = tracking.sparkSession
@@ -48,6 +51,8 @@ def run_increment(
         scan = incremental_scan(tracking, cursor)
     else:
         scan = incremental_scan(tracking, cursor, until=poll_start, settle=settle, overlap=overlap)
+    if span:
+        scan = first_span(scan, span)
     following, sent = cursor_columns(cursor, poll_start, strict)
     seen = Observation()
     publish(to_envelope(scan.observe(seen, iso_text(following).alias("next_cursor"), sent), cursor))

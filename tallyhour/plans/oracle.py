@@ -176,6 +176,21 @@ def _cursor_rules() -> str:
     return " UNION ALL ".join(cases)
 
 
+def _increments_by_span() -> str:
+    return """
+    WITH s0 AS (SELECT MAX(ts) AS c, COUNT(*) AS n FROM events
+                WHERE ts <= (SELECT MIN(ts) FROM events) + INTERVAL 10 DAY),
+         s1 AS (SELECT MAX(ts) AS c, COUNT(*) AS n FROM events
+                WHERE ts > (SELECT c FROM s0)
+                  AND ts <= (SELECT MIN(ts) FROM events WHERE ts > (SELECT c FROM s0)) + INTERVAL 10 DAY),
+         s2 AS (SELECT MAX(ts) AS c, COUNT(*) AS n FROM events
+                WHERE ts > (SELECT c FROM s1)
+                  AND ts <= (SELECT MIN(ts) FROM events WHERE ts > (SELECT c FROM s1)) + INTERVAL 10 DAY)
+    SELECT CAST(0 AS INTEGER) AS step, epoch_us(c) AS cursor_micros, CAST(n AS BIGINT) AS sent FROM s0
+    UNION ALL SELECT 1, epoch_us(c), CAST(n AS BIGINT) FROM s1
+    UNION ALL SELECT 2, epoch_us(c), CAST(n AS BIGINT) FROM s2"""
+
+
 def oracle_sql() -> dict[str, str]:
     whole_rollup = _facts(f"{_KEYS}, {_MEASURES}")
     whole_raw = _raw(_RAW)
@@ -266,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
             "create_time, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS cursor_text, epoch_us(ts) AS cursor_micros"
         ),
         "cursor_round_trip": whole_raw,
+        "increments_by_span": _increments_by_span(),
         "stored_cursor": "SELECT epoch_us(MAX(ts)) AS cursor_micros, "
         "CAST(COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') AS BIGINT) AS first_sent, "
         "CAST(COUNT(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00') AS BIGINT) AS second_sent FROM events",

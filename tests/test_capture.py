@@ -146,6 +146,14 @@ def test_settling_time_waits_for_late_rows(spark, tracking):
     assert names(topic.changes()) == ["t0", "t1"]
 
 
+def test_a_long_scan_in_spans(spark, raw):
+    topic, cursors = Topic(spark), CursorTable(scratch(spark, "cursor"))
+    steps = [run_increment(raw, cursors, topic.publish, "2025-10-10T00:00:00Z", span="12 hours") for _ in range(4)]
+    assert [step.sent for step in steps] == [1, 2, 1, 0]
+    assert steps[3].next_cursor == "2025-10-09T00:00:00.000000Z"
+    assert names(topic.changes()) == ["t0", "t1", "t2", "t4"]
+
+
 def test_future_row_waits_for_its_time(spark, raw):
     topic, cursors = Topic(spark), CursorTable(scratch(spark, "cursor"))
     for poll_start in (POLL, "2025-10-05T00:00:01Z", "2025-10-10T00:00:00Z"):
