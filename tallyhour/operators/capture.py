@@ -40,12 +40,13 @@ def incremental_scan(
     return rows.where(F.col("ts") <= last)
 
 
-def first_span(scan: DataFrame, span: str) -> DataFrame:
-    """The rows of a scan within ``span`` (an interval) of its earliest ``ts``.
+def first_span(scan: DataFrame, cursor: Cursor, span: str) -> DataFrame:
+    """The rows of a scan up to ``span`` (an interval) past its earliest ``ts`` after ``cursor``.
 
-    Finding that ``ts`` reads one column; as a literal it then bounds the scan itself.
+    Finding that ``ts`` reads one column; as a literal it then bounds the scan itself. Rows
+    of an overlap lie before the cursor and do not count, or the cursor might never move.
     """
-    earliest = scan.agg(iso_text(F.min("ts")).alias("ts")).first().ts
+    earliest = scan.where(F.col("ts") > instant(cursor)).agg(iso_text(F.min("ts")).alias("ts")).first().ts
     if earliest is None:
         return scan
     return scan.where(F.col("ts") <= instant(earliest) + F.expr(f"INTERVAL {span}"))

@@ -52,7 +52,7 @@ def run_increment(
     else:
         scan = incremental_scan(tracking, cursor, until=poll_start, settle=settle, overlap=overlap)
     if span:
-        scan = first_span(scan, span)
+        scan = first_span(scan, cursor, span)
     following, sent = cursor_columns(cursor, poll_start, strict)
     seen = Observation()
     publish(to_envelope(scan.observe(seen, iso_text(following).alias("next_cursor"), sent), cursor))

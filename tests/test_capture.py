@@ -154,6 +154,14 @@ def test_a_long_scan_in_spans(spark, raw):
     assert names(topic.changes()) == ["t0", "t1", "t2", "t4"]
 
 
+def test_spans_advance_under_a_longer_overlap(spark, raw):
+    topic, cursors = Topic(spark), CursorTable(scratch(spark, "cursor"))
+    for _ in range(4):
+        run_increment(raw, cursors, topic.publish, "2025-10-10T00:00:00Z", overlap="30 days", span="1 hour")
+    assert cursors.load(spark) == "2025-10-09T00:00:00.000000Z"
+    assert names(distinct_changes(topic.changes())) == ["t0", "t1", "t2", "t4"]
+
+
 def test_future_row_waits_for_its_time(spark, raw):
     topic, cursors = Topic(spark), CursorTable(scratch(spark, "cursor"))
     for poll_start in (POLL, "2025-10-05T00:00:01Z", "2025-10-10T00:00:00Z"):
