@@ -10,6 +10,8 @@ from tempfile import mkdtemp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhour.llm import mix_sources as mixing
+from tallyhour.llm import url_filters as urls
 from tallyhour.llm.best_fit_packing import best_fit_packing
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
 from tallyhour.llm.quality_rules import quality_rules
@@ -33,6 +35,10 @@ def ship(spark: SparkSession) -> None:
     context._tallyhour_shipped = True
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filters(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -50,11 +56,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: list[Query] = [
+    op1_url_filters,
     op2_ngram_jaccard_join,
     op6_best_fit_packing,
     op7_quality_rules,
     op8_token_counts,
+    op10_mix_sources,
 ]
 
 
@@ -71,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": urls.ORACLE_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
