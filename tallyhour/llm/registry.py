@@ -10,6 +10,7 @@ from tempfile import mkdtemp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhour.llm import exact_topk as topk
 from tallyhour.llm import mix_sources as mixing
 from tallyhour.llm import url_filters as urls
 from tallyhour.llm.best_fit_packing import best_fit_packing
@@ -56,6 +57,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings")).drop("query_row")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ _QUERIES: list[Query] = [
     op6_best_fit_packing,
     op7_quality_rules,
     op8_token_counts,
+    op9_exact_topk,
     op10_mix_sources,
 ]
 
@@ -83,4 +89,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": urls.ORACLE_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
+    return {
+        "op1_url_filters": urls.ORACLE_SQL,
+        "op9_exact_topk": topk.ORACLE_SQL,
+        "op10_mix_sources": mixing.ORACLE_SQL,
+    }
