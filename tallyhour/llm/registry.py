@@ -14,6 +14,7 @@ from tallyhour.llm import exact_topk as topk
 from tallyhour.llm import mix_sources as mixing
 from tallyhour.llm import url_filters as urls
 from tallyhour.llm.best_fit_packing import best_fit_packing
+from tallyhour.llm.lm_scoring import lm_scoring
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
 from tallyhour.llm.quality_rules import quality_rules
 from tallyhour.llm.tables import table
@@ -44,6 +45,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = best_fit_packing(table(spark, sf_dir, "documents"))
     return packed.withColumn("piece", F.col("piece").cast("int"))
@@ -68,6 +73,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: list[Query] = [
     op1_url_filters,
     op2_ngram_jaccard_join,
+    op3_lm_scoring,
     op6_best_fit_packing,
     op7_quality_rules,
     op8_token_counts,
