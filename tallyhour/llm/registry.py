@@ -14,6 +14,7 @@ from tallyhour.llm import exact_topk as topk
 from tallyhour.llm import mix_sources as mixing
 from tallyhour.llm import url_filters as urls
 from tallyhour.llm.best_fit_packing import best_fit_packing
+from tallyhour.llm.html_extraction import html_extraction
 from tallyhour.llm.lm_scoring import lm_scoring
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
 from tallyhour.llm.quality_rules import quality_rules
@@ -49,6 +50,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = best_fit_packing(table(spark, sf_dir, "documents"))
     return packed.withColumn("piece", F.col("piece").cast("int"))
@@ -74,6 +79,7 @@ _QUERIES: list[Query] = [
     op1_url_filters,
     op2_ngram_jaccard_join,
     op3_lm_scoring,
+    op5_html_extraction,
     op6_best_fit_packing,
     op7_quality_rules,
     op8_token_counts,
