@@ -15,6 +15,7 @@ from tallyhour.llm import mix_sources as mixing
 from tallyhour.llm import url_filters as urls
 from tallyhour.llm.best_fit_packing import best_fit_packing
 from tallyhour.llm.html_extraction import html_extraction
+from tallyhour.llm.language_id import language_id, page_evidence, train
 from tallyhour.llm.lm_scoring import lm_scoring
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
 from tallyhour.llm.quality_rules import quality_rules
@@ -50,6 +51,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = page_evidence(table(spark, sf_dir, "pages"))
+    found = language_id(evidence, train(table(spark, sf_dir, "documents")), as_pages=True)
+    return found.drop("row_id").withColumnRenamed("id", "page_id")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction(table(spark, sf_dir, "pages"))
 
@@ -79,6 +86,7 @@ _QUERIES: list[Query] = [
     op1_url_filters,
     op2_ngram_jaccard_join,
     op3_lm_scoring,
+    op4_language_id,
     op5_html_extraction,
     op6_best_fit_packing,
     op7_quality_rules,
