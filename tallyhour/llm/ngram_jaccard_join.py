@@ -13,6 +13,9 @@ near copies needs about n tests and not n squared:
 2. for each prefix shingle, members of different groups of step 1 against each other. Members of one
    group are linked already, whatever a test would say, so no link between groups is lost.
 
+Both steps test a pair only if it shares as many prefix shingles as sets of their sizes must; step 1, which
+does not count shingles with another hub, if a third of them. What step 1 leaves out step 2 meets.
+
 The result has the groups of all links: the connected components.
 
 Hashes have 64 bits. Equal signatures of different sets are found by a second signature
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from tallyhour.llm import spans
 from tallyhour.llm.components import components
@@ -213,21 +217,46 @@ def _segments(rows: DataFrame, order, size: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, fragment int, hashes array<long>")
 
 
-def _with_sizes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sizes allow the threshold, with their sizes."""
+def _ceil_div(value: Column, by: int) -> Column:
+    return F.floor((value + F.lit(by - 1)) / by).cast("long")
+
+
+def _least_overlap(n_a: Column, n_b: Column, percent: int) -> Column:
+    """What two sets of these sizes must share to reach the threshold."""
+    return _ceil_div(percent * (n_a + n_b), 100 + percent)
+
+
+def _least_shared(n_a: Column, n_b: Column, percent: int) -> Column:
+    """How many shingles linked sets share within their prefixes, at least.
+
+    The prefix that ends first in the order lies within reach of the other; all but ``n - overlap`` of
+    its shingles belong to both.
+    """
+    overlap = _least_overlap(n_a, n_b, percent)
+    spare = [overlap - _ceil_div(percent * n, 100) + 1 for n in (n_a, n_b)]
+    return F.greatest(F.lit(1), F.least(*spare))
+
+
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int, seen: int) -> DataFrame:
+    """Of pairs ``a, b, shared``, those that sizes and shared prefix shingles leave possible, with sizes.
+
+    ``shared`` counts at least one in ``seen`` of what the pair shares.
+    """
     sizes = classes.select("set_id", "n_shingles")
-    left = sizes.toDF("a", "n_a")
-    right = sizes.toDF("b", "n_b")
+    possible = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+        pairs.join(sizes.toDF("a", "n_a"), "a")
+        .join(sizes.toDF("b", "n_b"), "b")
+        .where(possible & (seen * F.col("shared") >= _least_shared(F.col("n_a"), F.col("n_b"), percent)))
+        .select("a", "b", "n_a", "n_b")
     )
 
 
-def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int) -> DataFrame:
+def _links(
+    pairs: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int, seen: int = 1
+) -> DataFrame:
     """The pairs ``a, b`` that reach the threshold: overlaps per fragment, summed per pair."""
-    pairs = land(_with_sizes(pairs, classes, percent), "pairs")
+    pairs = land(_promising(pairs, classes, percent, seen), "pairs")
     needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
     keys = land(needed.join(classes.select("set_id", F.col("doc_id").alias("key")), "set_id"), "needed")
     texts = rows.join(checked(keys.select(F.col("key").alias("doc_id")).distinct(), keys.count()), "doc_id", "left_semi")
@@ -247,29 +276,52 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, order, size: i
     return land(total.where(100 * F.col("overlap") >= percent * union).select("a", "b"), "links")
 
 
-def _across(stars: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of sets that share a prefix shingle and belong to different groups so far."""
+def _across(stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, shared`` of sets in different groups so far, by the prefix shingles they share.
+
+    First a set meets groups, not their members: it must share enough shingles with all members
+    of a group taken together, for the sizes these have. Only then does it meet them one by one.
+    """
     hubs = stars.groupBy("shingle").agg(F.first("hub").alias("set_id"))
-    members = stars.select("shingle", "set_id").union(hubs.select("shingle", "set_id"))
-    grouped = members.join(groups, "set_id", "left").select(
-        "shingle", "set_id", F.coalesce("component", "set_id").alias("component")
+    members = (
+        stars.select("shingle", "set_id")
+        .union(hubs.select("shingle", "set_id"))
+        .join(groups, "set_id", "left")
+        .join(classes.select("set_id", F.col("n_shingles").alias("n")), "set_id")
+        .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     )
-    mixed = grouped.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low != high").select("shingle")
-    grouped = land(grouped.join(mixed, "shingle", "left_semi"), "members")
-    kinds = grouped.select("shingle", "component").distinct()
+    members = land(members.join(mixed, "shingle", "left_semi"), "members")
+    ranges = members.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    kinds = members.select("shingle", F.col("component").alias("other")).distinct()
+    n = F.col("n")
+    low = F.greatest(F.col("least"), F.floor(percent * n / 100).cast("long"))
+    high = F.least(F.col("most"), _ceil_div(100 * n, percent))
+    # one less than the least over the range, as rounding need not be monotone
+    needed = F.least(
+        _least_overlap(n, low, percent) - _ceil_div(percent * n, 100),
+        _least_overlap(n, high, percent) - _ceil_div(percent * high, 100),
+    )
     meets = (
-        kinds.withColumnRenamed("component", "one")
-        .join(kinds.withColumnRenamed("component", "other"), "shingle")
-        .where("one < other")
+        members.join(kinds, "shingle")
+        .where("component != other")
+        .groupBy("set_id", "n", "component", "other")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .join(ranges.withColumnRenamed("component", "other"), "other")
+        .where((low <= high) & (F.col("shared") >= needed))
+        .select("set_id", "component", "other")
+    )
+    meets = land(meets, "meets")
+    each = members.drop("n").join(meets, ["set_id", "component"])
+    left = each.where("component < other").select("shingle", "component", "other", F.col("set_id").alias("a"))
+    right = each.where("component > other").select(
+        "shingle", F.col("other").alias("component"), F.col("component").alias("other"), F.col("set_id").alias("b")
     )
-    left = grouped.select("shingle", F.col("component").alias("one"), F.col("set_id").alias("a"))
-    right = grouped.select("shingle", F.col("component").alias("other"), F.col("set_id").alias("b"))
     return (
-        meets.join(left, ["shingle", "one"])
-        .join(right, ["shingle", "other"])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        left.join(right, ["shingle", "component", "other"])
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"))
     )
 
 
@@ -316,11 +368,11 @@ def ngram_jaccard_join(
         ),
         "stars",
     )
-    tested = stars.select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
-    links = _links(tested, rows, classes, order, size, percent)
+    # hubs are the least of their rows, so a pair is always named by them the same way
+    spokes = stars.groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    links = _links(spokes, rows, classes, order, size, percent, seen=3)
     groups = components(links, "set_id")
-    across = _across(stars, groups).join(tested, ["a", "b"], "left_anti")
-    more = _links(across, rows, classes, order, size, percent)
+    more = _links(_across(stars, groups, classes, percent), rows, classes, order, size, percent)
     if more.limit(1).count():
         groups = components(links.union(more), "set_id")
 
