@@ -9,7 +9,7 @@ summed per pair.
 Equal sets form a class and take part once. Candidates are tested in two steps, so that a group of n
 near copies needs about n tests and not n squared:
 
-1. for each prefix shingle, the members against the least one (the hub);
+1. for each prefix shingle, the members against one of them, the hub;
 2. for each prefix shingle, members of different groups of step 1 against each other. Members of one
    group are linked already, whatever a test would say, so no link between groups is lost.
 
@@ -43,8 +43,8 @@ from tallyhour.llm.tables import checked, land, own
 
 SHINGLE = 5
 PERCENT = 75
-#: Counters of the sketch that orders shingles: a fixed size, 2 MB when sent to the workers.
-SKETCH = 1 << 18
+#: Counters of the sketch that orders shingles: a fixed size, 4 MB when sent to the workers.
+SKETCH = 1 << 22
 FRAGMENTS = 16
 
 
@@ -73,15 +73,17 @@ def _signature(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _summaries(rows: DataFrame, size: int, slots: int) -> DataFrame:
-    """One row for each text, and in the end of each task its counters of the sketch."""
+    """One row for each text, and in the end of each task the counters that stand out among its own.
+
+    Counters that chance alone explains would only say how many shingles there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
         names = ["doc_id", "n_shingles", "set_id", "second", "slot", "n"]
         for batch in spans.slices(batches, "text"):
             sets = _sets(batch, size)
-            for hashes in sets:
-                np.add.at(counts, hashes & np.uint64(slots - 1), 1)
+            np.add.at(counts, (np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), 1)
             signatures = [_signature(hashes) if len(hashes) else (None, None) for hashes in sets]
             nothing = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -95,7 +97,8 @@ def _summaries(rows: DataFrame, size: int, slots: int) -> DataFrame:
                 ],
                 names=names,
             )
-        slot = np.flatnonzero(counts)
+        mean = counts.mean()
+        slot = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 2)
         nothing = pa.nulls(len(slot), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [nothing, nothing, nothing, nothing, pa.array(slot.astype(np.int32)), pa.array(counts[slot])], names=names
@@ -111,7 +114,7 @@ class GlobalOrder:
         self.level = np.zeros(len(counts), np.uint8)
         full = counts > 0
         self.level[full] = np.log2(counts[full]).astype(np.uint8)
-        weight = np.bincount(self.level, counts, 64)
+        weight = np.bincount(self.level, np.maximum(counts, 1), 64)
         self.fragments = fragments
         self.share = weight / max(weight.sum(), 1)
         self.below = np.cumsum(self.share) - self.share
@@ -156,34 +159,62 @@ def _prefix_rows(rows: DataFrame, order, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "shingle long, set_id long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shingle and set: each further set of a shingle with the first one, its hub."""
-    last_shingle, last_set, hub = None, None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by shingle and set: those of shingles that two sets have, once each."""
+    last = None  # the row before, and whether it was passed on
     for batch in batches:
         shingle = batch.column("shingle").to_numpy()
         owner = batch.column("set_id").to_numpy()
         if not len(shingle):
             continue
-        new = np.ones(len(shingle), bool)
-        new[1:] = shingle[1:] != shingle[:-1]
-        new[0] = last_shingle is None or shingle[0] != last_shingle
-        again = np.zeros(len(shingle), bool)
-        again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
-        again[0] = not new[0] and owner[0] == last_set
-        starts = np.flatnonzero(new)
-        at = np.searchsorted(starts, np.arange(len(shingle)), "right") - 1
-        hubs = np.where(at >= 0, owner[starts[np.maximum(at, 0)]] if len(starts) else owner, 0)
-        if hub is not None:
-            hubs = np.where(at < 0, hub, hubs)
-        last_shingle, last_set, hub = shingle[-1], owner[-1], hubs[-1]
-        keep = ~new & ~again
+        if last is not None:
+            shingle, owner = np.append(last[0], shingle), np.append(last[1], owner)
+        same = shingle[1:] == shingle[:-1]
+        fresh = np.ones(len(shingle), bool)
+        fresh[1:] = ~(same & (owner[1:] == owner[:-1]))
+        shingle, owner = shingle[fresh], owner[fresh]
+        same = shingle[1:] == shingle[:-1]
+        keep = np.zeros(len(shingle), bool)
+        keep[1:] = same
+        keep[:-1] |= same
+        if last is not None and last[2]:
+            keep[0] = False
+        passed = bool(keep[-1]) or len(shingle) == 1 and last is not None and last[2]
+        last = shingle[-1:], owner[-1:], passed
         if keep.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle[keep]), pa.array(hubs[keep]), pa.array(owner[keep])],
-                names=["shingle", "hub", "set_id"],
+                [pa.array(shingle[keep]), pa.array(owner[keep])], names=["shingle", "set_id"]
             )
 
 
+def _spokes(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, shared`` of each set with the hubs of its prefix shingles.
+
+    Hub of a shingle is the member whose own prefix is the commonest: of copies that were each changed
+    elsewhere, the one nearest to what they were copied from.
+    """
+    n = F.col("n_shingles")
+    sizes = members.groupBy("shingle").agg(F.log2(F.count(F.lit(1))).alias("weight"))
+    common = (
+        members.join(sizes, "shingle")
+        .groupBy("set_id")
+        .agg(F.sum("weight").alias("weight"))
+        .join(classes.select("set_id", "n_shingles"), "set_id")
+        .select("set_id", (F.col("weight") / (n - _ceil_div(percent * n, 100) + 1)).alias("common"))
+    )
+    hubs = (
+        members.join(common, "set_id")
+        .groupBy("shingle")
+        .agg(F.max(F.struct("common", "set_id"))["set_id"].alias("hub"))
+    )
+    return (
+        members.join(hubs, "shingle")
+        .where("set_id != hub")
+        .groupBy(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+
+
 def _segments(rows: DataFrame, order, size: int) -> DataFrame:
     """``set_id, fragment, hashes`` of the sets of some rows."""
 
@@ -276,17 +307,14 @@ def _links(
     return land(total.where(100 * F.col("overlap") >= percent * union).select("a", "b"), "links")
 
 
-def _across(stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _across(shared: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, shared`` of sets in different groups so far, by the prefix shingles they share.
 
     First a set meets groups, not their members: it must share enough shingles with all members
     of a group taken together, for the sizes these have. Only then does it meet them one by one.
     """
-    hubs = stars.groupBy("shingle").agg(F.first("hub").alias("set_id"))
     members = (
-        stars.select("shingle", "set_id")
-        .union(hubs.select("shingle", "set_id"))
-        .join(groups, "set_id", "left")
+        shared.join(groups, "set_id", "left")
         .join(classes.select("set_id", F.col("n_shingles").alias("n")), "set_id")
         .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     )
@@ -362,17 +390,15 @@ def ngram_jaccard_join(
         raise RuntimeError("two shingle sets have one signature; change the hash")
 
     prefixes = _prefix_rows(rows.where("doc_id is not null"), order, size, percent)
-    stars = land(
+    members = land(
         prefixes.repartition(F.col("shingle")).sortWithinPartitions("shingle", "set_id").mapInArrow(
-            _stars, "shingle long, hub long, set_id long"
+            _shared, "shingle long, set_id long"
         ),
-        "stars",
+        "shared",
     )
-    # hubs are the least of their rows, so a pair is always named by them the same way
-    spokes = stars.groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    links = _links(spokes, rows, classes, order, size, percent, seen=3)
+    links = _links(_spokes(members, classes, percent), rows, classes, order, size, percent, seen=3)
     groups = components(links, "set_id")
-    more = _links(_across(stars, groups, classes, percent), rows, classes, order, size, percent)
+    more = _links(_across(members, groups, classes, percent), rows, classes, order, size, percent)
     if more.limit(1).count():
         groups = components(links.union(more), "set_id")
 
