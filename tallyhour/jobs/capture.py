@@ -20,7 +20,11 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--topic-option", action="append", default=[], metavar="KEY=VALUE")
     parser.add_argument("--cursor", required=True, help="shared folder of the scan cursor")
     parser.add_argument("--settle", default="2 seconds", help="how late a row may arrive and still be sent")
-    parser.add_argument("--overlap", help="also send this stretch before the cursor again; needs deduplicating readers")
+    parser.add_argument(
+        "--overlap",
+        default="1 hour",
+        help="also send this stretch before the cursor again, for rows that arrive late; readers drop the copies",
+    )
     parser.add_argument("--span", help="most time one increment may cover, such as '1 day', for a long first scan")
     parser.add_argument("--strict", action="store_true", help="scan ts > cursor only, without settling time or overlap")
     parser.add_argument("--seconds", type=float, default=POLL_SECONDS, help="time between polls")

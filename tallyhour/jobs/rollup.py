@@ -27,12 +27,18 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--jdbc-table", default="events")
     parser.add_argument("--jdbc-connections", type=int, default=8, help="parallel writers")
     parser.add_argument("--dates-as-text", action="store_true", help="for a target that keeps dates as text")
-    parser.add_argument("--plain-append", action="store_true", help="for a target without batch_id; replays append again")
+    parser.add_argument("--plain-append", action="store_true", help="for a target without stream_id and batch_id; replays append again")
     parser.add_argument("--job-path", help="job dimension as parquet, instead of over JDBC")
     parser.add_argument("--publisher-path", help="publisher dimension as parquet, instead of over JDBC")
     parser.add_argument("--events-path", help="fact table as parquet batches, instead of over JDBC")
     parser.add_argument("--quarantine-path", help="folder for rows whose job or publisher is unknown")
-    parser.add_argument("--dedup-horizon", help="drop copies of a change arriving within this time")
+    parser.add_argument(
+        "--dedup-horizon",
+        default="2 hours",
+        help="drop copies of a change arriving within this time; more than the overlap of the capture",
+    )
+    parser.add_argument("--no-dedup", action="store_true", help="for a topic without copies: count every message")
+    parser.add_argument("--state-partitions", type=int, help="partitions of the dedup state, fixed by the first start")
     parser.add_argument("--trigger", help="processing time between batches, such as '2 seconds'")
     parser.add_argument("--once", action="store_true", help="stop at the present end of the topic")
     return parser
@@ -48,8 +54,9 @@ def _stamped(table: BatchTable) -> BatchSink:
 def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = build("tallyhour-rollup")
-    if args.dedup_horizon:
-        spark = for_state(spark)
+    horizon = None if args.no_dedup else args.dedup_horizon
+    if horizon:
+        spark = for_state(spark, args.state_partitions)
     jdbc = option_map(args.jdbc_option)
     fact = {name: EVENTS[name] for name in [*EVENTS_WRITTEN, "updated_at"]}
 
@@ -73,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     sink = deliver(load_job, write, load_publisher, quarantine, landing, check_size=True)
     trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger} if args.trigger else {}
     topic = topic_stream(spark, option_map(args.topic_option), args.topic_format)
-    run_rollup(topic, sink, args.checkpoint, args.dedup_horizon, **trigger).awaitTermination()
+    run_rollup(topic, sink, args.checkpoint, horizon, **trigger).awaitTermination()
 
 
 if __name__ == "__main__":

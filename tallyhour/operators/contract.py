@@ -20,16 +20,22 @@ def with_table_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumns(missing) if missing else rows
 
 
-def with_ids(rows: DataFrame, order_by: list[str], start: int = 0) -> DataFrame:
+def last_id(stored: DataFrame) -> int:
+    """The greatest id of the rows stored so far: ``start`` of the next append."""
+    return stored.agg(F.max("id")).first()[0] or 0
+
+
+def with_ids(rows: DataFrame, order_by: list[str], start: int = 0, path: str | None = None) -> DataFrame:
     """Dense ids from ``start + 1`` in the order of ``order_by``, which must be unique.
 
     Rows are range-partitioned and written once with their place inside the partition;
     the partition sizes then give each partition its offset. No task sees all rows: the
     offsets are one row per shuffle partition. The written copy fixes the range bounds,
-    which a recomputation after a lost executor would draw anew.
+    which a recomputation after a lost executor would draw anew; it lies at ``path``, if named, for
+    the caller to remove.
     """
     spark = rows.sparkSession
-    path = scratch(spark, "ids")
+    path = path or scratch(spark, "ids")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     (
         rows.repartitionByRange(*order_by)
@@ -49,7 +55,7 @@ def with_ids(rows: DataFrame, order_by: list[str], start: int = 0) -> DataFrame:
     return numbered.select(new_id.cast("bigint").alias("id"), *rows.columns)
 
 
-def events_rows(spark: SparkSession, contract: DataFrame, start: int = 0) -> DataFrame:
-    """All columns of the fact table, ids and defaults included."""
+def events_rows(spark: SparkSession, contract: DataFrame, start: int = 0, path: str | None = None) -> DataFrame:
+    """All columns of the fact table, ids and defaults included; ids go on after ``start``."""
     order = ["job_id", "dates", "hours", "publisher_id", "campaign_id", "group_id"]
-    return with_table_defaults(with_ids(contract, order, start)).select(*EVENTS)
+    return with_table_defaults(with_ids(contract, order, start, path)).select(*EVENTS)

@@ -12,16 +12,19 @@ def distinct_changes(changes: DataFrame) -> DataFrame:
     """One row per ``create_time``, the greatest of its copies; rows without a key all stay.
 
     An aggregate, not a window: copies collapse inside each map task, so a change sent
-    a million times reaches the reducer once per task.
+    a million times reaches the reducer once per task. The input is read and parsed once: rows
+    without a key are grouped by a number of their own. Whole rows are compared, strings
+    included, so Spark aggregates by sorting, on both sides of the shuffle.
     """
     others = [name for name in changes.columns if name != KEY]
-    keyed = (
-        changes.where(F.col(KEY).isNotNull())
-        .groupBy(KEY)
+    unkeyed = F.when(F.col(KEY).isNull(), F.monotonically_increasing_id())
+    return (
+        changes.withColumn("_unkeyed", unkeyed)
+        .groupBy(KEY, "_unkeyed")
         .agg(F.max(F.struct(*others)).alias("row"))
         .select(KEY, "row.*")
+        .select(*changes.columns)
     )
-    return keyed.unionByName(changes.where(F.col(KEY).isNull())).select(*changes.columns)
 
 
 def distinct_stream(changes: DataFrame, horizon: str, salts: int = 16) -> DataFrame:

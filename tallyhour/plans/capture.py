@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
-from tallyhour.functions import iso_text
+from tallyhour.functions import EPOCH, instant, iso_text
 from tallyhour.operators.capture import cursor_columns, first_span, incremental_scan
 from tallyhour.operators.envelope import to_envelope
 from tallyhour.sinks.cursor import CursorTable
@@ -41,26 +42,48 @@ def run_increment(
     table is read once. The cursor is saved only after the publish returned: a crash in
     between sends rows again, which readers drop by ``create_time``. ``span`` limits an
     increment to that much time, so that the first scan of a long table stores its
-    progress on the way; rows are then sent by later increments. ``strict`` keeps to
+    progress on the way; rows are then sent by later increments, with the operation code of the
+    first load until that is through. ``strict`` keeps to
     a bare ``ts > cursor`` without an upper bound, settling time or overlap.
     """
     spark = tracking.sparkSession
     poll_start = poll_start or datetime.now(timezone.utc).isoformat()
     cursor = cursors.load(spark)
-    if strict:
+    fresh = cursor.startswith("1970")
+    snapshot_until = cursors.snapshot_until(spark) or (poll_start if span and fresh else None)
+    until = snapshot_until or poll_start
+    if strict and not snapshot_until:
         scan = incremental_scan(tracking, cursor)
     else:
-        scan = incremental_scan(tracking, cursor, until=poll_start, settle=settle, overlap=overlap)
-    if span:
-        scan = first_span(scan, cursor, span)
-    following, sent = cursor_columns(cursor, poll_start, strict)
-    seen = Observation()
-    publish(to_envelope(scan.observe(seen, iso_text(following).alias("next_cursor"), sent), cursor))
-    result = Increment(cursor, seen.get["next_cursor"], seen.get["sent"])
-    cursors.save(spark, result.next_cursor)
+        # a first load in spans ends where it would have ended as one scan
+        limits = {} if strict else {"settle": settle, "overlap": overlap}
+        scan = incremental_scan(tracking, cursor, until=until, **limits)
+
+    def send(rows: DataFrame) -> Increment:
+        following, sent = cursor_columns(cursor, poll_start, strict and not snapshot_until)
+        seen = Observation()
+        observed = rows.observe(seen, iso_text(following).alias("next_cursor"), sent)
+        publish(to_envelope(observed, EPOCH if snapshot_until else cursor))
+        return Increment(cursor, seen.get["next_cursor"], seen.get["sent"])
+
+    if not span:
+        result = send(scan)
+    elif fresh:
+        result = send(first_span(scan, cursor, span))
+    else:
+        # most spans have rows; only after one without is the next row looked for
+        result = send(scan.where(F.col("ts") <= instant(cursor) + F.expr(f"INTERVAL {span}")))
+        if parse(result.next_cursor) == parse(cursor):
+            result = send(first_span(scan, cursor, span))
+    finished = parse(result.next_cursor) == parse(cursor)
+    cursors.save(spark, result.next_cursor, None if finished else snapshot_until)
     return result
 
 
+def parse(cursor: str) -> datetime:
+    return datetime.fromisoformat(cursor.replace("Z", "+00:00"))
+
+
 def poll(increment: Callable[[], Increment], polls: int | None = None, seconds: float = POLL_SECONDS) -> int:
     """Run increments at an interval, for raw tables that cannot be read as a stream.
 

@@ -281,6 +281,8 @@ def oracle_sql() -> dict[str, str]:
             "create_time, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS cursor_text, epoch_us(ts) AS cursor_micros"
         ),
         "cursor_round_trip": whole_raw,
+        "late_rows_captured": whole_raw,
+        "op_code_by_span": "SELECT 'r' AS op, CAST(COUNT(*) AS BIGINT) AS n_messages FROM events",
         "increments_by_span": _increments_by_span(),
         "stored_cursor": "SELECT epoch_us(MAX(ts)) AS cursor_micros, "
         "CAST(COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') AS BIGINT) AS first_sent, "
@@ -292,6 +294,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_replay_idempotent": whole_rollup,
         "stream_deduped": whole_rollup,
         "compacted_table": whole_rollup,
+        "two_streams_one_table": whole_rollup,
+        "empty_batches_under_dedup": whole_rollup,
         "stream_events_appended": _facts(
             f"{_KEYS}, company_id, {_ADDED_UP}", f"{_COMPANY} WHERE {_KNOWN_JOB} AND {_KNOWN_PUBLISHER}"
         ),
@@ -302,5 +306,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "table_append_with_defaults": _facts(f"{_WRITTEN}, 'Cassandra' AS sources", _COMPANY),
         "append_after_partial_failure": _facts(_WRITTEN, _COMPANY),
+        "append_once_two_streams": _facts(_WRITTEN, _COMPANY),
+        "events_contract_appended": _facts(f"{_WRITTEN}, 'Cassandra' AS sources", _COMPANY),
         "stored_tables": _stored_tables(),
     }

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyhour.functions import EPOCH, iso_text, is_kind, millis, op_code, parse_iso, saturating_instant
 from tallyhour.operators.capture import incremental_scan, next_cursor
-from tallyhour.operators.contract import events_rows, to_events_contract
+from tallyhour.operators.contract import events_rows, last_id, to_events_contract
 from tallyhour.operators.dedup import distinct_changes
 from tallyhour.operators.enrich import with_company
 from tallyhour.operators.envelope import read_changes, to_envelope
@@ -403,6 +403,46 @@ def cursor_round_trip(spark, sf_dir):
     return _shown(distinct_changes(changes), RAW)
 
 
+@_query
+def late_rows_captured(spark, sf_dir):
+    """One row in ten arrives after the first poll, most with an older ``ts``; each comes out once."""
+    raw = inputs.tracking(spark, sf_dir)
+    early = raw.where(F.pmod(F.hash("create_time"), F.lit(10)) != 0)
+    folder = scratch(spark, "late")
+    cursors, topic = CursorTable(f"{folder}/cursor"), f"{folder}/topic"
+    for rows in (early, raw):
+        run_increment(
+            rows,
+            cursors,
+            lambda messages: publish(messages, {"path": topic}, "parquet"),
+            poll_start=POLL_START,
+            overlap="400 days",
+        )
+    changes = read_changes(spark.read.schema("value binary").parquet(topic))
+    return _shown(distinct_changes(changes), RAW)
+
+
+@_query
+def op_code_by_span(spark, sf_dir):
+    """A first load in spans: every message carries the code of a first load, those after it do not."""
+    raw = inputs.tracking(spark, sf_dir)
+    folder = scratch(spark, "codes")
+    cursors, topic = CursorTable(f"{folder}/cursor"), f"{folder}/topic"
+    while True:
+        step = run_increment(
+            raw,
+            cursors,
+            lambda messages: publish(messages, {"path": topic}, "parquet"),
+            poll_start=POLL_START,
+            span="10 days",
+        )
+        if not step.sent:
+            break
+    code = F.get_json_object(F.col("value").cast("string"), "$.payload.op").alias("op")
+    sent = spark.read.schema("value binary").parquet(topic).groupBy(code)
+    return sent.agg(F.count(F.lit(1)).alias("n_messages"))
+
+
 @_query
 def increments_by_span(spark, sf_dir):
     """A first scan in stretches of ten days: what each sent and where the cursor stood."""
@@ -505,6 +545,42 @@ def stream_deltas_compacted(spark, sf_dir):
     return _shown(published(spark, table), HOUR_KEYS + MEASURES)
 
 
+def _halves(rows: DataFrame, column: str) -> list[DataFrame]:
+    odd = F.coalesce(F.pmod(F.hash(column), F.lit(2)) == 1, F.lit(False))
+    return [rows.where(odd), rows.where(~odd)]
+
+
+@_query
+def two_streams_one_table(spark, sf_dir):
+    """Two streams with checkpoints of their own, each with half of the messages, in one tally table."""
+    folder = scratch(spark, "two-streams")
+    table = tally_table(f"{folder}/tallies")
+    for number, half in enumerate(_halves(inputs.tracking(spark, sf_dir), "create_time")):
+        to_envelope(half).write.parquet(f"{folder}/topic-{number}")
+        topic = topic_stream(spark, {"path": f"{folder}/topic-{number}", "maxFilesPerTrigger": "1"}, "parquet")
+        run_to_end(topic, table.write, f"{folder}/checkpoint-{number}")
+    return _shown(published(spark, table), HOUR_KEYS + MEASURES)
+
+
+@_query
+def empty_batches_under_dedup(spark, sf_dir):
+    """Batches a deduplicating stream has written: none is empty."""
+    folder = scratch(spark, "no-empty")
+    table = tally_table(f"{folder}/tallies")
+    written = []
+
+    def write(tallies, batch_id):
+        written.append(batch_id)
+        table.write(tallies, batch_id)
+
+    topic = topic_stream(for_state(spark), _topic_files(spark, sf_dir, copies=2), "parquet")
+    run_to_end(topic, write, f"{folder}/checkpoint", dedup_horizon="1 day")
+    stored = table.read(spark).select("batch_id").distinct().count()
+    if not written or stored != len(written):
+        raise RuntimeError(f"{len(written)} batches written, {stored} with rows")
+    return _shown(published(spark, table), HOUR_KEYS + MEASURES)
+
+
 @_query
 def stream_replay_idempotent(spark, sf_dir):
     """The first batch fails after its write; the restart repeats it without effect."""
@@ -522,7 +598,10 @@ def stream_replay_idempotent(spark, sf_dir):
     try:
         run_to_end(topic_stream(spark, options, "parquet"), fail_once, f"{folder}/checkpoint")
     except StreamingQueryException:
-        run_to_end(topic_stream(spark, options, "parquet"), fail_once, f"{folder}/checkpoint")
+        pass
+    if not failed:
+        raise RuntimeError("the first batch did not fail")
+    run_to_end(topic_stream(spark, options, "parquet"), fail_once, f"{folder}/checkpoint")
     return _shown(published(spark, table), HOUR_KEYS + MEASURES)
 
 
@@ -608,16 +687,50 @@ def append_after_partial_failure(spark, sf_dir):
     path = scratch(spark, "append")
     rows = hourly_events(inputs.tracking(spark, sf_dir), inputs.job(spark, sf_dir))
 
-    def stored(batch_id):
-        return spark.read.parquet(path).where(F.col("batch_id") == batch_id)
+    def stored(stream_id, batch_id):
+        return spark.read.parquet(path).where((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id))
 
-    rows.where(F.col("dates") < F.lit("2024-01-10").cast("date")).withColumn(
-        "batch_id", F.lit(7).cast("bigint")
+    rows.where(F.col("dates") < F.lit("2024-01-10").cast("date")).withColumns(
+        {"stream_id": F.lit("one"), "batch_id": F.lit(7).cast("bigint")}
     ).write.parquet(path)
-    append_once(rows, 7, stored, lambda chosen: chosen.write.mode("append").parquet(path))
+    append_once(rows, 7, stored, lambda chosen: chosen.write.mode("append").parquet(path), "one")
     return _shown(spark.read.parquet(path), EVENTS_WRITTEN)
 
 
+@_query
+def append_once_two_streams(spark, sf_dir):
+    """Two streams append the same batch id, each twice; every row is stored once."""
+    path = scratch(spark, "append")
+    halves = _halves(hourly_events(inputs.tracking(spark, sf_dir), inputs.job(spark, sf_dir)), "job_id")
+
+    def stored(stream_id, batch_id):
+        return spark.read.parquet(path).where((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id))
+
+    empty = halves[0].limit(0).withColumns({"stream_id": F.lit(""), "batch_id": F.lit(0).cast("bigint")})
+    empty.write.parquet(path)
+    for stream_id, half in zip(("one", "two", "one", "two"), halves * 2):
+        append_once(half, 0, stored, lambda chosen: chosen.write.mode("append").parquet(path), stream_id)
+    return _shown(spark.read.parquet(path), EVENTS_WRITTEN)
+
+
+@_query
+def events_contract_appended(spark, sf_dir):
+    """Two appends with ids that go on from the stored ones."""
+    path = scratch(spark, "facts")
+    contract = to_events_contract(
+        with_company(hourly(inputs.tracking(spark, sf_dir)), inputs.job(spark, sf_dir))
+    )
+    start = 0
+    for half in _halves(contract, "job_id"):
+        events_rows(spark, half, start).write.mode("append").parquet(path)
+        start = last_id(spark.read.parquet(path))
+    stored = spark.read.parquet(path)
+    ids = stored.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.countDistinct("id").alias("n")).first()
+    if (ids["first"], ids["last"]) != (1, ids["n"]):
+        raise RuntimeError(f"ids are not dense: {ids}")
+    return _shown(stored, [*EVENTS_WRITTEN, "sources"])
+
+
 @_query
 def stored_tables(spark, sf_dir):
     """Columns of the created tables and how many rows fill each."""

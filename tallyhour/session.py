@@ -42,14 +42,16 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def for_state(spark: SparkSession) -> SparkSession:
-    """A session for a query that keeps state: as many partitions as the cluster has cores.
+def for_state(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session for a query that keeps state, with ``partitions`` or else the configured number of them.
 
     The first start of such a query fixes its partitions for good, and each holds a store
-    to commit in every batch; adaptive execution does not merge them.
+    to commit in every batch; adaptive execution does not merge them. Choose about the cores the
+    query will have.
     """
     session = pin_utc(spark.newSession())
-    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    chosen = str(partitions) if partitions else spark.conf.get("spark.sql.shuffle.partitions")
+    session.conf.set("spark.sql.shuffle.partitions", chosen)
     return session
 
 

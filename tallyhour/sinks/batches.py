@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from tallyhour.operators.joins import BROADCAST_ROWS
 from tallyhour.operators.rollup import measures, merge
 from tallyhour.schemas import TALLY, ddl
+from tallyhour.sinks.identity import stream_of
 
 
 @dataclass(frozen=True)
 class BatchTable:
-    """Parquet below ``path``, one folder per ``batch_id``.
+    """Parquet below ``path``, a folder for each stream and in it one per ``batch_id``.
 
+    Batch ids start at 0 with every checkpoint, so a batch is known by both: a second stream, or a
+    checkpoint begun anew, adds folders and replaces none of another's.
     ``path`` must be on storage all executors share. A batch is written as it leaves the
     rollup's shuffle, whose partitions adaptive execution has merged to file size.
     """
@@ -25,11 +28,12 @@ class BatchTable:
     columns: dict[str, str]
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        folder = f"{self.path}/stream_id={stream_of(rows.sparkSession)}/batch_id={batch_id}"
+        rows.select(*self.columns).write.mode("overwrite").parquet(folder)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """All batches, with their ``batch_id``; an empty frame before the first."""
-        schema = ddl({**self.columns, "batch_id": "bigint"})
+        """All batches, with their ``stream_id`` and ``batch_id``; an empty frame before the first."""
+        schema = ddl({**self.columns, "stream_id": "string", "batch_id": "bigint"})
         try:
             return spark.read.schema(schema).parquet(self.path)
         except AnalysisException as missing:

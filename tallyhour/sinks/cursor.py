@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhour.functions import EPOCH, iso_text, parse_iso
 
-_COLUMNS = "version bigint, last_scan_time string"
+_COLUMNS = "version bigint, last_scan_time string, snapshot_until string"
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,18 @@ class CursorTable:
         newest = self._newest(spark)
         return newest.last_scan_time if newest else EPOCH
 
-    def save(self, spark: SparkSession, cursor: str) -> None:
+    def snapshot_until(self, spark: SparkSession) -> str | None:
+        """Where a first load in spans ends, while it lasts."""
+        newest = self._newest(spark)
+        return newest.snapshot_until if newest else None
+
+    def save(self, spark: SparkSession, cursor: str, snapshot_until: str | None = None) -> None:
         newest = self._newest(spark)
         version = newest.version + 1 if newest else 0
         text = iso_text(parse_iso(F.lit(cursor)))
-        row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), text.alias("last_scan_time"))
+        row = spark.range(1).select(
+            F.lit(version).cast("bigint").alias("version"),
+            text.alias("last_scan_time"),
+            F.lit(snapshot_until).cast("string").alias("snapshot_until"),
+        )
         row.coalesce(1).write.mode("overwrite").json(self._slot(version % 2))

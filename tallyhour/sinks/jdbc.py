@@ -7,21 +7,24 @@ is missing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhour.schemas import HOUR_KEYS
+from tallyhour.sinks.identity import stream_of
 
 
 def jdbc_append(rows: DataFrame, connection: dict[str, str], table: str = "events", connections: int = 8) -> None:
     """Append rows; ids and other columns not written come from the table's defaults.
 
-    ``connections`` bounds the parallel writers by merging partitions, not rows.
+    ``connections`` bounds the parallel writers. The rows are dealt out to them by a shuffle; left to the
+    writer, the bound would also hold for the aggregate and the join before it.
     """
     (
-        rows.write.format("jdbc")
+        rows.repartition(connections).write.format("jdbc")
         .options(**connection)
         .option("dbtable", table)
         .option("numPartitions", connections)
@@ -30,9 +33,16 @@ def jdbc_append(rows: DataFrame, connection: dict[str, str], table: str = "event
     )
 
 
-def jdbc_batch_keys(spark: SparkSession, connection: dict[str, str], table: str, batch_id: int) -> DataFrame:
-    """Hour keys the target already holds for a batch; an index on ``batch_id`` serves it."""
-    query = f"SELECT {', '.join(HOUR_KEYS)} FROM {table} WHERE batch_id = {int(batch_id)}"
+def jdbc_batch_keys(
+    spark: SparkSession, connection: dict[str, str], table: str, stream_id: str, batch_id: int
+) -> DataFrame:
+    """Hour keys the target already holds for a batch; an index on both ids serves it."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", stream_id):
+        raise ValueError(f"not a stream id: {stream_id!r}")
+    query = (
+        f"SELECT {', '.join(HOUR_KEYS)} FROM {table} "
+        f"WHERE stream_id = '{stream_id}' AND batch_id = {int(batch_id)}"
+    )
     return spark.read.format("jdbc").options(**connection).option("query", query).load()
 
 
@@ -46,16 +56,19 @@ def missing_rows(rows: DataFrame, stored_keys: DataFrame) -> DataFrame:
 def append_once(
     rows: DataFrame,
     batch_id: int,
-    stored_keys: Callable[[int], DataFrame],
+    stored_keys: Callable[[str, int], DataFrame],
     append: Callable[[DataFrame], None],
+    stream_id: str | None = None,
 ) -> None:
     """Append a batch so that repeating it adds nothing.
 
-    The target carries ``batch_id``. A first attempt finds no stored key and appends at
-    once; a replay leaves out the keys that earlier, committed partitions have stored.
+    The target carries ``stream_id`` and ``batch_id``: batch ids alone start anew with every checkpoint.
+    A first attempt finds no stored key and appends at once; a replay leaves out the keys
+    that earlier, committed partitions have stored. The stream is the running one unless named.
     """
-    tagged = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    stored = stored_keys(batch_id)
+    stream = stream_id or stream_of(rows.sparkSession)
+    tagged = rows.withColumns({"stream_id": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
+    stored = stored_keys(stream, batch_id)
     append(tagged if stored.isEmpty() else missing_rows(tagged, stored))
 
 
@@ -71,7 +84,7 @@ def jdbc_sink(
         append_once(
             _dates(rows, dates_as_text),
             batch_id,
-            lambda batch: jdbc_batch_keys(rows.sparkSession, connection, table, batch),
+            lambda stream, batch: jdbc_batch_keys(rows.sparkSession, connection, table, stream, batch),
             lambda chosen: jdbc_append(chosen, connection, table, connections),
         )
 
@@ -84,7 +97,7 @@ def jdbc_plain_sink(
     connections: int = 8,
     dates_as_text: bool = False,
 ) -> Callable[[DataFrame, int], None]:
-    """A micro-batch sink for a target without ``batch_id``: a replay appends again."""
+    """A micro-batch sink for a target without ids of batches: a replay appends again."""
     return lambda rows, batch_id: jdbc_append(_dates(rows, dates_as_text), connection, table, connections)
 
 

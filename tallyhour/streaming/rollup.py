@@ -31,7 +31,8 @@ def run_rollup(
     """Start the query; ``sink(tallies, batch_id)`` receives each batch that has rows.
 
     The tallies are not cached, which would also fix their number of partitions: a sink
-    that needs them twice writes them down first, as ``deliver`` does.
+    that needs them twice writes them down first, as ``deliver`` does. Only with
+    ``dedup_horizon`` they are, so that a batch without rows is seen before it is written.
 
     No watermark guards the hours: an event of any age joins the batch it arrives in, and
     one hour key may appear in many batches. The checkpoint is mandatory, and an error in
@@ -41,9 +42,17 @@ def run_rollup(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # looking into a deduplicated batch would run its state once more
-        if dedup_horizon or not batch.isEmpty():
-            sink(tally(batch), batch_id)
+        if not dedup_horizon:
+            if not batch.isEmpty():
+                sink(tally(batch), batch_id)
+            return
+        # looking into a deduplicated batch would run its state once more, so its tally is kept
+        tallied = tally(batch).persist()
+        try:
+            if not tallied.isEmpty():
+                sink(tallied, batch_id)
+        finally:
+            tallied.unpersist()
 
     writer = changes_of(topic, dedup_horizon).writeStream.foreachBatch(on_batch)
     if trigger:

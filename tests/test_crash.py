@@ -22,7 +22,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def batches(folder):
-    return [name for name in os.listdir(folder) if name.startswith("batch_id=")] if os.path.isdir(folder) else []
+    return [name for _, names, _ in os.walk(folder) for name in names if name.startswith("batch_id=")]
 
 
 def test_a_killed_program_resumes_without_loss_or_repetition(spark, tracking):

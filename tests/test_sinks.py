@@ -110,10 +110,10 @@ def test_append_once_adds_what_is_missing(spark, contract):
     rows = contract(event(), event(job=2), event(ts=None))
     appended = []
 
-    def stored(batch_id):
+    def stored(stream_id, batch_id):
         if not appended:
             return rows.where("false").withColumn("batch_id", F.lit(0)).select(*HOUR_KEYS, "batch_id")
-        return spark.read.parquet(path).where(F.col("batch_id") == batch_id)
+        return spark.read.parquet(path).where((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id))
 
     def append(chosen):
         appended.append(chosen.count())
@@ -124,7 +124,9 @@ def test_append_once_adds_what_is_missing(spark, contract):
     jdbc.append_once(rows, 5, stored, append)
     jdbc.append_once(rows, 6, stored, append)
     assert appended == [2, 1, 0, 3]
-    assert spark.read.parquet(path).groupBy("batch_id").count().orderBy("batch_id").collect() == [(5, 3), (6, 3)]
+    jdbc.append_once(rows, 6, stored, append, "another")
+    assert appended.pop() == 3
+    assert spark.read.parquet(path).groupBy("batch_id").count().orderBy("batch_id").collect() == [(5, 3), (6, 6)]
 
 
 def test_stored_text_dates_match_typed_ones(spark, contract):
@@ -210,9 +212,10 @@ def test_jdbc_sinks(monkeypatch, contract):
 
 def test_jdbc_batch_keys_query():
     session = Recorder()
-    jdbc.jdbc_batch_keys(session, CONNECTION, "events", 12)
+    jdbc.jdbc_batch_keys(session, CONNECTION, "events", "s-1", 12)
     assert session.calls["query"] == (
-        "SELECT job_id, dates, hours, publisher_id, campaign_id, group_id FROM events WHERE batch_id = 12"
+        "SELECT job_id, dates, hours, publisher_id, campaign_id, group_id FROM events "
+        "WHERE stream_id = 's-1' AND batch_id = 12"
     )
 
 
