@@ -79,7 +79,7 @@ class Model:
     def likelihoods(self, buckets: np.ndarray, n: np.ndarray) -> np.ndarray:
         text = np.repeat(np.arange(len(n)), n)
         columns = [np.bincount(text, logs[buckets], len(n)) for logs in self.logs]
-        return np.array(columns).T.reshape(len(n), len(self.languages))
+        return np.array(columns, np.float64).T.reshape(len(n), len(self.languages))
 
 
 def train(labelled: DataFrame, text_column: str = "text", label_column: str = "lang") -> Model:

@@ -249,9 +249,9 @@ class Trees:
 
 
 def _trees(batches: list[pa.RecordBatch], depth: int) -> tuple[np.ndarray, Trees] | None:
-    table = pa.Table.from_batches(batches)
-    if not table.num_rows:
+    if not sum(batch.num_rows for batch in batches):
         return None
+    table = pa.Table.from_batches(batches)
     strings = table.column("item").to_numpy().view(np.uint64)
     trees = Trees(strings, table.column("n").to_numpy(), depth)
     trees.latest = ((strings >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
@@ -371,7 +371,8 @@ def _lookups(broadcast) -> tuple[_Lookup, _Lookup]:
 
 
 def _sum_by_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return np.bincount(np.repeat(np.arange(len(lengths)), lengths), values, len(lengths))
+    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), values, len(lengths))
+    return sums.astype(np.float64)  # whole numbers where there is nothing to add
 
 
 def _scored(rows: DataFrame, number: int, blocks: int, tables, depth: int, totals: tuple[int, int, int]) -> DataFrame:

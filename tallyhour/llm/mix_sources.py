@@ -68,9 +68,9 @@ def source_rates(
         weighed = sizes.withColumn("weight", F.pow("size", F.lit(temperature)))
     else:
         named = weights.select(source_key(F.col("source")).alias("source_key"), F.col("weight").cast("double"))
-        weighed = sizes.join(named, "source_key")
+        weighed = sizes.join(named, "source_key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = weighed.agg(F.sum("size").alias("all_sizes"), F.sum("weight").alias("all_weights")).first()
-    if totals["all_sizes"] is None:
+    if not totals["all_weights"]:
         return weighed.select("source_key", F.lit(0.0).alias("rate"))
     share = F.col("weight") / F.lit(totals["all_weights"])
     return weighed.select("source_key", (share * F.lit(totals["all_sizes"] * size_factor) / F.col("size")).alias("rate"))

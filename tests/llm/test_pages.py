@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+from tallyhour.llm.html_extraction import html_extraction, main_text
+from tallyhour.llm.language_id import document_evidence, language_id, page_evidence, train
+from tallyhour.llm.tables import table
+from tallyhour.llm.url_filters import page_keys, url_filters, with_parts
+
+SF = "/root/testdata/sf0.01"
+PAGES = "page_id long, url string, html string, host string, path string, key string, text string"
+
+MESSY = """<html><body><div id="cookie-notice">We use <b>cookies</b></div><header><h1>Site</h1><a href=x>Home</a></header>
+<div class="menu"><ul><li><a>One</a></li><li><a>Two</a></li></ul></div><div class="content"><h1>Big title</h1>
+<p>First para of some length &amp; more &lt;x&gt;.</p><div class="ad">Buy now</div><p>Second   para
+here.</p><ul><li>item one</li><li>item two</li></ul></div><div class="sidebar"><p>Popular things to read</p></div>
+<form><input><p>Enter mail</p></form><section id="comments"><article class="comment"><p>Nice post!</p></article></section>
+<footer>(c) x</footer></body></html>"""
+
+
+def test_main_text_without_furniture():
+    want = "Big title\nFirst para of some length & more <x>.\nSecond para here.\nitem one\nitem two"
+    assert main_text(MESSY) == want
+
+
+def test_main_text_of_odd_markup():
+    assert main_text("") == ""
+    assert main_text("plain &amp; simple") == "plain & simple"
+    assert main_text('<p>a<p>b &#233; <script>var x="<p>no</p>"</script><style>x</style>c') == "a\nb é c"
+    assert main_text("<article><header><h1>T</h1></header><p>x</p><aside>no</aside><p>y</p></article><div class=comments><p>c</p></div>") == "T\nx\ny"
+    assert main_text("<article><p>kept</p><p>cut off &am") == "kept\ncut off &am"
+
+
+def test_articles_of_the_sample_pages(spark):
+    """Against the blocks of the one article, taken out by expressions made for these pages."""
+    import html
+    import re
+
+    for row in html_extraction(table(spark, SF, "pages")).join(table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", row.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert row.text == "\n".join(b for b in blocks if b)
+        assert row.n_chars == len(row.text)
+
+
+def test_extraction_of_null_and_empty_rows(spark):
+    rows = [(1, "u", None), (1, None, ""), (None, "u", "<p>x"), (2, "u", "<p>" + "long text " * 50000)]
+    frame = spark.createDataFrame([(*row, *[None] * 4) for row in rows], PAGES)
+    found = sorted((str(r.page_id), str(r.url), r.n_chars) for r in html_extraction(frame).collect())
+    assert found == [("1", "None", 0), ("1", "u", 0), ("2", "u", 499999), ("None", "u", 1)]
+    assert html_extraction(frame.limit(0)).count() == 0
+
+
+def test_host_and_path(spark):
+    urls = [None, "no scheme", "http://A.b/C?d", "x://h", "https://h?q/p", "h://a/b#c", "://E/x://y", "http://"]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    found = [(r.host, r.path) for r in with_parts(frame).collect()]
+    assert found == [("", ""), ("", ""), ("a.b", "/C"), ("h", ""), ("h", ""), ("a", "/b"), ("e", "/x://y"), ("", "")]
+
+
+def test_cascade_is_exact(spark):
+    urls = [f"http://{sub}{k % 40}.site{k % 70}.org/p{k}" for k in range(400) for sub in ("a", "www.b")]
+    pages = spark.createDataFrame(list(enumerate([*urls, None, "http:///x", urls[0]])), "page_id long, url string")
+    pages = pages.selectExpr("*", "'k' as key", "1 as row_id", "'h' as host")
+    listed = spark.createDataFrame([(f"site{k}.org",) for k in range(0, 70, 3)] + [("a1.site1.org/p1",), ("nowhere.net",)], "key string")
+    want = {}
+    chosen = {row.key for row in listed.collect()}
+    for row in with_parts(pages.select("page_id", "url")).select("page_id", page_keys_of()).collect():
+        want[row.page_id] = bool(chosen & set(row["keys"]))
+    for max_bytes in (1 << 20, 1):  # by the cascade, and by a join
+        found = {r.page_id: (r.listed, r.verdict) for r in url_filters(pages, listed, (), max_bytes=max_bytes).collect()}
+        assert found == {k: (v, "block" if v else "allow") for k, v in want.items()}
+    assert sum(want.values()) > 100
+    assert url_filters(pages.limit(0)).count() == 0
+    assert not any(r.listed for r in url_filters(pages, listed.limit(0)).collect())
+
+
+def page_keys_of():
+    from pyspark.sql import functions as F
+
+    return page_keys(F.col("host"), F.col("path")).alias("keys")
+
+
+def test_rules(spark):
+    cases = {
+        "http://a.org/x": ("org/", "allow"), "http://org": (None, "allow"), "http://x.example.org/es/1": ("example.org/es/", "block"),
+        "http://example.org/en/12": ("example.org/en/1", "block"), "http://notexample.org/en/1": ("org/", "allow"),
+        "http://q.com/fr/": ("com/fr/", "allow"), "http://q.com/de/9": ("com/de/", "block"), "http://q.com/en/": (None, "allow"),
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filters(pages).collect()}
+    assert found == dict(enumerate(cases.values()))
+
+
+def test_languages_of_pages_are_held_to_their_marks(spark):
+    model = train(table(spark, SF, "documents"))
+    found = language_id(page_evidence(table(spark, SF, "pages")), model, as_pages=True).collect()
+    right = sum(r.language == r.declared for r in found)
+    assert right >= 0.98 * len(found)
+
+
+def test_text_alone_identifies_held_out_documents(spark):
+    docs = table(spark, SF, "documents")
+    model = train(docs.where("doc_id % 5 != 0"))
+    held = docs.where("doc_id % 5 = 0 and n_chars >= 100").selectExpr("doc_id", "text", "null as lang", "null as source", "lang as truth")
+    found = language_id(document_evidence(held), model).join(held.selectExpr("doc_id as id", "truth"), "id").collect()
+    assert sum(r.language == r.truth for r in found) >= 0.97 * len(found)
+
+
+def test_language_cases(spark, documents):
+    model = train(documents((0, "le chat est la " * 9, "fr"), (1, "the cat is there " * 9, "en"), (2, None, "en"), (3, "x", None)))
+    rows = documents((1, None), (2, ""), (3, "### 123"), (4, "le chat est la bas encore", None, None), (4, "the cat is there again", "fr", "h"), (None, "the cat is there"))
+    found = sorted((str(r.id), str(r.language), r.accepted) for r in language_id(document_evidence(rows), model).collect())
+    assert found == [
+        ("1", "None", False), ("2", "None", False), ("3", "None", False), ("4", "en", True), ("4", "fr", True), ("None", "en", True),
+    ]
+    assert language_id(document_evidence(rows.limit(0)), model).count() == 0
+    nothing = language_id(document_evidence(rows), train(rows.limit(0))).collect()
+    assert len(nothing) == 6 and not any(r.accepted for r in nothing)
