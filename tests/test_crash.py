@@ -36,6 +36,7 @@ def test_a_killed_program_resumes_without_loss_or_repetition(spark, tracking):
         sys.executable, "-m", "tallyhour.jobs.rollup", "--topic-format", "parquet", "--once",
         "--topic-option", f"path={folder}/topic", "--topic-option", "maxFilesPerTrigger=1",
         "--checkpoint", f"{folder}/checkpoint", "--job-path", f"{folder}/job", "--events-path", f"{folder}/events",
+        "--state-partitions", "2",
     ]
     options = {"cwd": ROOT, "stdout": subprocess.DEVNULL, "stderr": subprocess.DEVNULL, "start_new_session": True}
     first = subprocess.Popen(command, **options)

@@ -191,9 +191,16 @@ def test_jdbc_table_splits_on_its_key():
 def test_jdbc_append_options():
     class Rows:
         write = Recorder()
+        dealt: list = []
+
+        @classmethod
+        def repartition(cls, n):
+            cls.dealt.append(n)
+            return cls
 
     jdbc.jdbc_append(Rows, CONNECTION, connections=4)
     assert Rows.write.calls == {"format": "jdbc", "dbtable": "events", "numPartitions": 4, "mode": "append", **CONNECTION}
+    assert Rows.dealt == [4]
 
 
 def test_jdbc_sinks(monkeypatch, contract):
