@@ -43,9 +43,11 @@ END = 0x0A
 #: Entries of a lookup table sent to the workers at a time: 16 bytes each.
 BLOCK_ROWS = 4_000_000
 #: Strings that one task builds trees of, on average.
-TREE_ROWS = 200_000
+TREE_ROWS = 100_000
 #: Sums that a task holds before it merges them.
-_PENDING = 4_000_000
+_PENDING = 800_000
+#: Bytes of text that a task works on at a time; the sums take the rest of its memory.
+_SLICE = 1 << 19
 
 GRAM, WORD, TOTAL = 0, 1, 2
 
@@ -91,9 +93,9 @@ class _Sums:
         self.counts: list[np.ndarray] = []
         self.pending = 0
 
-    def add(self, keys: np.ndarray, learns: np.ndarray) -> None:
-        found, inverse = np.unique(keys, return_inverse=True)
-        self._push(found, np.bincount(inverse, learns, len(found)).astype(np.int64))
+    def add(self, keys: np.ndarray, learns: int) -> None:
+        found, counts = np.unique(keys, return_counts=True)
+        self._push(found, counts * learns)
 
     def _push(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
@@ -106,9 +108,13 @@ class _Sums:
         if not self.keys:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(self.keys) > 1:
-            found, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate(self.counts), len(found)).astype(np.int64)
-            self.keys, self.counts = [found], [counts]
+            keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            starts = np.flatnonzero(fresh)
+            self.keys, self.counts = [keys[starts]], [np.add.reduceat(counts, starts) if len(starts) else counts]
         self.pending = 0
         return self.keys[0], self.counts[0]
 
@@ -117,19 +123,18 @@ def _gather(rows: DataFrame, depth: int) -> DataFrame:
     """``kind, item, n, unlearned`` per task: counts in training texts, and whether other texts have the item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HELD.clear()  # tables of an earlier run in this worker
         sums = {(kind, held): _Sums() for kind in (GRAM, WORD) for held in (False, True)}
         tokens = 0
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.slices(batches, "text", _SLICE):
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for side in (False, True):
                 texts = batch.column("text").filter(pa.array(held == side))
                 if not len(texts):
                     continue
                 data, offsets, n_words = _stream(texts, depth)
-                learns = np.float64(0 if side else 1)
-                grams, words = _strings(data, offsets, depth), _word_hashes(data, offsets)
-                sums[GRAM, side].add(grams, np.full(len(grams), learns))
-                sums[WORD, side].add(words, np.full(len(words), learns))
+                sums[GRAM, side].add(_strings(data, offsets, depth), int(not side))
+                sums[WORD, side].add(_word_hashes(data, offsets), int(not side))
                 tokens += 0 if side else int(n_words.sum()) + len(n_words)
         for (kind, side), one in sums.items():
             keys, counts = one.merged()
@@ -382,7 +387,7 @@ def _scored(rows: DataFrame, number: int, blocks: int, tables, depth: int, total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings, words = _lookups(tables)
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.slices(batches, "text", _SLICE):
             data, offsets, n_words = _stream(batch.column("text"), depth)
             lengths = np.diff(offsets) - depth
             score = _sum_by_text(strings.get(_strings(data, offsets, depth), 0.0), lengths)
