@@ -11,7 +11,8 @@ near copies needs about n tests and not n squared:
 
 1. for each prefix shingle, the members against one of them, the hub;
 2. for each prefix shingle, members of different groups of step 1 against each other. Members of one
-   group are linked already, whatever a test would say, so no link between groups is lost.
+   group are linked already, whatever a test would say, so no link between groups is lost. Sets are first held
+   against whole bands of sizes, so that those near a crowd but not near enough to any of it make no pairs.
 
 Both steps test a pair only if it shares as many prefix shingles as sets of their sizes must; step 1, which
 does not count shingles with another hub, if a third of them. What step 1 leaves out step 2 meets.
@@ -29,6 +30,7 @@ their own texts; an empty table gives no rows; columns not named are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,10 @@ PERCENT = 75
 #: Counters of the sketch that orders shingles: a fixed size, 4 MB when sent to the workers.
 SKETCH = 1 << 22
 FRAGMENTS = 16
+#: Bands of set sizes for each doubling of the size.
+BANDS = 16
+#: How often sets without enough in common with a band are taken out before pairs are made.
+ROUNDS = 2
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -307,47 +313,93 @@ def _links(
     return land(total.where(100 * F.col("overlap") >= percent * union).select("a", "b"), "links")
 
 
+def _band(n: Column) -> Column:
+    return F.floor(F.log2(n) * BANDS).cast("int")
+
+
+def _least_over(n: Column, least: Column, most: Column, percent: int) -> tuple[Column, Column]:
+    """Whether a set may link with sets of ``least`` to ``most`` shingles, and what it must share with any of them."""
+    low = F.greatest(least, F.floor(percent * n / 100).cast("long"))
+    high = F.least(most, _ceil_div(100 * n, percent))
+    # one less than the least over the range, as rounding need not be monotone
+    needed = F.least(
+        _least_overlap(n, low, percent) - _ceil_div(percent * n, 100),
+        _least_overlap(n, high, percent) - _ceil_div(percent * high, 100),
+    )
+    return low <= high, needed
+
+
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """Members ``shingle, set_id, n, component, band`` with each band of sizes, ``other``, that they may have links in.
+
+    A set must share enough prefix shingles with all sets of other groups in a band taken together. A set that
+    fails has no link there, so it does not count for others either, and they are judged anew. Every step
+    grows with members and bands, not with pairs.
+    """
+    ranges = F.broadcast(members.groupBy(F.col("band").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    possible, needed = _least_over(F.col("n"), F.col("least"), F.col("most"), percent)
+    reach = math.floor(BANDS * math.log2(100 / percent)) + 1
+    kinds = members.groupBy("shingle", F.col("band").alias("other")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    met = members.join(kinds, "shingle").where(F.abs(F.col("band") - F.col("other")) <= reach)
+    for number in range(ROUNDS):
+        if number:
+            kinds = members.groupBy("shingle", F.col("band").alias("other"), F.col("other").alias("band")).agg(
+                F.min("component").alias("low"), F.max("component").alias("high")
+            )
+            met = members.join(kinds, ["shingle", "band", "other"])
+        kept = (
+            met.where((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
+            .groupBy("set_id", "n", "other")
+            .agg(F.count(F.lit(1)).alias("shared"))
+            .join(ranges, "other")
+            .where(possible & (F.col("shared") >= needed))
+            .select("set_id", "other")
+        )
+        members = land(members.join(kept, ["set_id", "other"] if number else "set_id"), "open")
+    return members
+
+
 def _across(shared: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, shared`` of sets in different groups so far, by the prefix shingles they share.
 
-    First a set meets groups, not their members: it must share enough shingles with all members
-    of a group taken together, for the sizes these have. Only then does it meet them one by one.
+    First a set meets bands of sizes, then groups within them, and their members last: it must share
+    enough shingles with all members taken together, for the sizes these have.
     """
     members = (
         shared.join(groups, "set_id", "left")
         .join(classes.select("set_id", F.col("n_shingles").alias("n")), "set_id")
-        .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+        .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"), _band(F.col("n")).alias("band"))
     )
     mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low != high").select("shingle")
-    members = land(members.join(mixed, "shingle", "left_semi"), "members")
-    ranges = members.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    kinds = members.select("shingle", F.col("component").alias("other")).distinct()
-    n = F.col("n")
-    low = F.greatest(F.col("least"), F.floor(percent * n / 100).cast("long"))
-    high = F.least(F.col("most"), _ceil_div(100 * n, percent))
-    # one less than the least over the range, as rounding need not be monotone
-    needed = F.least(
-        _least_overlap(n, low, percent) - _ceil_div(percent * n, 100),
-        _least_overlap(n, high, percent) - _ceil_div(percent * high, 100),
-    )
+    members = _open(land(members.join(mixed, "shingle", "left_semi"), "members"), percent)
+    theirs = [F.col("component").alias("their"), F.col("band").alias("other"), F.col("other").alias("band")]
+    ranges = members.groupBy(*theirs[:2]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    possible, needed = _least_over(F.col("n"), F.col("least"), F.col("most"), percent)
     meets = (
-        members.join(kinds, "shingle")
-        .where("component != other")
-        .groupBy("set_id", "n", "component", "other")
+        members.join(members.select("shingle", *theirs).distinct(), ["shingle", "band", "other"])
+        .where("component != their")
+        .groupBy("set_id", "n", "component", "their", "other")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .join(ranges.withColumnRenamed("component", "other"), "other")
-        .where((low <= high) & (F.col("shared") >= needed))
-        .select("set_id", "component", "other")
+        .join(ranges, ["their", "other"])
+        .where(possible & (F.col("shared") >= needed))
+        .select("set_id", "component", "their", "other")
     )
     meets = land(meets, "meets")
-    each = members.drop("n").join(meets, ["set_id", "component"])
-    left = each.where("component < other").select("shingle", "component", "other", F.col("set_id").alias("a"))
-    right = each.where("component > other").select(
-        "shingle", F.col("other").alias("component"), F.col("component").alias("other"), F.col("set_id").alias("b")
+    each = members.drop("n").join(meets, ["set_id", "component", "other"])
+    left = each.where("component < their").select("shingle", "component", "their", "band", "other", F.col("set_id").alias("a"))
+    right = each.where("component > their").select(
+        "shingle",
+        F.col("their").alias("component"),
+        F.col("component").alias("their"),
+        F.col("other").alias("band"),
+        F.col("band").alias("other"),
+        F.col("set_id").alias("b"),
     )
     return (
-        left.join(right, ["shingle", "component", "other"])
+        left.join(right, ["shingle", "component", "their", "band", "other"])
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(F.count(F.lit(1)).alias("shared"))
     )
