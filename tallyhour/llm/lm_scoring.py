@@ -25,6 +25,8 @@ not named are left alone.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -44,8 +46,9 @@ END = 0x0A
 BLOCK_ROWS = 4_000_000
 #: Strings that one task builds trees of, on average.
 TREE_ROWS = 100_000
-#: Sums that a task holds before it merges them.
-_PENDING = 800_000
+#: Sums that a task holds before it merges them, and different keys that it holds before it passes them on.
+_PENDING = 400_000
+_HOLDS = 800_000
 #: Bytes of text that a task works on at a time; the sums take the rest of its memory.
 _SLICE = 1 << 19
 
@@ -86,44 +89,75 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Sums:
-    """Counts by key, merged whenever enough are pending."""
+    """Counts by key, merged whenever enough are pending, and handed over whenever many keys are held."""
 
     def __init__(self):
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.pending = 0
 
-    def add(self, keys: np.ndarray, learns: int) -> None:
+    def add(self, keys: np.ndarray, learns: int) -> bool:
+        """Whether to take the sums now."""
         found, counts = np.unique(keys, return_counts=True)
-        self._push(found, counts * learns)
+        self.keys.append(found)
+        self.counts.append(counts * learns)
+        self.pending += len(found)
+        return self.pending > _PENDING and self._merge() > _HOLDS
 
-    def _push(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.pending += len(keys)
-        if self.pending > _PENDING:
-            self.merged()
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def _merge(self) -> int:
         if len(self.keys) > 1:
             keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = keys[1:] != keys[:-1]
             starts = np.flatnonzero(fresh)
             self.keys, self.counts = [keys[starts]], [np.add.reduceat(counts, starts) if len(starts) else counts]
         self.pending = 0
-        return self.keys[0], self.counts[0]
+        return len(self.keys[0]) if self.keys else 0
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self._merge():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = self.keys[0], self.counts[0]
+        self.keys, self.counts = [], []
+        return keys, counts
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker that waits keeps none for tasks that are over."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, without this call
+        pass
 
 
 def _gather(rows: DataFrame, depth: int) -> DataFrame:
-    """``kind, item, n, unlearned`` per task: counts in training texts, and whether other texts have the item."""
+    """``kind, item, n, unlearned`` per task: counts in training texts, and whether other texts have the item.
+
+    A task holds a bounded number of keys and may pass on a key more than once; the shuffle adds up.
+    """
+
+    def taken(kind: int, side: bool, one: _Sums) -> Iterator[pa.RecordBatch]:
+        keys, counts = one.take()
+        for start in range(0, len(keys), 1 << 18):
+            part = slice(start, start + (1 << 18))
+            size = len(keys[part])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(size, kind, np.int32)),
+                    spans.signed(keys[part]),
+                    pa.array(counts[part]),
+                    pa.array(np.full(size, side)),
+                ],
+                names=["kind", "item", "n", "unlearned"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _HELD.clear()  # tables of an earlier run in this worker
+        _give_back()
         sums = {(kind, held): _Sums() for kind in (GRAM, WORD) for held in (False, True)}
         tokens = 0
         for batch in spans.slices(batches, "text", _SLICE):
@@ -133,27 +167,18 @@ def _gather(rows: DataFrame, depth: int) -> DataFrame:
                 if not len(texts):
                     continue
                 data, offsets, n_words = _stream(texts, depth)
-                sums[GRAM, side].add(_strings(data, offsets, depth), int(not side))
-                sums[WORD, side].add(_word_hashes(data, offsets), int(not side))
+                for kind, keys in ((GRAM, _strings(data, offsets, depth)), (WORD, _word_hashes(data, offsets))):
+                    if sums[kind, side].add(keys, int(not side)):
+                        yield from taken(kind, side, sums[kind, side])
                 tokens += 0 if side else int(n_words.sum()) + len(n_words)
         for (kind, side), one in sums.items():
-            keys, counts = one.merged()
-            for start in range(0, len(keys), 1 << 18):
-                part = slice(start, start + (1 << 18))
-                size = len(keys[part])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(size, kind, np.int32)),
-                        spans.signed(keys[part]),
-                        pa.array(counts[part]),
-                        pa.array(np.full(size, side)),
-                    ],
-                    names=["kind", "item", "n", "unlearned"],
-                )
+            yield from taken(kind, side, one)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TOTAL], pa.int32()), pa.array([0], pa.int64()), pa.array([tokens], pa.int64()), pa.array([False])],
             names=["kind", "item", "n", "unlearned"],
         )
+        sums.clear()
+        _give_back()
 
     return rows.mapInArrow(run, "kind int, item long, n long, unlearned boolean")
 
@@ -313,9 +338,10 @@ def string_probabilities(counts: DataFrame, depth: int, tree_rows: int = TREE_RO
         if built is None:
             return
         strings, trees = built
-        yield pa.RecordBatch.from_arrays(
-            [spans.signed(strings), pa.array(trees.log10_probability(upper.value))], names=["item", "value"]
-        )
+        values = trees.log10_probability(upper.value)
+        del built, trees
+        yield pa.RecordBatch.from_arrays([spans.signed(strings), pa.array(values)], names=["item", "value"])
+        _give_back()
 
     return dealt.mapInArrow(predict, "item long, value double")
 
@@ -415,6 +441,7 @@ def _scored(rows: DataFrame, number: int, blocks: int, tables, depth: int, total
                 ],
                 names=["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
+        _give_back()
 
     return rows.mapInArrow(
         run,
