@@ -40,16 +40,22 @@ def incremental_scan(
     return rows.where(F.col("ts") <= last)
 
 
-def first_span(scan: DataFrame, cursor: Cursor, span: str) -> DataFrame:
+def first_span(scan: DataFrame, cursor: Cursor, span: str, near: bool = False) -> DataFrame:
     """The rows of a scan up to ``span`` (an interval) past its earliest ``ts`` after ``cursor``.
 
-    Finding that ``ts`` reads one column; as a literal it then bounds the scan itself. Rows
+    Finding that ``ts`` reads one column; as a literal it then bounds the scan itself. With ``near`` it is first
+    looked for within a span of the cursor, so that not all later rows are read for it. Rows
     of an overlap lie before the cursor and do not count, or the cursor might never move.
     """
-    earliest = scan.where(F.col("ts") > instant(cursor)).agg(iso_text(F.min("ts")).alias("ts")).first().ts
-    if earliest is None:
-        return scan
-    return scan.where(F.col("ts") <= instant(earliest) + F.expr(f"INTERVAL {span}"))
+    later = scan.where(F.col("ts") > instant(cursor))
+    length = F.expr(f"INTERVAL {span}")
+    earliest = _earliest(later.where(F.col("ts") <= instant(cursor) + length)) if near else None
+    earliest = earliest or _earliest(later)
+    return scan if earliest is None else scan.where(F.col("ts") <= instant(earliest) + length)
+
+
+def _earliest(rows: DataFrame) -> str | None:
+    return rows.agg(iso_text(F.min("ts")).alias("ts")).first().ts
 
 
 def cursor_columns(cursor: Cursor, poll_start: Cursor, strict: bool = False) -> list[Column]:

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyhour.functions import EPOCH, instant, iso_text
+from tallyhour.functions import EPOCH, iso_text
 from tallyhour.operators.capture import cursor_columns, first_span, incremental_scan
 from tallyhour.operators.envelope import to_envelope
 from tallyhour.sinks.cursor import CursorTable
@@ -66,15 +66,8 @@ def run_increment(
         publish(to_envelope(observed, EPOCH if snapshot_until else cursor))
         return Increment(cursor, seen.get["next_cursor"], seen.get["sent"])
 
-    if not span:
-        result = send(scan)
-    elif fresh:
-        result = send(first_span(scan, cursor, span))
-    else:
-        # most spans have rows; only after one without is the next row looked for
-        result = send(scan.where(F.col("ts") <= instant(cursor) + F.expr(f"INTERVAL {span}")))
-        if parse(result.next_cursor) == parse(cursor):
-            result = send(first_span(scan, cursor, span))
+    # most spans have rows near the cursor; only after one without is the next row looked for in all
+    result = send(first_span(scan, cursor, span, near=not fresh) if span else scan)
     finished = parse(result.next_cursor) == parse(cursor)
     cursors.save(spark, result.next_cursor, None if finished else snapshot_until)
     return result
