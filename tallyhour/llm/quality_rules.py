@@ -1,11 +1,14 @@
 """Quality rules: line frequency across documents, and rules within one document.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to one space) and hashed. For
-each host the documents that hold a line are counted, and the different neighbourhoods the line
-stands in. A line is boilerplate where more than ``max_documents`` documents of the
-host hold it, most of them in a neighbourhood of its own: lines that travel with the same
-neighbours belong to copies of a document, which are for deduplication to judge. Boilerplate lines
-are taken away, and a document that keeps less than ``min_left`` of its words is rejected.
+each host the documents that hold a line are counted; a line that more than ``max_documents`` of them
+hold is boilerplate, wherever it stands. Boilerplate lines are taken away, and a document that
+keeps less than ``min_left`` of its words is rejected.
+
+Copies of one text count once, as they are for deduplication to judge: documents of equal lines are one, and so
+are near copies. A near copy has less than ``own_share`` of its words in lines of its own, those that at most
+``max_documents`` different texts of the host hold; it is named by its main line, the rarest of its others. Documents
+of one host that are all made of one block and little else are near copies of each other by this.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails the rule on
 length; a null host is a host of its own; rows that repeat an id are judged one by one, and each
@@ -25,7 +28,7 @@ from tallyhour.llm import spans
 from tallyhour.llm.tables import land, own
 
 MAX_DOCUMENTS = 20
-OWN_PLACES = 0.6
+OWN_SHARE = 0.2
 MIN_LEFT = 0.1
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -37,7 +40,7 @@ _NORMAL[ord("0") : ord("9") + 1] = ord("0")
 
 _MEASURES = (
     "row_id long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, lines array<struct<line: long, place: long, line_words: int>>"
+    "n_repeat_words long, lines array<struct<line: long, line_words: int>>"
 )
 
 
@@ -84,13 +87,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(normal) + 1, np.uint64)
         np.cumsum(normal * weights, out=sums[1:])
         line = spans.mix(sums[line_last] - sums[line_first])
-        around = np.zeros(len(line) + 2, np.uint64)
-        around[1:-1] = line
-        same = np.zeros(len(line) + 1, bool)
-        same[1:-1] = line_text[1:] == line_text[:-1]
-        previous = np.where(same[:-1], around[:-2], np.uint64(1))
-        following = np.where(same[1:], around[2:], np.uint64(2))
-        places = spans.mix(spans.mix(previous) + following)
 
         # a text lists each of its lines once, at its first place and with the words of all places
         _, once, which = np.unique(spans.mix(line ^ own_key), return_index=True, return_inverse=True)
@@ -104,8 +100,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.zeros(batch.num_rows + 1, np.int32)
         np.cumsum(np.bincount(line_text[once], minlength=batch.num_rows), out=bounds[1:])
         structs = pa.StructArray.from_arrays(
-            [spans.signed(line[once]), spans.signed(places[once]), listed(line_words, pa.int32())],
-            ["line", "place", "line_words"],
+            [spans.signed(line[once]), listed(line_words, pa.int32())],
+            ["line", "line_words"],
         )
         yield pa.RecordBatch.from_arrays(
             [
@@ -125,23 +121,40 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def boilerplate_lines(
-    measured: DataFrame, max_documents: int = MAX_DOCUMENTS, own_places: float = OWN_PLACES
-) -> DataFrame:
-    """``host, line, n_documents, n_places`` of the lines above the limits, by two aggregates.
+def _frequent(each: DataFrame, document: str, max_documents: int) -> DataFrame:
+    """``host, line, n_documents`` of the lines that more than ``max_documents`` documents hold.
 
-    The first one sums per neighbourhood, so copies meet before the shuffle; a line that a third
-    of all documents hold is split over its neighbourhoods, and the second adds one row for each of
-    these, again summed in every task before it is sent.
+    Rows of one document meet first; a line that a third of all documents hold is split over these, and the
+    second aggregate is summed in every task before it is sent.
     """
-    each = measured.select("host", F.explode("lines").alias("at")).select("host", "at.line", "at.place")
     return (
-        each.groupBy("host", "line", "place")
-        .agg(F.count(F.lit(1)).alias("n"))
+        each.select("host", "line", document)
+        .distinct()
         .groupBy("host", "line")
-        .agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_places"))
-        .where((F.col("n_documents") > max_documents) & (F.col("n_places") > own_places * F.col("n_documents")))
+        .agg(F.count(F.lit(1)).alias("n_documents"))
+        .where(F.col("n_documents") > max_documents)
+    )
+
+
+def boilerplate_lines(
+    measured: DataFrame, max_documents: int = MAX_DOCUMENTS, own_share: float = OWN_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """``host, line, n_documents`` of the boilerplate lines, and ``row_id, host, line, line_words`` of all frequent lines.
+
+    Lines are counted over different texts first; the rows of those that pass are few, and are counted again
+    with near copies as one.
+    """
+    each = measured.select(
+        "row_id", "host", "n_words", F.xxhash64("lines.line").alias("same_text"), F.explode("lines").alias("at")
+    ).select("row_id", "host", "n_words", "same_text", "at.line", "at.line_words")
+    held = land(each.join(_frequent(each, "same_text", max_documents), ["host", "line"]), "frequent")
+    n_own = F.first("n_words") - F.sum("line_words")
+    main_line = F.min(F.struct("n_documents", "line"))["line"]
+    named = held.groupBy("row_id").agg(
+        F.when(n_own >= F.lit(own_share) * F.first("n_words"), F.first("same_text")).otherwise(main_line).alias("counts_as")
     )
+    counted = held.select("row_id", "host", "line").join(named, "row_id")
+    return _frequent(counted, "counts_as", max_documents), held.select("row_id", "host", "line", "line_words")
 
 
 def quality_rules(
@@ -150,7 +163,7 @@ def quality_rules(
     text_column: str = "text",
     host_column: str = "source",
     max_documents: int = MAX_DOCUMENTS,
-    own_places: float = OWN_PLACES,
+    own_share: float = OWN_SHARE,
     min_left: float = MIN_LEFT,
     min_words: int = MIN_WORDS,
     max_repeated: float = MAX_REPEATED,
@@ -166,11 +179,9 @@ def quality_rules(
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     measured = land(rows.mapInArrow(_measure, _MEASURES), "quality")
-    frequent = boilerplate_lines(measured, max_documents, own_places).select("host", "line")
+    boilerplate, held = boilerplate_lines(measured, max_documents, own_share)
     removed = (
-        measured.select("row_id", "host", F.explode("lines").alias("at"))
-        .select("row_id", "host", "at.line", "at.line_words")
-        .join(frequent, ["host", "line"], "left_semi")
+        held.join(boilerplate.select("host", "line"), ["host", "line"], "left_semi")
         .groupBy("row_id")
         .agg(F.sum("line_words").alias("removed_words"))
     )

@@ -58,6 +58,22 @@ def test_copies_are_left_to_deduplication(documents):
     assert all(r.removed_words < 40 and r.kept for r in quality_rules(documents(*near)).collect())
 
 
+def test_block_of_lines_is_boilerplate_wherever_it_stands(documents):
+    block = ["We use cookies here", " ".join(f"cookie{letters(k)}" for k in range(40)), " ".join(f"law{letters(k)}" for k in range(40)), "Accept them all"]
+    n_block = sum(len(line.split()) for line in block)
+    first = [(n, "\n".join([*block, *body(n)]), "en", "host") for n in range(12)]
+    last = [(n, "\n".join([*body(n), *block]), "en", "host") for n in range(12, 24)]
+    hollow = [(100 + n, "\n".join([*block, f"own{letters(n)}"]), "en", "host") for n in range(3)]
+    # families of near copies: each counts once, though every line of theirs is frequent
+    family = [(1000 + 100 * n + k, "\n".join([*block, *body(50 + n), f"copy{letters(n)}of{letters(k)}"]), "en", "third") for n in range(22) for k in range(21)]
+    few = [(10_000 + k, "\n".join([*block, *body(90), f"copy{letters(k)}"]), "en", "fourth") for k in range(40)]
+    found = {r.doc_id: r for r in quality_rules(documents(*first, *last, *hollow, *family, *few)).collect()}
+    assert all(found[n].kept and found[n].removed_words == n_block for n in range(24))
+    assert not any(found[100 + n].kept or found[100 + n].base_failed for n in range(3))
+    assert all(found[row[0]].kept and found[row[0]].removed_words == n_block for row in family)
+    assert all(found[row[0]].kept and found[row[0]].removed_words == 0 for row in few)
+
+
 def test_defined_cases(documents):
     good = "\n".join(body(5))
     rows = documents((1, good, "en", None), (1, good, "en", None), (None, good, None, None), (2, None, None, None))
