@@ -4,11 +4,13 @@ Markup is stripped into lines, one for each block of text. Elements that never h
 headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) leave empty lines in their place, as do
 lines that are mostly links, and, where a page marks its article, all lines outside it. The
 characters of lines are summed over a sliding window. The text surges where a line has text after a window
-without, and dives where a window without text follows; of the stretches between surge and dive the
-one with most text is kept, and others of at least ``KEPT_SHARE`` of it.
+without, and dives where a window without text follows.
 
-Page furniture leaves more empty lines than a window holds, so it ends a stretch; a single advert inside an article
-leaves one and does not. Lines are never dropped for being short.
+Page furniture leaves more empty lines than a window holds, so it ends a stretch, but never inside a container: all blocks of an
+article, or of one common parent, from the first surge to the last dive are one stretch, whatever was left out
+between them. Paragraphs right in the body count so if they are most of that stretch. A main stretch without a heading goes back to the
+one before it under the same parent. Of these stretches the one with most text is kept, and others of at least
+``KEPT_SHARE`` of it. Lines are never dropped for being short.
 
 Defined cases: a null or empty page has an empty text; markup that is cut off or unbalanced is read up to its
 end; rows that repeat an id are extracted one by one; a null id or url stays null; an empty table gives no rows;
@@ -61,6 +63,16 @@ _NAMES = frozenset(
     "widget widgets contentinfo".split()
 )
 _ARTICLE_ROLES = frozenset({"main", "article"})
+_CONTAINERS = frozenset("article main section div td center body html".split())
+_LISTS = frozenset("ul ol menu dir".split())
+_HEADINGS = frozenset({"h1", "h2"})
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
+_TEXT, _OPEN, _CLOSE, _BREAK = range(4)
+_CONTAINERS = frozenset("article main section div td center body html".split())
+_LISTS = frozenset("ul ol menu dir".split())
+_HEADINGS = frozenset({"h1", "h2"})
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
+_TEXT, _OPEN, _CLOSE, _BREAK = range(4)
 
 
 def _names(attrs: str) -> tuple[set[str], str, bool]:
@@ -80,145 +92,317 @@ def _names(attrs: str) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
-class _Lines:
-    """Lines of a page in order: text, characters inside links, and whether they lie in an article."""
+class _Element:
+    """An open tag: what it is, where it closes, and the container, article and heading it lies in."""
 
-    def __init__(self):
-        self.lines: list[tuple[str, int, bool]] = []
-        self.parts: list[str] = []
-        self.linked = 0
+    __slots__ = ("tag", "words", "hidden", "parent", "is_article", "named", "container", "article", "heading", "closed")
 
-    def text(self, raw: str, in_link: bool) -> None:
-        value = html.unescape(raw)
-        self.parts.append(value)
-        if in_link:
-            self.linked += len(_SPACE.sub(" ", value).strip())
+    def __init__(self, tag: str, attrs: str, parent: _Element | None):
+        self.tag, self.parent = tag, parent
+        self.words, role, self.hidden = _names(attrs) if "=" in attrs or "hidden" in attrs else (set(), "", False)
+        self.named = bool(self.words & _NAMES)
+        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & {"comment", "comments"}
+        self.container = self if tag in _CONTAINERS else parent and parent.container
+        self.article = parent and parent.article or (self if self.is_article else None)
+        self.heading = tag in _HEADINGS or bool(parent and parent.heading)
+        self.closed = 0
 
-    def end(self, in_article: bool) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append((text, self.linked, in_article))
-        self.parts, self.linked = [], 0
+    def left_out(self) -> bool:
+        if self.hidden:
+            return True
+        if self.tag == "header" and self.article and not self.named:
+            return False  # the heading of an article belongs to it
+        return self.tag in _FURNITURE or self.named and self.tag not in ("body", "html") and not self.is_article
 
-    def gap(self, n: int) -> None:
-        self.lines += [("", 0, False)] * n
 
+def _parse(page: str) -> list[tuple[int, object]]:
+    """Texts, and elements that open and close, in order; an element left open ends with the one around it."""
+    events: list[tuple[int, object]] = []
+    stack: list[_Element] = []
+    n_open: dict[str, int] = {}
+
+    def close_from(place: int) -> None:
+        while len(stack) > place:
+            one = stack.pop()
+            n_open[one.tag] -= 1
+            one.closed = len(events)
+            events.append((_CLOSE, one))
+
+    def near(tag: str, stops) -> int | None:
+        """Place of the open ``tag`` above the last element that stops the search."""
+        if n_open.get(tag):
+            for place in range(len(stack) - 1, -1, -1):
+                if stack[place].tag == tag:
+                    return place
+                if stops(stack[place].tag):
+                    return None
+        return None
 
-def page_lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
-    """The lines of a page, with empty ones where furniture stood."""
-    out = _Lines()
-    stack: list[tuple[str, str]] = []  # open elements that matter: tag, and what they are
-    articles = links = 0
     at, n = 0, len(page)
-    skipping: list[str] = []  # open elements inside one that is left out
-    skip_gap = 0
     while at < n:
         found = _TOKEN.search(page, at)
         if not found:
-            if not skipping:
-                out.text(page[at:], links > 0)
+            events.append((_TEXT, page[at:]))
             break
-        if found.start() > at and not skipping:
-            out.text(page[at : found.start()], links > 0)
+        if found.start() > at:
+            events.append((_TEXT, page[at : found.start()]))
         at = found.end()
-        if found["cdata"] is not None and not skipping:
-            out.text(found["cdata"], links > 0)
+        if found["cdata"] is not None:
+            events.append((_TEXT, found["cdata"]))
         if not found["tag"]:
             continue
-        tag, closing = found["tag"].lower(), bool(found["close"])
-        if tag in _RAW and not closing and not found["attrs"].rstrip().endswith("/"):
+        tag, closing, attrs = found["tag"].lower(), bool(found["close"]), found["attrs"]
+        if tag in _RAW and not closing and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if skipping:
-            # only elements of the same kind as the one left out are counted
-            if tag == skipping[0]:
-                if closing:
-                    skipping.pop()
-                elif tag not in _VOID:
-                    skipping.append(tag)
-                if not skipping:
-                    out.gap(skip_gap)
-            elif closing and tag in ("body", "html") or closing and any(tag == kind for kind, _ in stack) and tag == "article":
-                # an element left open ends with the one around it
-                skipping = []
-                out.gap(skip_gap)
-            if skipping or not closing or tag == "body" or tag == "html":
-                continue
-            if tag != "article":
-                continue
         if closing:
-            if tag == "a":
-                links = max(0, links - 1)
-            if tag in _BLOCK:
-                out.end(articles > 0)
+            block = tag in _BLOCK
+            place = near(tag, (lambda t: False) if block and tag != "p" else _BLOCK.__contains__)
+            if place is not None:
+                close_from(place)
+            elif block:
+                events.append((_BREAK, None))
+            continue
+        if tag in _BLOCK:
+            place = near("p", _BLOCK.__contains__)
+            if place is None and tag == "li":
+                place = near("li", _LISTS.__contains__)
+            if place is not None:
+                close_from(place)
+        one = _Element(tag, attrs, stack[-1] if stack else None)
+        events.append((_OPEN, one))
+        if tag not in _VOID:
+            stack.append(one)
+            n_open[tag] = n_open.get(tag, 0) + 1
+            if _SELF_CLOSED.search(attrs):
+                close_from(len(stack) - 1)
+    close_from(0)
+    return events
+
+
+class _Element:
+    """An open tag: what it is, where it closes, and the container, article and heading it lies in."""
+
+    __slots__ = ("tag", "words", "hidden", "parent", "is_article", "named", "container", "article", "heading", "closed")
+
+    def __init__(self, tag: str, attrs: str, parent: _Element | None):
+        self.tag, self.parent = tag, parent
+        self.words, role, self.hidden = _names(attrs) if "=" in attrs or "hidden" in attrs else (set(), "", False)
+        self.named = bool(self.words & _NAMES)
+        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & {"comment", "comments"}
+        self.container = self if tag in _CONTAINERS else parent and parent.container
+        self.article = parent and parent.article or (self if self.is_article else None)
+        self.heading = tag in _HEADINGS or bool(parent and parent.heading)
+        self.closed = 0
+
+    def left_out(self) -> bool:
+        if self.hidden:
+            return True
+        if self.tag == "header" and self.article and not self.named:
+            return False  # the heading of an article belongs to it
+        return self.tag in _FURNITURE or self.named and self.tag not in ("body", "html") and not self.is_article
+
+
+def _parse(page: str) -> list[tuple[int, object]]:
+    """Texts, and elements that open and close, in order; an element left open ends with the one around it."""
+    events: list[tuple[int, object]] = []
+    stack: list[_Element] = []
+    n_open: dict[str, int] = {}
+
+    def close_from(place: int) -> None:
+        while len(stack) > place:
+            one = stack.pop()
+            n_open[one.tag] -= 1
+            one.closed = len(events)
+            events.append((_CLOSE, one))
+
+    def near(tag: str, stops) -> int | None:
+        """Place of the open ``tag`` above the last element that stops the search."""
+        if n_open.get(tag):
             for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] == tag:
-                    articles -= sum(kind == "article" for _, kind in stack[place:])
-                    del stack[place:]
-                    if tag in ("article", "main"):
-                        out.gap(window + 1)
-                    break
+                if stack[place].tag == tag:
+                    return place
+                if stops(stack[place].tag):
+                    return None
+        return None
+
+    at, n = 0, len(page)
+    while at < n:
+        found = _TOKEN.search(page, at)
+        if not found:
+            events.append((_TEXT, page[at:]))
+            break
+        if found.start() > at:
+            events.append((_TEXT, page[at : found.start()]))
+        at = found.end()
+        if found["cdata"] is not None:
+            events.append((_TEXT, found["cdata"]))
+        if not found["tag"]:
             continue
-        attrs = found["attrs"]
-        words, role, hidden = _names(attrs) if "=" in attrs or "hidden" in attrs else (set(), "", False)
-        is_article = tag in ("article", "main") or role in _ARTICLE_ROLES
-        named = bool(words & _NAMES)
-        if tag == "header" and articles and not named:
-            left_out = False  # the heading of an article belongs to it
-        else:
-            left_out = hidden or tag in _FURNITURE or (named and tag not in ("body", "html") and not (is_article and not words & {"comment", "comments"}))
-        if left_out and tag not in _VOID:
-            if tag in _BLOCK or named:
-                out.end(articles > 0)
-            if not attrs.rstrip().endswith("/"):
-                skipping = [tag]
-                skip_gap = 1 if articles else window + 1
+        tag, closing, attrs = found["tag"].lower(), bool(found["close"]), found["attrs"]
+        if tag in _RAW and not closing and not attrs.rstrip().endswith("/"):
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else n
+            continue
+        if closing:
+            block = tag in _BLOCK
+            place = near(tag, (lambda t: False) if block and tag != "p" else _BLOCK.__contains__)
+            if place is not None:
+                close_from(place)
+            elif block:
+                events.append((_BREAK, None))
             continue
         if tag in _BLOCK:
-            out.end(articles > 0)
-        elif tag == "br":
-            out.text(" ", False)
-        if tag == "a":
-            links += 1
-        if is_article:
-            articles += 1
-            stack.append((tag, "article"))
-            if articles == 1:
+            place = near("p", _BLOCK.__contains__)
+            if place is None and tag == "li":
+                place = near("li", _LISTS.__contains__)
+            if place is not None:
+                close_from(place)
+        one = _Element(tag, attrs, stack[-1] if stack else None)
+        events.append((_OPEN, one))
+        if tag not in _VOID:
+            stack.append(one)
+            n_open[tag] = n_open.get(tag, 0) + 1
+            if _SELF_CLOSED.search(attrs):
+                close_from(len(stack) - 1)
+    close_from(0)
+    return events
+
+
+class _Lines:
+    """Lines of a page in order: text, characters inside links, and the innermost element around."""
+
+    def __init__(self):
+        self.lines: list[tuple[str, int, _Element | None]] = []
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def text(self, raw: str, in_link: bool) -> None:
+        value = html.unescape(raw)
+        self.parts.append(value)
+        if in_link:
+            self.linked += len(_SPACE.sub(" ", value).strip())
+
+    def end(self, here: _Element | None) -> None:
+        text = _SPACE.sub(" ", "".join(self.parts)).strip()
+        if text:
+            self.lines.append((text, self.linked, here))
+        self.parts, self.linked = [], 0
+
+    def gap(self, n: int) -> None:
+        self.lines += [("", 0, None)] * n
+
+
+def page_lines(page: str, window: int = WINDOW) -> list[tuple[str, int, _Element | None]]:
+    """The lines of a page, with empty ones where furniture stood."""
+    out = _Lines()
+    events = _parse(page)
+    here: _Element | None = None
+    at = links = 0
+    while at < len(events):
+        kind, one = events[at]
+        at += 1
+        if kind == _TEXT:
+            out.text(one, links > 0)
+        elif kind == _BREAK:
+            out.end(here)
+        elif kind == _CLOSE:
+            if one.tag in _BLOCK:
+                out.end(here)
+            links -= one.tag == "a"
+            here = one.parent
+            if one.article is one:
                 out.gap(window + 1)
-        elif tag in ("article", "main", "div", "section"):
-            stack.append((tag, ""))
-    if not skipping:
-        out.end(articles > 0)
+        elif one.tag not in _VOID and one.left_out():
+            if one.tag in _BLOCK or one.named:
+                out.end(here)
+                out.gap(1 if here and here.article else window + 1)
+            at = one.closed + 1
+        else:
+            if one.tag in _BLOCK:
+                out.end(here)
+            elif one.tag == "br":
+                out.text(" ", False)
+            if one.tag not in _VOID:
+                here = one
+                links += one.tag == "a"
+                if one.article is one:
+                    out.gap(window + 1)
+    out.end(here)
     return out.lines
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if merged and start < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
+        else:
+            merged.append((start, stop))
+    return merged
+
+
+def _back_to_heading(lines: list, lengths: list[int], start: int, stop: int) -> int:
+    """The heading that a stretch without one goes back to, if a container other than the body holds both."""
+    texts = [at for at in range(start, stop) if lengths[at]]
+    if any(lines[at][2] and lines[at][2].heading for at in texts):
+        return start
+    one = lines[max(texts, key=lengths.__getitem__)][2]
+    around = set()
+    while one:
+        if one.tag not in ("body", "html"):
+            around.add(one.container)
+        one = one.parent
+    for at in range(start - 1, -1, -1):
+        one = lines[at][2]
+        if lengths[at] and one and one.heading:
+            while one and one not in around:
+                one = one.parent
+            return at if one else start
+    return start
+
+
 def main_text(page: str, window: int = WINDOW, kept_share: float = KEPT_SHARE, max_linked: float = MAX_LINKED) -> str:
     """The text between the surge and the dive of a page's lines."""
     lines = page_lines(page, window)
-    marked = any(inside for _, _, inside in lines)
-    lengths = [
-        0 if not text or (marked and not inside) or (linked > max_linked * len(text) and not inside) else len(text)
-        for text, linked, inside in lines
-    ]
+    marked = any(here and here.article for _, _, here in lines)
+    lengths = []
+    for text, linked, here in lines:
+        inside = here and here.article
+        lengths.append(0 if not text or (marked and not inside) or (linked > max_linked * len(text) and not inside) else len(text))
     sums = [0]
     for length in lengths:
         sums.append(sums[-1] + length)
-    stretches: list[tuple[int, int, int]] = []
+    stretches: list[tuple[int, int]] = []
     start = None
     for at, length in enumerate(lengths):
         if start is None:
             if length:
                 start = at  # surge: text after a window without
         elif sums[min(at + window, len(lengths))] - sums[at] == 0:
-            stretches.append((sums[at] - sums[start], start, at))  # dive: a window without text follows
+            stretches.append((start, at))  # dive: a window without text follows
             start = None
     if start is not None:
-        stretches.append((sums[-1] - sums[start], start, len(lengths)))
+        stretches.append((start, len(lengths)))
     if not stretches:
         return ""
-    most = max(size for size, _, _ in stretches)
-    kept = [range(a, b) for size, a, b in stretches if size == most or size >= kept_share * most]
+    parents: dict[_Element | None, list[int]] = {}
+    for at, (_, _, here) in enumerate(lines):
+        if lengths[at]:
+            first_last = parents.setdefault(here and (here.article if marked else here.container), [at, at, 0])
+            first_last[1] = at
+            first_last[2] += lengths[at]
+    for parent, (first, last, size) in parents.items():
+        # the body holds the whole page, so it is a parent of the text only if most of it stands there by itself
+        if parent and parent.tag not in ("body", "html") or 2 * size >= sums[last + 1] - sums[first]:
+            stretches.append((first, last + 1))
+    stretches = _merged(stretches)
+    if not marked:
+        start, stop = max(stretches, key=lambda span: sums[span[1]] - sums[span[0]])
+        stretches = _merged([*stretches, (_back_to_heading(lines, lengths, start, stop), stop)])
+    sizes = [sums[stop] - sums[start] for start, stop in stretches]
+    kept = [range(*span) for size, span in zip(sizes, stretches) if size >= min(1, kept_share) * max(sizes)]
     return "\n".join(lines[at][0] for span in kept for at in span if lengths[at])
 
 

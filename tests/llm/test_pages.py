@@ -21,6 +21,32 @@ def test_main_text_without_furniture():
     assert main_text(MESSY) == want
 
 
+def test_furniture_does_not_split_the_text_of_a_container():
+    long = "".join(f"<p>Long paragraph {k} {'with many words ' * 9}</p>" for k in range(6))
+    ad = '<div class="ad">Buy now</div>'
+    want = "Title\nFirst words.\n" + "\n".join(f"Long paragraph {k} {'with many words ' * 9}".strip() for k in range(6))
+    heads = "<h1>Title</h1><p>First words.</p>"
+    outside = "<div class=x><p>Other things</p></div>" + ad
+    assert main_text(f"<body>{outside}<div class=content>{heads}{ad}{long}</div><footer>f</footer></body>") == want
+    assert main_text(f"<body>{outside}<article>{heads}{ad * 4}{long}</article></body>") == want
+    assert main_text(f"<body><nav>n</nav>{heads}{ad}{long}<footer>f</footer></body>") == want
+    assert main_text(f"<body>{outside}<div><div class=top>{heads}</div>{ad}<div class=text>{long}</div></div></body>") == want
+    assert main_text(f"<body><article>{heads}{long}</article><article>Small other one</article></body>") == want
+
+
+def test_furniture_does_not_split_the_text_of_a_container():
+    long = "".join(f"<p>Long paragraph {k} {'with many words ' * 9}</p>" for k in range(6))
+    ad = '<div class="ad">Buy now</div>'
+    want = "Title\nFirst words.\n" + "\n".join(f"Long paragraph {k} {'with many words ' * 9}".strip() for k in range(6))
+    heads = "<h1>Title</h1><p>First words.</p>"
+    outside = "<div class=x><p>Other things</p></div>" + ad
+    assert main_text(f"<body>{outside}<div class=content>{heads}{ad}{long}</div><footer>f</footer></body>") == want
+    assert main_text(f"<body>{outside}<article>{heads}{ad * 4}{long}</article></body>") == want
+    assert main_text(f"<body><nav>n</nav>{heads}{ad}{long}<footer>f</footer></body>") == want
+    assert main_text(f"<body>{outside}<div><div class=top>{heads}</div>{ad}<div class=text>{long}</div></div></body>") == want
+    assert main_text(f"<body><article>{heads}{long}</article><article>Small other one</article></body>") == want
+
+
 def test_main_text_of_odd_markup():
     assert main_text("") == ""
     assert main_text("plain &amp; simple") == "plain & simple"
