@@ -6,6 +6,9 @@ lines that are mostly links, and, where a page marks its article, all lines outs
 characters of lines are summed over a sliding window. The text surges where a line has text after a window
 without, and dives where a window without text follows.
 
+Furniture is known by its tag, or by a class, id or role that names nothing else. A form, header or named element that holds
+most of the text of the page's articles (of the page, if it marks none) is not left out, and none that holds its main element.
+
 Page furniture leaves more empty lines than a window holds, so it ends a stretch, but never inside a container: all blocks of an
 article, or of one common parent, from the first surge to the last dive are one stretch, whatever was left out
 between them. Paragraphs right in the body count so if they are most of that stretch. A main stretch without a heading goes back to the
@@ -51,7 +54,7 @@ _BLOCK = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name page furniture; whole words between hyphens, underscores or spaces.
+#: Names of page furniture in class, id or role: a whole name between spaces, or one made of these and ``_PLAIN`` words.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion adsense "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar "
@@ -62,6 +65,20 @@ _NAMES = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login search searchform "
     "widget widgets contentinfo".split()
 )
+#: Words that say where furniture stands or how it is made up, and nothing of what it holds.
+_PLAIN = frozenset(
+    "site page main primary secondary global top bottom left right upper lower inner outer sticky fixed mobile desktop "
+    "container wrapper wrap box bar area zone block row col column list items item links link group unit slot holder frame section "
+    "panel panels form button buttons icon icons tags posts articles stories header js the in".split()
+)
+#: Furniture whatever it holds, unless that is the page's main element.
+_NEVER = frozenset(
+    "comment comments commentlist discussion disqus respond reply replies cookie cookies consent gdpr".split()
+)
+_COMMENT = frozenset({"comment", "comments"})
+_COMMENT_PARTS = frozenset("body content text author meta entry".split())
+_NUMBER = re.compile(r"\d+(?:x\d+)?\Z")
+_SURE = _FURNITURE - {"form", "fieldset", "header"}
 _ARTICLE_ROLES = frozenset({"main", "article"})
 _CONTAINERS = frozenset("article main section div td center body html".split())
 _LISTS = frozenset("ul ol menu dir".split())
@@ -75,14 +92,24 @@ _SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 _TEXT, _OPEN, _CLOSE, _BREAK = range(4)
 
 
+def _furniture(token: str) -> set[str]:
+    """Names of furniture in a class, if it names nothing else: ``cookie-notice`` and not ``has-sidebar``."""
+    parts = [part for part in re.split(r"[^a-z0-9]+", token) if part]
+    named = _NAMES.intersection(parts)
+    if not named or parts[0] in _COMMENT and _COMMENT_PARTS.issuperset(parts[1:]):
+        return named
+    return named if all(part in named or part in _PLAIN or _NUMBER.match(part) for part in parts) else set()
+
+
 def _names(attrs: str) -> tuple[set[str], str, bool]:
-    """Words of class, id and role; the role; whether the element is hidden."""
+    """Furniture named by class, id and role; the role; whether the element is hidden."""
     words, role, hidden = set(), "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs))
     for name, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z0-9]+", value))
+            for token in value.split():
+                words |= _furniture(token)
             if name == "role":
                 role = value.strip()
         elif name == "style" and re.search(r"display\s*:\s*none", value):
@@ -93,23 +120,34 @@ def _names(attrs: str) -> tuple[set[str], str, bool]:
 
 
 class _Element:
-    """An open tag: what it is, where it closes, and the container, article and heading it lies in."""
+    """An open tag: what it is, where it closes, what it holds, and the container, article and heading it lies in."""
 
-    __slots__ = ("tag", "words", "hidden", "parent", "is_article", "named", "container", "article", "heading", "closed")
+    __slots__ = (
+        "tag", "words", "hidden", "parent", "is_article", "is_main", "named", "container", "article", "heading",
+        "opened", "closed", "holds_main", "holds_text",
+    )
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
         self.words, role, self.hidden = _names(attrs) if "=" in attrs or "hidden" in attrs else (set(), "", False)
-        self.named = bool(self.words & _NAMES)
-        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & {"comment", "comments"}
+        self.named = bool(self.words)
+        self.is_main = tag == "main" or role == "main"
+        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & _COMMENT
         self.container = self if tag in _CONTAINERS else parent and parent.container
         self.article = parent and parent.article or (self if self.is_article else None)
         self.heading = tag in _HEADINGS or bool(parent and parent.heading)
-        self.closed = 0
+        self.opened = self.closed = 0
+        self.holds_main = self.holds_text = False
+
+    def furniture(self) -> bool:
+        """Left out whatever the rest of the page is."""
+        return self.hidden or self.tag in _SURE or bool(self.words & _NEVER) and not self.is_article
 
     def left_out(self) -> bool:
-        if self.hidden:
+        if self.hidden or self.tag == "head":
             return True
+        if self.holds_main or self.holds_text and not self.furniture():
+            return False
         if self.tag == "header" and self.article and not self.named:
             return False  # the heading of an article belongs to it
         return self.tag in _FURNITURE or self.named and self.tag not in ("body", "html") and not self.is_article
@@ -171,6 +209,7 @@ def _parse(page: str) -> list[tuple[int, object]]:
             if place is not None:
                 close_from(place)
         one = _Element(tag, attrs, stack[-1] if stack else None)
+        one.opened = len(events)
         events.append((_OPEN, one))
         if tag not in _VOID:
             stack.append(one)
@@ -178,27 +217,39 @@ def _parse(page: str) -> list[tuple[int, object]]:
             if _SELF_CLOSED.search(attrs):
                 close_from(len(stack) - 1)
     close_from(0)
+    _weigh(events)
     return events
 
 
 class _Element:
-    """An open tag: what it is, where it closes, and the container, article and heading it lies in."""
+    """An open tag: what it is, where it closes, what it holds, and the container, article and heading it lies in."""
 
-    __slots__ = ("tag", "words", "hidden", "parent", "is_article", "named", "container", "article", "heading", "closed")
+    __slots__ = (
+        "tag", "words", "hidden", "parent", "is_article", "is_main", "named", "container", "article", "heading",
+        "opened", "closed", "holds_main", "holds_text",
+    )
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
         self.words, role, self.hidden = _names(attrs) if "=" in attrs or "hidden" in attrs else (set(), "", False)
-        self.named = bool(self.words & _NAMES)
-        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & {"comment", "comments"}
+        self.named = bool(self.words)
+        self.is_main = tag == "main" or role == "main"
+        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & _COMMENT
         self.container = self if tag in _CONTAINERS else parent and parent.container
         self.article = parent and parent.article or (self if self.is_article else None)
         self.heading = tag in _HEADINGS or bool(parent and parent.heading)
-        self.closed = 0
+        self.opened = self.closed = 0
+        self.holds_main = self.holds_text = False
+
+    def furniture(self) -> bool:
+        """Left out whatever the rest of the page is."""
+        return self.hidden or self.tag in _SURE or bool(self.words & _NEVER) and not self.is_article
 
     def left_out(self) -> bool:
-        if self.hidden:
+        if self.hidden or self.tag == "head":
             return True
+        if self.holds_main or self.holds_text and not self.furniture():
+            return False
         if self.tag == "header" and self.article and not self.named:
             return False  # the heading of an article belongs to it
         return self.tag in _FURNITURE or self.named and self.tag not in ("body", "html") and not self.is_article
@@ -260,6 +311,7 @@ def _parse(page: str) -> list[tuple[int, object]]:
             if place is not None:
                 close_from(place)
         one = _Element(tag, attrs, stack[-1] if stack else None)
+        one.opened = len(events)
         events.append((_OPEN, one))
         if tag not in _VOID:
             stack.append(one)
@@ -267,9 +319,37 @@ def _parse(page: str) -> list[tuple[int, object]]:
             if _SELF_CLOSED.search(attrs):
                 close_from(len(stack) - 1)
     close_from(0)
+    _weigh(events)
     return events
 
 
+def _weigh(events: list[tuple[int, object]]) -> None:
+    """Mark the elements that hold the page's main element, or most of the text of its articles.
+
+    Where no article is marked, all text outside links and sure furniture counts.
+    """
+    elements = [one for kind, one in events if kind == _OPEN and one.tag not in _VOID]
+    in_articles, anywhere = [0], [0]
+    mains = [0]
+    n_out = n_links = n_articles = 0
+    for kind, one in events:
+        size = 0
+        if kind == _TEXT and not n_out and not n_links:
+            size = len(_SPACE.sub(" ", one).strip())
+        elif kind in (_OPEN, _CLOSE) and one.tag not in _VOID:
+            step = 1 if kind == _OPEN else -1
+            n_out += step * one.furniture()
+            n_links += step * (one.tag == "a")
+            n_articles += step * one.is_article
+        in_articles.append(in_articles[-1] + (size if n_articles else 0))
+        anywhere.append(anywhere[-1] + size)
+        mains.append(mains[-1] + (kind == _OPEN and one.is_main and not one.hidden))
+    sums = in_articles if in_articles[-1] else anywhere
+    for one in elements:
+        one.holds_main = mains[one.closed] > mains[one.opened]
+        one.holds_text = 2 * (sums[one.closed] - sums[one.opened]) > sums[-1]
+
+
 class _Lines:
     """Lines of a page in order: text, characters inside links, and the innermost element around."""
 

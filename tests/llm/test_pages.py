@@ -47,6 +47,22 @@ def test_furniture_does_not_split_the_text_of_a_container():
     assert main_text(f"<body><article>{heads}{long}</article><article>Small other one</article></body>") == want
 
 
+def test_names_of_furniture_do_not_take_the_text_with_them():
+    text, rest = "<h1>Title</h1><p>Text of some length.</p>", '<div class="sidebar">Popular</div><footer>f</footer>'
+    want = "Title\nText of some length."
+    for name in ("layout has-sidebar", "content no-sidebar", "entry-content share-enabled", "with-sidebar", "sidebar", "widget"):
+        assert main_text(f'<body><div class="{name}"><article>{text}</article></div>{rest}</body>') == want
+        assert main_text(f'<body><div class="{name}">{text}</div>{rest}</body>') == want
+        assert main_text(f'<body><div class="{name}"><main>{text}</main>{rest}</div></body>') == want
+    assert main_text(f"<body><form><article>{text}</article></form>{rest}</body>") == want
+    assert main_text(f'<body><article><h1 class="banner-title">Title</h1><p>Text of some length.</p></article>{rest}</body>') == want
+    for name in ("cookie-notice", "sidebar-left", "ad_300x250", "widget-area-2", "comment-body", "main-nav", "related-posts"):
+        assert main_text(f'<body><article>{text}<div class="{name}"><p>Not this</p></div></article>{rest}</body>') == want
+    comments = "<article><p>" + "Many comments " * 20 + "</p></article>"
+    assert main_text(f"<body><article>{text}</article><div id=comments>{comments}</div></body>") == want
+    assert main_text(f'<body><article>{text}</article><div class="related"><article>Teaser</article></div></body>') == want
+
+
 def test_main_text_of_odd_markup():
     assert main_text("") == ""
     assert main_text("plain &amp; simple") == "plain & simple"
