@@ -8,9 +8,13 @@ text alone gives: how often a language declares each value, how often it stands
 prior of each host that is smoothed by that of its parent domain, and that by the prior of all rows, each weighing
 ``SMOOTHING`` rows. The posterior is the product, made to sum to one.
 
-A row is accepted if it has ``MIN_LETTERS`` letters and its best language reaches ``MIN_CONFIDENCE``.
+A row is accepted if it has ``MIN_LETTERS`` letters, its best language reaches ``MIN_CONFIDENCE``, and its text fits that
+language. The posterior only compares trained languages; whether it is any of them is told by the mean log likelihood of its trigrams.
+That may lie ``WIDTH`` deviations below the mean of the language's own labelled rows, where rows deviate as the labelled ones do
+(with ``SMOOTHING`` rows of deviation 1 added) and by the sampling of their trigrams, but never below that of even chances for all
+buckets. A row whose text does not fit has no text language, and is no evidence for others.
 
-Training counts every labelled row; the model has ``BUCKETS`` numbers for each language, and more than
+Training counts every labelled row, and then measures each against its language; the model has ``BUCKETS`` numbers for each language, and more than
 ``MAX_LANGUAGES`` languages are an error, which bounds what is sent to the workers.
 
 Defined cases: a null or empty text has no likelihood, and one without letters is not accepted and has language null;
@@ -40,6 +44,7 @@ TEXT_POWER = 0.05
 SMOOTHING = 10.0
 MIN_LETTERS = 10
 MIN_CONFIDENCE = 0.5
+WIDTH = 7.0
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(0xC3, 0xF5)]] = True
@@ -70,12 +75,29 @@ def _pages_as_text(batch: pa.RecordBatch) -> pa.Array:
 
 
 class Model:
-    """Languages and the logarithms of their trigram distributions."""
+    """Languages, the logarithms of their trigram distributions, and how labelled rows lie under them."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         self.logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
 
+        shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        self.means = (shares * self.logs).sum(axis=1)
+        self.gram_variances = (shares * (self.logs - self.means[:, None]) ** 2).sum(axis=1)
+        self.row_variances = np.ones(len(languages))
+
+    def measured(self, label: str, n: int, sum_: float, squares: float) -> None:
+        """Take the mean and variance of a language from the mean log likelihoods of its rows."""
+        at = self.languages.index(label)
+        self.means[at] = sum_ / n
+        self.row_variances[at] = (max(0.0, squares - sum_ * sum_ / n) + SMOOTHING) / (n + SMOOTHING)
+
+    def fits(self, likelihoods: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether each text may be of each language, whatever the other languages say."""
+        n = np.maximum(n, 1)[:, None]
+        least = self.means - WIDTH * np.sqrt(self.row_variances + self.gram_variances / n)
+        return likelihoods / n >= np.maximum(least, -np.log(BUCKETS))
+
     def likelihoods(self, buckets: np.ndarray, n: np.ndarray) -> np.ndarray:
         text = np.repeat(np.arange(len(n)), n)
         columns = [np.bincount(text, logs[buckets], len(n)) for logs in self.logs]
@@ -114,7 +136,31 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "l
     place = {label: at for at, label in enumerate(languages)}
     rows_ = np.array([place[label] for label in found.column("label").to_pylist()], np.int64)
     counts[rows_, found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return Model(languages, counts)
+    model = Model(languages, counts)
+    held = labelled.sparkSession.sparkContext.broadcast(model)
+    moments = rows.mapInArrow(lambda batches: _moments(batches, held.value), "label string, n long, sum double, squares double")
+    for row in moments.groupBy("label").agg(*[F.sum(name).alias(name) for name in ("n", "sum", "squares")]).collect():
+        model.measured(*row)
+    return model
+
+
+def _moments(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Number, sum and sum of squares of the mean log likelihoods of rows under their own language."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in spans.slices(batches, "text"):
+        labels = np.array(batch.column("label").to_pylist())
+        buckets, n, letters = _grams(batch.column("text"))
+        own_language = np.searchsorted(model.languages, labels)
+        text = np.repeat(np.arange(len(n)), n)
+        mean = np.bincount(text, model.logs[own_language[text], buckets], len(n)) / np.maximum(n, 1)
+        for label in np.unique(labels[letters >= MIN_LETTERS]).tolist():
+            values = mean[(labels == label) & (letters >= MIN_LETTERS)]
+            sums[label] = sums.get(label, 0) + np.array([len(values), values.sum(), (values**2).sum()])
+    if sums:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums)), *[pa.array([one[k] for one in sums.values()]).cast(kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))]],
+            names=["label", "n", "sum", "squares"],
+        )
 
 
 def page_evidence(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -156,6 +202,8 @@ def _text_evidence(rows: DataFrame, model, as_pages: bool) -> DataFrame:
             bounds = pa.array(np.arange(0, width * len(n) + 1, width, dtype=np.int32) if width else np.zeros(len(n) + 1, np.int32))
             has = (letters >= MIN_LETTERS) & (width > 0)
             best = likelihoods.argmax(axis=1) if width else np.zeros(len(n), np.int64)
+            fits = known.fits(likelihoods, n)
+            fitting = has & (fits[np.arange(len(n)), best] if width else False)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row_id"),
@@ -164,15 +212,17 @@ def _text_evidence(rows: DataFrame, model, as_pages: bool) -> DataFrame:
                     batch.column("suffix"),
                     batch.column("host"),
                     pa.array(letters),
-                    pa.array(best.astype(np.int32), mask=~has),
+                    pa.array(best.astype(np.int32), mask=~fitting),
                     pa.ListArray.from_arrays(bounds, pa.array(likelihoods.reshape(-1))),
+                    pa.ListArray.from_arrays(bounds, pa.array(fits.reshape(-1))),
                 ],
-                names=["row_id", "id", "declared", "suffix", "host", "letters", "best", "likelihoods"],
+                names=["row_id", "id", "declared", "suffix", "host", "letters", "best", "likelihoods", "fits"],
             )
 
     return rows.mapInArrow(
         run,
-        "row_id long, id long, declared string, suffix string, host string, letters long, best int, likelihoods array<double>",
+        "row_id long, id long, declared string, suffix string, host string, letters long, best int, likelihoods array<double>, "
+        "fits array<boolean>",
     )
 
 
@@ -256,7 +306,8 @@ def language_id(
     total = F.aggregate("logs", F.lit(0.0), lambda sum_, x: sum_ + F.exp(x - F.col("most")))
     names = F.array(*[F.lit(name) for name in model.languages])
     has = F.col("letters") >= MIN_LETTERS
-    language = F.when(has, F.element_at(names, F.array_position("logs", F.col("most")).cast("int")))
+    first = F.array_position("logs", F.col("most")).cast("int")
+    language = F.when(has, F.element_at(names, first))
     confidence = F.when(has, 1 / total).otherwise(F.lit(0.0))
     return joined.select(
         "row_id",
@@ -267,5 +318,5 @@ def language_id(
         F.get(names, F.col("best")).alias("text_language"),
         language.alias("language"),
         confidence.alias("confidence"),
-        (has & (confidence >= min_confidence)).alias("accepted"),
+        (has & (confidence >= min_confidence) & F.element_at("fits", first)).alias("accepted"),
     )

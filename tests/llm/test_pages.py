@@ -147,6 +147,20 @@ def test_text_alone_identifies_held_out_documents(spark):
     assert sum(r.language == r.truth for r in found) >= 0.97 * len(found)
 
 
+def test_texts_of_no_trained_language_are_rejected(spark):
+    docs = table(spark, SF, "documents").where("n_chars >= 100")
+    model = train(docs.where("doc_id % 5 != 0 and lang != 'es'"))
+    held = docs.where("doc_id % 5 = 0 or lang = 'es'").selectExpr("doc_id", "text", "null as lang", "source", "lang as truth")
+    noise = spark.range(20).selectExpr("id + 100000", "repeat(concat_ws(' ', sha2(string(id), 256), sha2(string(-id), 256)), 3)", "null", "'h'", "'noise'")
+    held = held.union(noise)
+    found = language_id(document_evidence(held), model).join(held.selectExpr("doc_id as id", "truth"), "id").collect()
+    for truth in ("es", "noise"):
+        rows = [r for r in found if r.truth == truth]
+        assert len(rows) >= 20 and sum(r.accepted for r in rows) <= 0.02 * len(rows)
+    rows = [r for r in found if r.truth not in ("es", "noise")]
+    assert sum(r.accepted and r.language == r.truth for r in rows) >= 0.97 * len(rows)
+
+
 def test_language_cases(spark, documents):
     model = train(documents((0, "le chat est la " * 9, "fr"), (1, "the cat is there " * 9, "en"), (2, None, "en"), (3, "x", None)))
     rows = documents((1, None), (2, ""), (3, "### 123"), (4, "le chat est la bas encore", None, None), (4, "the cat is there again", "fr", "h"), (None, "the cat is there"))
