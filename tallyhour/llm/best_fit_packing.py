@@ -5,8 +5,8 @@ sequence, of which the first may be shorter. The rest are packed per partition b
 a lower bound from dual-feasible functions certifies the partition where it needs no more
 sequences than the bound. Partitions with a gap keep their full sequences and exchange the pieces of the others, certified ones
 those of their emptiest sequence, which the bound of all partitions together may spare. These are
-dealt out anew, by another hash and over fewer partitions, and packed again, until one partition
-holds all that is left. Every round runs as one grouped job over partitions of a bounded number of pieces.
+dealt out anew, by another hash and over half the partitions or fewer, and packed again, until one partition
+holds all that is left. The sequences made and the bound of all pieces together are logged. Every round runs as one grouped job over partitions of a bounded number of pieces.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are packed one by
 one; a null id stays null; an empty table gives no rows; columns not named are left alone.
@@ -14,6 +14,8 @@ one; a null id stays null; an empty table gives no rows; columns not named are l
 
 from __future__ import annotations
 
+import itertools
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -27,26 +29,27 @@ from pyspark.sql import functions as F
 from tallyhour.llm import spans
 from tallyhour.llm.tables import land, own
 
+_log = logging.getLogger(__name__)
+
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs, on average.
 PARTITION = 4_000
-ROUNDS = 8
 
 _PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", part long, bin long, offset long, done boolean"
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, each: np.ndarray | None = None) -> int:
     """The best of the dual-feasible functions' bounds on the number of sequences.
 
     Two families: one counts lengths over ``capacity - k`` as whole, those of ``k`` or more as
-    they are and drops the rest; the other rounds ``(n + 1) * length / capacity`` down unless it is whole.
+    they are and drops the rest; the other rounds ``(n + 1) * length / capacity`` down unless it is whole. ``each``: how often each of the lengths, then all different, occurs.
     """
     if not len(lengths):
         return 0
-    sizes, counts = np.unique(lengths, return_counts=True)
+    sizes, counts = np.unique(lengths, return_counts=True) if each is None else (lengths, each)
     best = -(-int((sizes * counts).sum()) // capacity)
     for k in np.unique(np.minimum(sizes, capacity - sizes)):
         if 0 < k <= capacity // 2:
@@ -153,20 +156,28 @@ def best_fit_packing(
     id_column: str = "doc_id",
     text_column: str = "text",
     partition: int = PARTITION,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
     waiting = land(pieces(documents, tokenizer, capacity, end_id, id_column, text_column), "pieces")
-    n_waiting, packed = waiting.count(), []
-    for number in range(rounds):
-        parts = max(1, -(-n_waiting // partition))
+    lengths = waiting.groupBy("length").count().toPandas()
+    n_waiting, packed, made = int(lengths["count"].sum()), [], 0
+    parts = max(1, -(-n_waiting // partition))
+    for number in itertools.count():
         dealt = _round(waiting, number, parts, capacity)
-        n_before, n_waiting = n_waiting, dealt.where(~F.col("done")).count()
-        if not n_waiting or parts == 1 or number == rounds - 1 or n_waiting == n_before and number:
+        begins = F.col("offset") == 0
+        found = dealt.agg(F.count_if(~F.col("done")), F.count_if(begins), F.count_if(begins & F.col("done"))).first()
+        n_waiting = found[0]
+        if not n_waiting or parts == 1:
             packed.append(dealt)
+            made += found[1]
             break
         packed.append(dealt.where("done"))
+        made += found[2]
         waiting = dealt.where(~F.col("done")).drop("offset", "done", "sequence_id")
+        # halved at least, so that it ends
+        parts = max(1, min(-(-n_waiting // partition), parts // 2))
+    bound = lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
+    _log.info("%d sequences, %d at least", made, bound)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     result = packed[0].select(*columns)
     for more in packed[1:]:

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tallyhour.llm import best_fit_packing as packing
 from tallyhour.llm import tokens
 from tallyhour.llm.best_fit_packing import best_fit_decreasing, best_fit_packing, lower_bound
 from tallyhour.llm.token_counts import token_counts
@@ -101,3 +102,15 @@ def test_packing_gives_every_id_back(documents, partition):
         assert sum(pieces[-1]) <= 64
     assert len(sequences) <= lower_bound(np.array([row["length"] for row in found]), 64) + 2
     assert best_fit_packing(documents("x").limit(0)).count() == 0
+
+
+def test_exchange_goes_on_until_one_partition_is_left(spark, documents, monkeypatch, caplog):
+    seen = []
+    monkeypatch.setattr(packing, "_round", lambda *args, made=packing._round: (seen.append(args[2]), made(*args))[1])
+    docs = documents(*[(k, "word " * 11) for k in range(160)])
+    with caplog.at_level("INFO", packing.__name__):
+        packed = packing.best_fit_packing(docs, capacity=30, partition=1).collect()
+    assert seen[-1] == 1 and all(after <= before // 2 for before, after in zip(seen, seen[1:]))
+    made, bound = caplog.records[-1].args
+    assert made == len({r.sequence_id for r in packed}) and len(packed) == 160
+    assert bound == packing.lower_bound(np.array([r.length for r in packed]), 30) <= made
