@@ -435,17 +435,18 @@ def _scored(rows: DataFrame, number: int, blocks: int, tables, depth: int, total
                     batch.column("doc_id"),
                     batch.column("held_out"),
                     pa.array(n_words + 1),
+                    pa.array(lengths.astype(np.int64)),
                     pa.array(known.astype(np.int64)),
                     pa.array(base),
                     pa.array(score),
                 ],
-                names=["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                names=["row_id", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score"],
             )
         _give_back()
 
     return rows.mapInArrow(
         run,
-        "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+        "row_id long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double",
     )
 
 
@@ -462,7 +463,10 @@ def lm_scoring(
     block_rows: int = BLOCK_ROWS,
     tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of each row."""
+    """``doc_id, held_out, n_tokens, n_bytes, n_known, train_tokens, base_score, score, bits_per_byte`` of each row.
+
+    ``n_bytes`` are the bytes scored: those of the normalised text and its end.
+    """
     spark = documents.sparkSession
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7: strings are 64-bit numbers")
@@ -509,9 +513,17 @@ def lm_scoring(
         tables.unpersist()
         partial = one if partial is None else partial.unionByName(one)
     if blocks > 1:
-        partial = partial.groupBy("row_id", "doc_id", "held_out", "n_tokens").agg(
+        partial = partial.groupBy("row_id", "doc_id", "held_out", "n_tokens", "n_bytes").agg(
             *[F.sum(name).alias(name) for name in ("n_known", "base_score", "score")]
         )
     return partial.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_bytes",
+        "n_known",
+        F.lit(n_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -101,3 +101,14 @@ def test_empty_tables(documents):
     alone = lm_scoring(documents((None, "only held out"))).collect()
     # nothing learned: every decision is even
     assert alone[0].score == pytest.approx(-8 * 14 * math.log10(2)) and alone[0].train_tokens == 0
+
+
+@pytest.mark.parametrize("block_rows", [10**6, 20])
+def test_code_length_per_byte(documents, block_rows):
+    even = {r.doc_id: r for r in lm_scoring(documents((None, "a  B\nc")), block_rows=block_rows).collect()}
+    # nothing learned: eight bits for each byte of "a b c" and its end
+    assert even[None].n_bytes == 6 and even[None].bits_per_byte == pytest.approx(8)
+    texts = ["the cat sat", "", "a dog é sat", None, "the cat sat on the mat"]
+    for row in lm_scoring(documents(*enumerate(texts)), block_rows=block_rows).collect():
+        assert row.n_bytes == len((texts[row.doc_id] or "").encode()) + 1
+        assert row.bits_per_byte == pytest.approx(-row.score / math.log10(2) / row.n_bytes)
