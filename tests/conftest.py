@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime, timezone
 
 import pytest
 
@@ -11,9 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tallyhour.schemas import TRACKING, ddl  # noqa: E402
 from tallyhour.session import build  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -45,10 +41,6 @@ def conf(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def at(text: str) -> datetime:
-    return datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
-
-
 @pytest.fixture
 def tracking(spark):
     """Raw rows from dicts; columns not named are NULL."""
@@ -69,20 +61,3 @@ def messages(spark):
         )
 
     return make
-
-
-def event(kind="click", bid=1.0, job=1, ts="2025-10-01T10:30:00", publisher=15, campaign=301, group=45, **more):
-    return {
-        "custom_track": kind,
-        "bid": bid,
-        "job_id": job,
-        "ts": at(ts) if ts else None,
-        "publisher_id": publisher,
-        "campaign_id": campaign,
-        "group_id": group,
-        **more,
-    }
-
-
-def rows_of(frame, *columns):
-    return sorted((tuple(row) for row in frame.select(*columns).collect()), key=repr)

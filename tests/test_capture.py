@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 import pytest
-from conftest import SF, event, rows_of
+from support import SF, event, rows_of
 
 from tallyhour.functions import EPOCH, instant, op_code
 from tallyhour.operators.capture import incremental_scan, next_cursor

@@ -8,7 +8,7 @@ import subprocess
 import sys
 import time
 
-from conftest import event, rows_of
+from support import event, rows_of
 
 from tallyhour.operators.envelope import to_envelope
 from tallyhour.operators.rollup import hourly

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import event, rows_of
+from support import event, rows_of
 from pyspark.sql import functions as F
 
 from tallyhour.operators.dedup import distinct_changes

@@ -4,7 +4,7 @@ import json
 import math
 
 import pytest
-from conftest import event, rows_of
+from support import event, rows_of
 
 from tallyhour.operators.envelope import parse_envelope, read_changes, to_envelope
 from tallyhour.operators.rollup import hourly, require_job

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import event, rows_of
+from support import event, rows_of
 from pyspark.sql import functions as F
 
 from tallyhour.operators.enrich import with_company

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import SF
+from support import SF
 
 from tallyhour.operators.contract import with_ids
 from tallyhour.operators.rollup import hourly

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF
+from support import SF
 
 import __spark_entry__ as contract
 import check

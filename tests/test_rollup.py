@@ -5,7 +5,7 @@ from collections import defaultdict
 from datetime import date
 
 import pytest
-from conftest import SF_ORACLE, event, rows_of
+from support import SF_ORACLE, event, rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

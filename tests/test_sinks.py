@@ -3,7 +3,7 @@ from __future__ import annotations
 import uuid
 
 import pytest
-from conftest import event, rows_of
+from support import event, rows_of
 from pyspark.sql import functions as F
 
 from tallyhour.operators.contract import events_rows, to_events_contract, with_ids, with_table_defaults

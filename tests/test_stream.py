@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import event, rows_of
+from support import event, rows_of
 from pyspark.errors import StreamingQueryException
 
 from tallyhour.jobs import capture as capture_job
