@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhour.llm import exact_topk as topk
+from tallyhour.llm import fill_in_middle as middle
 from tallyhour.llm import mix_sources as mixing
 from tallyhour.llm import url_filters as urls
 from tallyhour.llm.best_fit_packing import best_fit_packing
+from tallyhour.llm.embedding_whitening import embedding_whitening
 from tallyhour.llm.html_extraction import html_extraction
 from tallyhour.llm.language_id import language_id, page_evidence, train
 from tallyhour.llm.lm_scoring import lm_scoring
@@ -82,6 +84,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
 _QUERIES: list[Query] = [
     op1_url_filters,
     op2_ngram_jaccard_join,
@@ -93,6 +103,8 @@ _QUERIES: list[Query] = [
     op8_token_counts,
     op9_exact_topk,
     op10_mix_sources,
+    op11_fill_in_middle,
+    op13_embedding_whitening,
 ]
 
 
@@ -113,4 +125,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": urls.ORACLE_SQL,
         "op9_exact_topk": topk.ORACLE_SQL,
         "op10_mix_sources": mixing.ORACLE_SQL,
+        "op11_fill_in_middle": middle.ORACLE_SQL,
     }
