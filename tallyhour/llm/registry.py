@@ -20,6 +20,7 @@ from tallyhour.llm.html_extraction import html_extraction
 from tallyhour.llm.language_id import language_id, page_evidence, train
 from tallyhour.llm.lm_scoring import lm_scoring
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
+from tallyhour.llm.pii import personal_data
 from tallyhour.llm.quality_rules import quality_rules
 from tallyhour.llm.tables import table
 from tallyhour.llm.token_counts import token_counts
@@ -88,6 +89,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("row_id", "base_spans")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening(table(spark, sf_dir, "embeddings"))
 
@@ -104,6 +110,7 @@ _QUERIES: list[Query] = [
     op9_exact_topk,
     op10_mix_sources,
     op11_fill_in_middle,
+    op12_pii,
     op13_embedding_whitening,
 ]
 
