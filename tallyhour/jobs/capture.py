@@ -8,6 +8,7 @@ from tallyhour.jobs.options import option_map
 from tallyhour.plans.capture import POLL_SECONDS, poll, run_increment
 from tallyhour.session import build
 from tallyhour.sinks.cursor import CursorTable
+from tallyhour.sinks.ledger import SentLedger
 from tallyhour.sinks.topic import publish
 from tallyhour.sources.raw import raw_table
 
@@ -23,8 +24,9 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument(
         "--overlap",
         default="1 hour",
-        help="also send this stretch before the cursor again, for rows that arrive late; readers drop the copies",
+        help="look again at this stretch before the cursor, for rows that arrive late",
     )
+    parser.add_argument("--resend", action="store_true", help="send all of the overlap at every poll; readers drop the copies")
     parser.add_argument("--span", help="most time one increment may cover, such as '1 day', for a long first scan")
     parser.add_argument("--strict", action="store_true", help="scan ts > cursor only, without settling time or overlap")
     parser.add_argument("--seconds", type=float, default=POLL_SECONDS, help="time between polls")
@@ -37,6 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = build("tallyhour-capture")
     cursors = CursorTable(args.cursor)
     topic = option_map(args.topic_option)
+    ledger = None if args.resend else SentLedger(f"{args.cursor.rstrip('/')}/ledger")
+    lease = cursors.take_lease(spark)
 
     def increment():
         # read anew for each poll, so that new files or splits of the table are seen
@@ -49,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
             overlap=args.overlap,
             span=args.span,
             strict=args.strict,
+            ledger=ledger,
+            lease=lease,
         )
 
     return poll(increment, args.polls, args.seconds)

@@ -11,7 +11,7 @@ from tallyhour.jobs.options import option_map
 from tallyhour.plans.batch import BatchSink, deliver
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, PUBLISHER
 from tallyhour.session import build, for_state
-from tallyhour.sinks.batches import BatchTable
+from tallyhour.sinks.batches import BatchTable, tally_table
 from tallyhour.sinks.jdbc import jdbc_plain_sink, jdbc_sink
 from tallyhour.sources.dimension import jdbc_dimension, stored_dimension
 from tallyhour.sources.topic import topic_stream
@@ -31,6 +31,8 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--job-path", help="job dimension as parquet, instead of over JDBC")
     parser.add_argument("--publisher-path", help="publisher dimension as parquet, instead of over JDBC")
     parser.add_argument("--events-path", help="fact table as parquet batches, instead of over JDBC")
+    parser.add_argument("--tally-path", help="state rows as parquet batches for jobs/compact.py, instead of fact rows")
+    parser.add_argument("--dead-letter-path", help="folder for messages that cannot be read, with the reason")
     parser.add_argument("--quarantine-path", help="folder for rows whose job or publisher is unknown")
     parser.add_argument(
         "--dedup-horizon",
@@ -78,9 +80,15 @@ def main(argv: list[str] | None = None) -> None:
         quarantine = _stamped(BatchTable(args.quarantine_path, {**fact, "failed_reference": "string"}))
         landing = args.quarantine_path.rstrip("/") + "-landing"
     sink = deliver(load_job, write, load_publisher, quarantine, landing, check_size=True)
+    if args.tally_path:
+        sink = tally_table(args.tally_path).write
+    dead = dead_landing = None
+    if args.dead_letter_path:
+        dead = BatchTable(args.dead_letter_path, {"reason": "string", "value": "binary"}).write
+        dead_landing = args.dead_letter_path.rstrip("/") + "-landing"
     trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger} if args.trigger else {}
     topic = topic_stream(spark, option_map(args.topic_option), args.topic_format)
-    run_rollup(topic, sink, args.checkpoint, horizon, **trigger).awaitTermination()
+    run_rollup(topic, sink, args.checkpoint, horizon, dead, dead_landing, **trigger).awaitTermination()
 
 
 if __name__ == "__main__":

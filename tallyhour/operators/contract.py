@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,13 @@ def last_id(stored: DataFrame) -> int:
     return stored.agg(F.max("id")).first()[0] or 0
 
 
-def with_ids(rows: DataFrame, order_by: list[str], start: int = 0, path: str | None = None) -> DataFrame:
+def with_ids(
+    rows: DataFrame, order_by: list[str], start: int | Callable[[int], int] = 0, path: str | None = None
+) -> DataFrame:
     """Dense ids from ``start + 1`` in the order of ``order_by``, which must be unique.
 
+    ``start`` may be a function of the number of rows, such as one that reserves that many ids.
+
     Rows are range-partitioned and written once with their place inside the partition;
     the partition sizes then give each partition its offset. No task sees all rows: the
     offsets are one row per shuffle partition. The written copy fixes the range bounds,
@@ -44,6 +50,8 @@ def with_ids(rows: DataFrame, order_by: list[str], start: int = 0, path: str | N
         .write.parquet(path)
     )
     placed = spark.read.parquet(path)
+    if callable(start):
+        start = start(placed.count())
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part")
@@ -55,7 +63,9 @@ def with_ids(rows: DataFrame, order_by: list[str], start: int = 0, path: str | N
     return numbered.select(new_id.cast("bigint").alias("id"), *rows.columns)
 
 
-def events_rows(spark: SparkSession, contract: DataFrame, start: int = 0, path: str | None = None) -> DataFrame:
+def events_rows(
+    spark: SparkSession, contract: DataFrame, start: int | Callable[[int], int] = 0, path: str | None = None
+) -> DataFrame:
     """All columns of the fact table, ids and defaults included; ids go on after ``start``."""
     order = ["job_id", "dates", "hours", "publisher_id", "campaign_id", "group_id"]
     return with_table_defaults(with_ids(contract, order, start, path)).select(*EVENTS)

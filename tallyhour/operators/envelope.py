@@ -51,3 +51,37 @@ def normalize_ts(changes: DataFrame) -> DataFrame:
 
 def read_changes(messages: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return normalize_ts(parse_envelope(messages, fields))
+
+
+def read_or_refuse(messages: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """The changed row of each message, as ``read_changes`` gives it, or why there is none.
+
+    ``dead_reason`` is NULL for a row that could be read; such a row may still lack fields. Of a dead
+    letter the bytes are kept in ``dead_value``. Both come from one parse, which notes what it could not read.
+    """
+    change = F.from_json(
+        F.col("value").cast("string"), f"{change_ddl(fields)}, _unread string", {"columnNameOfCorruptRecord": "_unread"}
+    )
+    # a generator is not merged with what follows it, so the parse is not repeated for each column
+    parsed = messages.select(F.inline(F.array(F.struct(F.col("value").alias("bytes"), change.alias("change")))))
+    after, unread = F.col("change.payload.after"), F.col("change._unread").isNotNull()
+    reason = (
+        F.when(F.col("bytes").isNull(), "no bytes")
+        .when(F.col("change.payload").isNull(), F.when(unread, "not a message").otherwise("no payload"))
+        .when(after.isNull(), F.when(unread, "not a row").otherwise("no row"))
+        .when(unread & after["job_id"].isNull(), "job unreadable")
+    )
+    names = fields or list(TRACKING)
+    rows = parsed.select(*[after[name].alias(name) for name in names], reason.alias("dead_reason"), "bytes")
+    dead = F.when(F.col("dead_reason").isNotNull(), F.col("bytes")).alias("dead_value")
+    return normalize_ts(rows.select(*names, "dead_reason", dead))
+
+
+def living(read: DataFrame) -> DataFrame:
+    return read.where(F.col("dead_reason").isNull()).drop("dead_reason", "dead_value")
+
+
+def dead_letters(read: DataFrame) -> DataFrame:
+    """``reason, value`` of the messages that gave no row."""
+    dead = read.where(F.col("dead_reason").isNotNull())
+    return dead.select(F.col("dead_reason").alias("reason"), F.col("dead_value").alias("value"))

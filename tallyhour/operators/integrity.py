@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhour.operators.joins import sized
+from tallyhour.operators.joins import sized, unique
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,11 @@ def nullify_deleted(facts: DataFrame, surviving: Reference) -> DataFrame:
 
 
 def remap_keys(facts: DataFrame, column: str, changes: DataFrame) -> DataFrame:
-    """Follow key changes given as ``(old_key, new_key)``, one per old key; other keys stay."""
-    moves = changes.select(F.col("old_key").alias(column), F.col("new_key"))
+    """Follow key changes given as ``(old_key, new_key)``, one per old key; other keys stay.
+
+    A repeated old key would double its facts, and is refused.
+    """
+    moves = unique(changes, "old_key").select(F.col("old_key").alias(column), F.col("new_key"))
     return (
         facts.join(moves, column, "left")
         .withColumn(column, F.coalesce("new_key", column))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyhour.functions import is_kind
 from tallyhour.schemas import HOUR_KEYS, KINDS, TALLY
 
+# The ids of a row that count as 0 where they are missing.
 ID_COLUMNS = ["job_id", "publisher_id", "group_id", "campaign_id"]
 
 

@@ -266,6 +266,16 @@ def oracle_sql() -> dict[str, str]:
             "epoch_us(ts) // 1000 AS ts_millis",
             "WHERE job_id IS NOT NULL AND CAST(create_time AS BIGINT) % 10 >= 7",
         ),
+        "dead_letters": """
+            SELECT CASE event_id % 10 WHEN 0 THEN 'not a message' WHEN 1 THEN 'no payload' WHEN 2 THEN 'no bytes' WHEN 3 THEN 'no row'
+                        WHEN 4 THEN 'job unreadable' WHEN 5 THEN 'job unreadable' WHEN 6 THEN 'job unreadable'
+                        ELSE 'read' END AS reason,
+                   CAST(COUNT(*) AS BIGINT) AS n_messages,
+                   CAST(COUNT(*) FILTER (WHERE event_id % 10 IN (0, 1, 3, 4, 5, 6)) AS BIGINT) AS n_with_bytes
+            FROM events GROUP BY 1""",
+        "stream_dead_letters": """
+            SELECT 'dead' AS kind, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE event_id % 10 < 7
+            UNION ALL SELECT 'counted', CAST(COUNT(*) AS BIGINT) FROM events WHERE event_id % 10 >= 7 AND event_id % 50 <> 0""",
         "publish_and_read_back": whole_raw,
         "incremental_scan": _raw(_RAW, "WHERE ts > TIMESTAMP '2024-01-15 00:00:00'"),
         "snapshot_scan": _raw("create_time, job_id, epoch_us(ts) // 1000 AS ts_millis, 'r' AS op", "WHERE ts IS NOT NULL"),
@@ -282,6 +292,15 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cursor_round_trip": whole_raw,
         "late_rows_captured": whole_raw,
+        "late_rows_sent_once": whole_raw,
+        "lateness_quantiles": """
+            WITH late AS (SELECT ((event_id * 7919) % 10007) * ((event_id * 7919) % 10007) AS ms FROM events WHERE ts IS NOT NULL),
+                 ranked AS (SELECT ms, row_number() OVER (ORDER BY ms) AS place, count(*) OVER () AS n FROM late),
+                 asked AS (SELECT unnest([0.5, 0.9, 0.99, 0.999])::DOUBLE AS share),
+                 found AS (SELECT share, ms FROM asked JOIN ranked ON place = greatest(1, ceil(share * n)))
+            SELECT share, CASE WHEN ms <= 0 THEN 0.0
+                   ELSE round(2 * pow(1.01 / 0.99, ceil(ln(ms) / ln(1.01 / 0.99))) / (1.01 / 0.99 + 1), 3) END AS late_ms
+            FROM found""",
         "op_code_by_span": "SELECT 'r' AS op, CAST(COUNT(*) AS BIGINT) AS n_messages FROM events",
         "increments_by_span": _increments_by_span(),
         "stored_cursor": "SELECT epoch_us(MAX(ts)) AS cursor_micros, "
@@ -294,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_replay_idempotent": whole_rollup,
         "stream_deduped": whole_rollup,
         "compacted_table": whole_rollup,
+        "compacted_two_streams": whole_rollup,
         "two_streams_one_table": whole_rollup,
         "empty_batches_under_dedup": whole_rollup,
         "stream_events_appended": _facts(
@@ -305,6 +325,27 @@ def oracle_sql() -> dict[str, str]:
             f"WHERE NOT ({_KNOWN_JOB} AND {_KNOWN_PUBLISHER})",
         ),
         "table_append_with_defaults": _facts(f"{_WRITTEN}, 'Cassandra' AS sources", _COMPANY),
+        "readmitted_after_growth": _facts(
+            f"{_KEYS}, company_id, {_ADDED_UP}, NULLIF(CONCAT_WS(',', CASE WHEN NOT {_KNOWN_JOB} THEN 'job_id' END, "
+            f"CASE WHEN NOT {_KNOWN_PUBLISHER} THEN 'publisher_id' END), '') AS failed_reference",
+            _COMPANY,
+        ),
+        "stored_nullify_jobs": _facts(
+            _WRITTEN.replace("job_id,", f"CASE WHEN {_KNOWN_JOB} THEN job_id END AS job_id,", 1), _COMPANY
+        ),
+        "stored_remap_publishers": _facts(
+            _WRITTEN.replace(
+                "publisher_id,", "CASE publisher_id WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE publisher_id END AS publisher_id,", 1
+            ),
+            _COMPANY,
+        ),
+        "company_backfilled": _facts(_WRITTEN, _COMPANY),
+        "company_as_of": _facts(
+            f"{_KEYS}, CASE WHEN job_id % 2 = 0 AND CAST(dates AS TIMESTAMP) + to_hours(\"hours\") >= "
+            "TIMESTAMP '2024-01-15 12:00:00' THEN company_id + 100 ELSE company_id END AS company_id, clicks",
+            _COMPANY,
+        ),
+        "ids_reserved": _facts(f"{_WRITTEN}, 'Cassandra' AS sources", _COMPANY),
         "append_after_partial_failure": _facts(_WRITTEN, _COMPANY),
         "append_once_two_streams": _facts(_WRITTEN, _COMPANY),
         "events_contract_appended": _facts(f"{_WRITTEN}, 'Cassandra' AS sources", _COMPANY),

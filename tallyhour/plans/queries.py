@@ -18,18 +18,25 @@ from tallyhour.functions import EPOCH, iso_text, is_kind, millis, op_code, parse
 from tallyhour.operators.capture import incremental_scan, next_cursor
 from tallyhour.operators.contract import events_rows, last_id, to_events_contract
 from tallyhour.operators.dedup import distinct_changes
-from tallyhour.operators.enrich import with_company
-from tallyhour.operators.envelope import read_changes, to_envelope
+from tallyhour.operators.enrich import with_company, with_company_as_of
+from tallyhour.operators.envelope import dead_letters, living, read_changes, read_or_refuse, to_envelope
 from tallyhour.operators.integrity import Reference, nullify_deleted, remap_keys, split_by_reference
+from tallyhour.operators.lateness import lateness_quantiles, lateness_sketch, merge_sketches
 from tallyhour.operators.rollup import ID_COLUMNS, default_dims, hourly, require_job, with_hour
 from tallyhour.plans import inputs
 from tallyhour.plans.batch import deliver, hourly_events
 from tallyhour.plans.capture import run_increment
+from tallyhour.plans.maintenance import backfill_company, nullify_stored, remap_stored
+from tallyhour.plans.readmission import readmit, still_refused
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, HOUR_KEYS, JOB, ROLLUP_FIELDS, TRACKING
 from tallyhour.session import for_state, pin_utc, scratch
 from tallyhour.sinks.batches import BatchTable, compact, published, tally_table
+from tallyhour.sinks.compaction import compact_batches, compacted_table as dated_tallies, expire_batches, served
 from tallyhour.sinks.cursor import CursorTable
+from tallyhour.sinks.dated import DatedTable
+from tallyhour.sinks.ids import IdRanges
 from tallyhour.sinks.jdbc import append_once
+from tallyhour.sinks.ledger import SentLedger
 from tallyhour.sinks.tables import DEFINITIONS, create_all, create_table, table_append
 from tallyhour.sinks.topic import publish
 from tallyhour.sources.dimension import stored_dimension
@@ -291,8 +298,7 @@ def envelope_parse(spark, sf_dir):
     return _shown(read_changes(to_envelope(inputs.tracking(spark, sf_dir))), RAW)
 
 
-@_query
-def bad_records_dropped(spark, sf_dir):
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven in ten messages lose their job, each in its own way, and one its bid."""
     messages = to_envelope(inputs.tracking(spark, sf_dir)).select(F.col("value").cast("string").alias("text"))
     number = F.get_json_object("text", "$.payload.after.create_time").cast("bigint") % 10
@@ -307,10 +313,42 @@ def bad_records_dropped(spark, sf_dir):
         .when(number == 7, F.regexp_replace("text", '"bid":[^,]*', '"bid":"x"'))
         .otherwise(F.col("text"))
     )
-    changes = read_changes(messages.select(damaged.cast("binary").alias("value")), ["create_time", *ROLLUP_FIELDS])
+    return messages.select(damaged.cast("binary").alias("value"))
+
+
+@_query
+def bad_records_dropped(spark, sf_dir):
+    changes = read_changes(_damaged(spark, sf_dir), ["create_time", *ROLLUP_FIELDS])
     return _shown(require_job(changes), ["create_time", "job_id", "custom_track", "bid", "ts"])
 
 
+@_query
+def dead_letters_(spark, sf_dir):
+    """Every message is a row that was read or a dead letter with its reason and bytes."""
+    folder = scratch(spark, "letters")
+    read_or_refuse(_damaged(spark, sf_dir), ["create_time", *ROLLUP_FIELDS]).write.parquet(folder)
+    read = spark.read.parquet(folder)
+    letters = dead_letters(read).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.count("value").alias("n_with_bytes")
+    )
+    rows = living(read).agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("n_messages"))
+    return letters.unionByName(rows.withColumn("n_with_bytes", F.lit(0).cast("bigint")))
+
+
+@_query
+def stream_dead_letters(spark, sf_dir):
+    """A stream of whole and damaged messages: tallies of what could be read, and a table of the rest."""
+    folder = scratch(spark, "dead-stream")
+    _damaged(spark, sf_dir).write.parquet(f"{folder}/topic")
+    dead = BatchTable(f"{folder}/dead", {"reason": "string", "value": "binary"})
+    table = tally_table(f"{folder}/tallies")
+    topic = topic_stream(spark, {"path": f"{folder}/topic", "maxFilesPerTrigger": "2"}, "parquet")
+    run_to_end(topic, table.write, f"{folder}/checkpoint", dead=dead.write, landing=f"{folder}/landing")
+    refused = dead.read(spark).agg(F.lit("dead").alias("kind"), F.count(F.lit(1)).alias("n"))
+    counted = table.read(spark).agg(F.lit("counted").alias("kind"), F.sum("n_events").alias("n"))
+    return refused.unionByName(counted)
+
+
 @_query
 def publish_and_read_back(spark, sf_dir):
     path = scratch(spark, "topic")
@@ -422,6 +460,30 @@ def late_rows_captured(spark, sf_dir):
     return _shown(distinct_changes(changes), RAW)
 
 
+@_query
+def late_rows_sent_once(spark, sf_dir):
+    """One row in ten arrives 40 minutes late; five polls with the program's defaults send each row once."""
+    raw = inputs.tracking(spark, sf_dir)
+    late = F.pmod(F.hash("create_time"), F.lit(10)) == 0
+    arrival = F.when(late, F.col("ts") + F.expr("INTERVAL 40 MINUTES")).otherwise(F.col("ts"))
+    folder = scratch(spark, "ledger")
+    cursors, ledger, topic = CursorTable(f"{folder}/cursor"), SentLedger(f"{folder}/ledger"), f"{folder}/topic"
+    lease = cursors.take_lease(spark)
+    for day in ("06", "12", "18", "24", "31"):
+        poll_start = f"2024-01-{day}T12:00:00Z" if day != "31" else POLL_START
+        run_increment(
+            raw.where(arrival <= F.lit(poll_start).cast("timestamp")),
+            cursors,
+            lambda messages: publish(messages, {"path": topic}, "parquet"),
+            poll_start=poll_start,
+            settle="2 seconds",
+            overlap="1 hour",
+            ledger=ledger,
+            lease=lease,
+        )
+    return _shown(read_changes(spark.read.schema("value binary").parquet(topic)), RAW)
+
+
 @_query
 def op_code_by_span(spark, sf_dir):
     """A first load in spans: every message carries the code of a first load, those after it do not."""
@@ -493,6 +555,18 @@ def deduped_changes(spark, sf_dir):
     return _shown(distinct_changes(raw.unionByName(raw)), RAW)
 
 
+@_query
+def lateness_quantiles_(spark, sf_dir):
+    """Sketches of three batches, added up; a row is late by the square of a number its id gives, in milliseconds."""
+    raw = inputs.tracking(spark, sf_dir)
+    number = F.pmod(F.col("create_time").cast("bigint") * 7919, F.lit(10007))
+    arrived = F.timestamp_millis(F.unix_millis("ts") + number * number)
+    batch = F.pmod(F.hash("create_time"), F.lit(3))
+    sketches = [lateness_sketch(raw.where(batch == n), arrived, F.col("ts")) for n in range(3)]
+    found = lateness_quantiles(merge_sketches(*sketches), [0.5, 0.9, 0.99, 0.999])
+    return found.select("share", F.round("late_ms", 3).alias("late_ms"))
+
+
 # Streams
 
 
@@ -626,6 +700,38 @@ def compacted_table(spark, sf_dir):
     return _shown(spark.read.parquet(f"{folder}/events"), HOUR_KEYS + MEASURES)
 
 
+@_query
+def compacted_two_streams(spark, sf_dir):
+    """Two streams into one tally table, compacted on the way, once stopped before the switch; merged on read."""
+    folder = scratch(spark, "compacted-streams")
+    table, dated = tally_table(f"{folder}/tallies"), dated_tallies(f"{folder}/compacted")
+    halves = _halves(inputs.tracking(spark, sf_dir), "create_time")
+    for number, half in enumerate(halves):
+        for part, rows in enumerate(_halves(half, "uid")):
+            to_envelope(rows).write.mode("append").parquet(f"{folder}/topic-{number}")
+            topic = topic_stream(spark, {"path": f"{folder}/topic-{number}", "maxFilesPerTrigger": "1"}, "parquet")
+            run_to_end(topic, table.write, f"{folder}/checkpoint-{number}")
+            if (number, part) == (0, 0):
+                compact_batches(spark, table, dated)
+            if (number, part) == (1, 0):
+                try:
+                    compact_batches(spark, table, dated, before_switch=_stop)
+                except _Stopped:
+                    pass
+                compact_batches(spark, table, dated)
+                if not expire_batches(spark, table, dated):
+                    raise RuntimeError("no batch was old enough to remove")
+    return _shown(served(spark, table, dated), HOUR_KEYS + MEASURES)
+
+
+class _Stopped(RuntimeError):
+    pass
+
+
+def _stop() -> None:
+    raise _Stopped
+
+
 def _stream_events(spark, sf_dir):
     folder = scratch(spark, "events")
     good = BatchTable(f"{folder}/good", FACT)
@@ -660,6 +766,92 @@ def stream_events_quarantined(spark, sf_dir):
     return _added_up(bad, "failed_reference")
 
 
+@_query
+def readmitted_after_growth(spark, sf_dir):
+    """The publisher table grows while a stream runs; refused rows come back, each once, though a pass is stopped."""
+    folder = scratch(spark, "readmitted")
+    good = BatchTable(f"{folder}/good", FACT)
+    bad = BatchTable(f"{folder}/bad", {**FACT, "failed_reference": "string"})
+    whole = inputs.publisher(spark, sf_dir)
+    known = [whole.where("false")]
+    sink = deliver(
+        lambda: inputs.job(spark, sf_dir),
+        good.write,
+        lambda: known[-1],
+        lambda rows, batch_id: bad.write(rows.withColumn("updated_at", F.current_timestamp()), batch_id),
+        f"{folder}/landing",
+    )
+
+    def grow_after(tallies, batch_id):
+        sink(tallies, batch_id)
+        known.append(whole)
+
+    run_to_end(topic_stream(spark, _topic_files(spark, sf_dir), "parquet"), grow_after, f"{folder}/checkpoint")
+    references = [
+        Reference("job_id", inputs.job(spark, sf_dir), "job_id", carry=("company_id",)),
+        Reference("publisher_id", whole, "id"),
+    ]
+    try:
+        readmit(spark, bad, f"{folder}/refused", good, references, before_switch=_stop)
+    except _Stopped:
+        pass
+    readmit(spark, bad, f"{folder}/refused", good, references)
+    readmit(spark, bad, f"{folder}/refused", good, references)
+    kept = _added_up(good.read(spark), "company_id").withColumn("failed_reference", F.lit(None).cast("string"))
+    left = _added_up(still_refused(spark, bad, f"{folder}/refused"), "company_id", "failed_reference")
+    return kept.unionByName(left)
+
+
+# The stored fact
+
+
+def _stored_facts(spark, sf_dir, rows):
+    table = DatedTable(scratch(spark, "fact"), {name: EVENTS[name] for name in EVENTS_WRITTEN})
+    table.append(to_events_contract(rows))
+    return table
+
+
+@_query
+def stored_nullify_jobs(spark, sf_dir):
+    """Jobs are gone from the dimension; the dates that hold them are copied, and a second run changes nothing."""
+    facts = with_company(_facts(spark, sf_dir), inputs.job(spark, sf_dir))
+    table = _stored_facts(spark, sf_dir, facts)
+    first = nullify_stored(spark, table, _by_job(spark, sf_dir))
+    if nullify_stored(spark, table, _by_job(spark, sf_dir)) != first:
+        raise RuntimeError("a repeated run has changed the table")
+    return _shown(table.read(spark), EVENTS_WRITTEN)
+
+
+@_query
+def stored_remap_publishers(spark, sf_dir):
+    """Keys move on by one in the stored fact, so that old and new ones overlap; a repeated change is not made twice."""
+    table = _stored_facts(spark, sf_dir, with_company(_facts(spark, sf_dir), inputs.job(spark, sf_dir)))
+    moves = spark.createDataFrame([(1, 2), (2, 3)], "old_key int, new_key int")
+    for _ in range(2):
+        remap_stored(spark, table, "publisher_id", moves, "renumbered")
+    return _shown(table.read(spark), EVENTS_WRITTEN)
+
+
+@_query
+def company_backfilled(spark, sf_dir):
+    """Half of the jobs arrive after their facts were stored; those rows then get their company."""
+    job = inputs.job(spark, sf_dir)
+    table = _stored_facts(spark, sf_dir, with_company(_facts(spark, sf_dir), job.where("job_id % 2 = 0")))
+    table.expire(spark)
+    backfill_company(spark, table, job.where("job_id % 2 = 1"))
+    return _shown(table.read(spark), EVENTS_WRITTEN)
+
+
+@_query
+def company_as_of(spark, sf_dir):
+    """Jobs of even number change hands in the middle of the table's time."""
+    job = inputs.job(spark, sf_dir).select("job_id", "company_id", F.lit(None).cast("timestamp").alias("valid_from"))
+    moved = job.where("job_id % 2 = 0").select(
+        "job_id", (F.col("company_id") + 100).alias("company_id"), F.lit("2024-01-15T12:00:00Z").cast("timestamp").alias("valid_from")
+    )
+    return _shown(with_company_as_of(_facts(spark, sf_dir), job.unionByName(moved)), [*HOUR_KEYS, "company_id", "clicks"])
+
+
 # Tables
 
 
@@ -731,6 +923,18 @@ def events_contract_appended(spark, sf_dir):
     return _shown(stored, [*EVENTS_WRITTEN, "sources"])
 
 
+@_query
+def ids_reserved(spark, sf_dir):
+    """Two appends take their ids from reserved ranges; the stored fact is not read for them."""
+    path, ranges = scratch(spark, "facts"), IdRanges(scratch(spark, "ids"))
+    for half in _halves(hourly_events(inputs.tracking(spark, sf_dir), inputs.job(spark, sf_dir)), "job_id"):
+        events_rows(spark, half, lambda n: ranges.reserve(spark, n)).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    if stored.groupBy("id").count().where("count > 1").limit(1).count():
+        raise RuntimeError("an id was given twice")
+    return _shown(stored, [*EVENTS_WRITTEN, "sources"])
+
+
 @_query
 def stored_tables(spark, sf_dir):
     """Columns of the created tables and how many rows fill each."""

@@ -23,13 +23,17 @@ def create_table(
     return name
 
 
-def create_all(spark: SparkSession, folder: str, prefix: str = "") -> dict[str, str]:
-    """The raw table, both dimensions and the fact, which is split by date."""
+def create_all(spark: SparkSession, folder: str, prefix: str = "", batches: bool = False) -> dict[str, str]:
+    """The raw table, both dimensions and the fact, which is split by date.
+
+    With ``batches`` the fact has two columns more, by which a replayed batch is recognised.
+    """
+    replay = {"stream_id": "string", "batch_id": "bigint"} if batches else {}
     return {
         table: create_table(
             spark,
             f"{prefix}{table}",
-            columns,
+            {**columns, **replay} if table == "events" else columns,
             f"{folder}/{table}",
             EVENTS_DEFAULTS if table == "events" else None,
             "dates" if table == "events" else None,

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tallyhour.operators.joins import unique
 from tallyhour.schemas import JOB, ddl
 
 JOB_QUERY = f"SELECT {', '.join(JOB)} FROM job"
@@ -48,17 +48,6 @@ def jdbc_table(
     )
 
 
-def unique(dimension: DataFrame, key: str) -> DataFrame:
-    """``dimension`` itself, after a check that no key occurs twice.
-
-    A database ensures that by its primary key; files do not, and a repeated key would count facts twice.
-    """
-    repeated = dimension.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"{key} {repeated[0][0]} occurs {repeated[0][1]} times")
-    return dimension
-
-
 def stored_dimension(spark: SparkSession, path: str, columns: dict[str, str] = JOB, key: str | None = None) -> DataFrame:
     """A dimension kept as parquet, read by its declared columns; its first column, or ``key``, must be unique.
 

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyhour.operators.dedup import KEY, distinct_stream
-from tallyhour.operators.envelope import read_changes
+from tallyhour.operators.envelope import dead_letters, living, read_changes, read_or_refuse
 from tallyhour.operators.rollup import tally
 from tallyhour.plans.batch import BatchSink
 from tallyhour.schemas import ROLLUP_FIELDS
 
 
-def changes_of(topic: DataFrame, dedup_horizon: str | None = None) -> DataFrame:
-    """The rollup's columns of each change; copies within ``dedup_horizon`` dropped."""
+def changes_of(topic: DataFrame, dedup_horizon: str | None = None, keep_dead: bool = False) -> DataFrame:
+    """The rollup's columns of each change; copies within ``dedup_horizon`` dropped, dead letters kept if asked for."""
+    read = read_or_refuse if keep_dead else read_changes
     if not dedup_horizon:
-        return read_changes(topic, ROLLUP_FIELDS)
-    return distinct_stream(read_changes(topic, [KEY, *ROLLUP_FIELDS]), dedup_horizon)
+        return read(topic, ROLLUP_FIELDS)
+    return distinct_stream(read(topic, [KEY, *ROLLUP_FIELDS]), dedup_horizon)
 
 
 def run_rollup(
@@ -26,6 +27,8 @@ def run_rollup(
     sink: BatchSink,
     checkpoint: str,
     dedup_horizon: str | None = None,
+    dead: BatchSink | None = None,
+    landing: str | None = None,
     **trigger: Any,
 ) -> StreamingQuery:
     """Start the query; ``sink(tallies, batch_id)`` receives each batch that has rows.
@@ -39,7 +42,21 @@ def run_rollup(
     the sink stops the query, so a restart repeats that batch. The sink must therefore be
     safe to repeat, as the tables of ``tallyhour.sinks`` are. Without a trigger argument
     batches follow one another directly.
+
+    With ``dead``, that sink receives the messages that gave no row, with the reason. Each batch is then parsed
+    and written once to ``landing``, a folder of this query on shared storage, and both sinks read it there.
     """
+    if dead and not landing:
+        raise ValueError("dead letters need a landing folder")
+
+    def apart(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(landing)
+        landed = batch.sparkSession.read.schema(batch.schema).parquet(landing)
+        letters, rows = dead_letters(landed), living(landed)
+        if not letters.isEmpty():
+            dead(letters, batch_id)
+        if not rows.isEmpty():
+            sink(tally(rows), batch_id)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if not dedup_horizon:
@@ -54,14 +71,21 @@ def run_rollup(
         finally:
             tallied.unpersist()
 
-    writer = changes_of(topic, dedup_horizon).writeStream.foreachBatch(on_batch)
+    writer = changes_of(topic, dedup_horizon, bool(dead)).writeStream.foreachBatch(apart if dead else on_batch)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.option("checkpointLocation", checkpoint).start()
 
 
-def run_to_end(topic: DataFrame, sink: BatchSink, checkpoint: str, dedup_horizon: str | None = None) -> StreamingQuery:
+def run_to_end(
+    topic: DataFrame,
+    sink: BatchSink,
+    checkpoint: str,
+    dedup_horizon: str | None = None,
+    dead: BatchSink | None = None,
+    landing: str | None = None,
+) -> StreamingQuery:
     """Process what the topic holds now, then return the ended query."""
-    query = run_rollup(topic, sink, checkpoint, dedup_horizon, availableNow=True)
+    query = run_rollup(topic, sink, checkpoint, dedup_horizon, dead, landing, availableNow=True)
     query.awaitTermination()
     return query

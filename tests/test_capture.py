@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from support import SF, event, rows_of
@@ -89,8 +90,8 @@ def test_a_save_cut_short_leaves_the_previous_cursor(spark):
     cursors = CursorTable(scratch(spark, "cursor"))
     cursors.save(spark, "2025-10-01T00:00:00Z")
     cursors.save(spark, "2025-10-02T00:00:00Z")
-    # what an overwrite leaves when it dies after clearing its folder
-    spark.createDataFrame([], "version bigint, last_scan_time string").write.mode("overwrite").json(cursors._slot(0))
+    # what a save leaves when it dies before its record has a number
+    Path(f"{cursors.path.removeprefix('file:')}/.new-0").write_text('{"last_scan')
     assert cursors.load(spark) == "2025-10-02T00:00:00.000000Z"
 
 

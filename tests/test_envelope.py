@@ -6,7 +6,7 @@ import math
 import pytest
 from support import event, rows_of
 
-from tallyhour.operators.envelope import parse_envelope, read_changes, to_envelope
+from tallyhour.operators.envelope import dead_letters, living, parse_envelope, read_changes, read_or_refuse, to_envelope
 from tallyhour.operators.rollup import hourly, require_job
 from tallyhour.schemas import ROLLUP_FIELDS, TRACKING
 
@@ -102,3 +102,17 @@ def test_messages_are_parsed_once(messages):
 def test_only_named_fields_are_parsed(messages):
     assert parse_envelope(messages("{}"), ["job_id", "ts"]).columns == ["job_id", "ts"]
     assert parse_envelope(messages("{}")).columns == list(TRACKING)
+
+
+def test_dead_letters_and_rows_come_from_one_parse(spark, messages):
+    read = read_or_refuse(messages(None, "{", "[]", "7", "{}", '{"payload":{"op":"c"}}', '{"payload":{"after":7}}'), ["job_id", "bid", "ts"])
+    assert [row.dead_reason is not None for row in read.collect()] == [True] * 7
+    whole = ('{"payload":{"after":{"job_id":1,"bid":2.5,"ts":0}}}', '{"payload":{"after":{"job_id":null,"bid":"x"}}}', '{"payload":{"after":{}}}')
+    lost = '{"payload":{"after":{"job_id":"x","bid":2.5}}}'
+    frame = read_or_refuse(messages(*whole, lost, "{"), ["job_id", "bid", "ts"])
+    assert rows_of(living(frame), "job_id", "bid") == sorted([(1, 2.5), (None, None)], key=repr)
+    assert rows_of(dead_letters(frame), "reason", "value") == sorted(
+        [("job unreadable", bytearray(lost.encode())), ("not a message", bytearray(b"{")), ("job unreadable", bytearray(whole[1].encode()))], key=repr
+    )
+    plan = frame.where("dead_reason is null or bid > 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1

@@ -4,7 +4,9 @@ import pytest
 from support import event, rows_of
 from pyspark.errors import StreamingQueryException
 
+from tallyhour.jobs import bootstrap as bootstrap_job
 from tallyhour.jobs import capture as capture_job
+from tallyhour.jobs import compact as compact_job
 from tallyhour.jobs import rollup as rollup_job
 from tallyhour.jobs.options import option_map
 from tallyhour.operators.envelope import read_changes, to_envelope
@@ -13,6 +15,7 @@ from tallyhour.plans.batch import deliver
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, JOB, ddl
 from tallyhour.session import scratch
 from tallyhour.sinks.batches import BatchTable, published, tally_table
+from tallyhour.sinks.ids import IdRanges
 from tallyhour.sources.dimension import stored_dimension
 from tallyhour.sources.topic import topic_stream
 from tallyhour.streaming.capture import POLL_TRIGGER, publish_stream
@@ -225,6 +228,42 @@ def test_programs_from_raw_table_to_fact(spark, tracking, dedup):
     assert rows_of(bad, "job_id", "publisher_id", "failed_reference") == [(1, 0, "publisher_id"), (9, 15, "job_id")]
 
 
+def test_programs_to_a_served_table(spark, tracking):
+    """Tallies and dead letters by the rollup, merged and served by the compaction; state can be added to."""
+    folder = scratch(spark, "served")
+    spark.createDataFrame([(1, 10, 0, 0), (2, 20, 0, 0)], ddl(JOB)).write.parquet(f"{folder}/job")
+
+    def roll(*rows, broken=0):
+        messages = to_envelope(tracking(*rows)).unionByName(spark.range(broken).selectExpr("binary('{') as value"))
+        messages.write.mode("append").parquet(f"{folder}/topic")
+        rollup_job.main(
+            ["--topic-format", "parquet", "--topic-option", f"path={folder}/topic", "--checkpoint", f"{folder}/cp",
+             "--tally-path", f"{folder}/tallies", "--dead-letter-path", f"{folder}/dead", "--no-dedup", "--once"]
+        )
+        compact_job.main(
+            ["--tally-path", f"{folder}/tallies", "--table-path", f"{folder}/table", "--expire", "--job-path", f"{folder}/job",
+             "--serve-path", f"{folder}/served", "--runs", "1"]
+        )
+        return rows_of(spark.read.parquet(f"{folder}/served"), "job_id", "company_id", "clicks", "bid_set")
+
+    assert roll(event(bid=1.0), event(job=9), broken=2) == sorted([(1, 10, 1, 1.0), (9, None, 1, 1.0)], key=repr)
+    assert roll(event(bid=4.0), event(job=2)) == sorted([(1, 10, 2, 2.5), (2, 20, 1, 1.0), (9, None, 1, 1.0)], key=repr)
+    assert roll(event(bid=4.0)) == sorted([(1, 10, 3, 3.0), (2, 20, 1, 1.0), (9, None, 1, 1.0)], key=repr)
+    dead = BatchTable(f"{folder}/dead", {"reason": "string", "value": "binary"}).read(spark)
+    assert rows_of(dead, "reason", "batch_id") == [("not a message", 0)] * 2
+
+
+def test_bootstrap(spark):
+    folder = scratch(spark, "bootstrap")
+    tables = bootstrap_job.main(["--folder", folder, "--prefix", "boot_", "--ids-path", f"{folder}/ids", "--last-id", "41"])
+    try:
+        assert {"stream_id", "batch_id", "sources"} <= set(spark.table(tables["events"]).columns)
+        assert IdRanges(f"{folder}/ids").reserve(spark, 5) == 41
+    finally:
+        for name in tables.values():
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_options_from_the_environment(monkeypatch):
     monkeypatch.setenv("TARGET_PASSWORD", "secret=1")
     assert option_map(["url=jdbc:x?a=b", "password=env:TARGET_PASSWORD"]) == {"url": "jdbc:x?a=b", "password": "secret=1"}
