@@ -112,7 +112,7 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.thrifty(batches, "text"):
             labels = np.array(batch.column("label").to_pylist())
             for label in np.unique(labels).tolist():
                 buckets, _, _ = _grams(batch.column("text").filter(pa.array(labels == label)))
@@ -147,7 +147,7 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "l
 def _moments(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Number, sum and sum of squares of the mean log likelihoods of rows under their own language."""
     sums: dict[str, np.ndarray] = {}
-    for batch in spans.slices(batches, "text"):
+    for batch in spans.thrifty(batches, "text"):
         labels = np.array(batch.column("label").to_pylist())
         buckets, n, letters = _grams(batch.column("text"))
         own_language = np.searchsorted(model.languages, labels)
@@ -195,7 +195,7 @@ def document_evidence(
 def _text_evidence(rows: DataFrame, model, as_pages: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.thrifty(batches, "text"):
             buckets, n, letters = _grams(_pages_as_text(batch) if as_pages else batch.column("text"))
             likelihoods = known.likelihoods(buckets, n)
             width = likelihoods.shape[1]
@@ -255,7 +255,7 @@ def host_priors(rows: DataFrame, overall: list[float], smoothing: float = SMOOTH
     parents = hosts.groupBy("parent").agg(sums.alias("parent_counts"))
     base = F.array(*[F.lit(p) for p in overall])
     parents = parents.select("parent", _smoothed(F.col("parent_counts"), base, smoothing).alias("parent_prior"))
-    joined = hosts.join(checked(parents), "parent")
+    joined = hosts.join(checked(parents, row_bytes=256 + 8 * len(overall)), "parent")
     prior = _smoothed(F.col("host_counts"), F.col("parent_prior"), smoothing)
     return joined.select("host", F.transform(prior, lambda p: F.log(p)).alias("host_logs"))
 
@@ -289,8 +289,9 @@ def language_id(
     joined = evidence
     for name in ("declared", "suffix"):
         logs = land(_logs_given_language(_counts(evidence, F.col(name), name, n_languages), name, by_language), name)
-        joined = joined.join(checked(logs), name, "left")
-    joined = joined.join(checked(land(host_priors(evidence, overall, smoothing), "hosts")), "host", "left")
+        joined = joined.join(checked(logs, row_bytes=64 + 8 * n_languages), name, "left")
+    hosts = land(host_priors(evidence, overall, smoothing), "hosts")
+    joined = joined.join(checked(hosts, row_bytes=256 + 8 * n_languages), "host", "left")
 
     none = F.array(*[F.lit(0.0)] * n_languages)
     prior = F.coalesce("host_logs", F.array(*[F.log(F.lit(p)) for p in overall]))

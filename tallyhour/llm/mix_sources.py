@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from tallyhour.llm.tables import checked
+from tallyhour.llm.tables import checked, land
 
 SEED = "mix-1"
 #: Shares of sources follow the power ``TEMPERATURE`` of their sizes: between equal (0) and as they are (1).
@@ -64,6 +64,7 @@ def source_rates(
     sizes = documents.groupBy(source_key(documents[f"`{source_column}`"]).alias("source_key")).agg(
         F.sum(size).cast("double").alias("size")
     )
+    sizes = land(sizes, "sizes")  # a row for each source, worked out in one pass
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow("size", F.lit(temperature)))
     else:
@@ -106,7 +107,8 @@ def mix_sources(
         return so_far + F.size(F.filter("cdf", lambda below: below < u))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), draw)
-    drawn = keyed.join(checked(drawing), "source_key").withColumn("copies", copies).where("copies > 0")
+    widest = 8 * int(_LARGEST_MEAN + 12 * _LARGEST_MEAN**0.5 + 32) + 400
+    drawn = keyed.join(checked(drawing, row_bytes=widest), "source_key").withColumn("copies", copies).where("copies > 0")
     copied = drawn.select("row", "doc", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("doc"), F.col("copy").cast("string")))
     shuffled = copied.select("row.*", "copy", "copies", order.alias("order_key"))

@@ -7,12 +7,16 @@ the operator that compares hashes says what a collision would do.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 21
+#: For operators that share workers with others of a pipeline.
+THRIFTY_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -43,6 +47,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits keeps none for tasks that are over."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, without this call
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about ``limit`` bytes, or are a single text."""
     for batch in batches:
@@ -55,6 +69,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             start = stop
 
 
+def thrifty(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Small slices, and memory given back before the first and after the last."""
+    give_back()
+    yield from slices(batches, text, THRIFTY_BYTES)
+    give_back()
+
+
 def text_offsets(column: pa.Array) -> np.ndarray:
     if pa.types.is_large_string(column.type):
         kind = np.int64

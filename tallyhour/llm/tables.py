@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyhour.session import scratch
 
-#: Ids up to this many are broadcast (16 MB at most); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows that come to no more than this are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +20,16 @@ def land(frame: DataFrame, label: str) -> DataFrame:
 
     A lost executor then costs a task and not the work before it.
     """
-    path = scratch(frame.sparkSession, f"llm-{label}")
+    spark = frame.sparkSession
+    path = scratch(spark, f"llm-{label}")
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
-def checked(ids: DataFrame, n: int | None = None) -> DataFrame:
-    """A frame of narrow rows, marked for broadcast only if a count proves it small."""
-    n = ids.count() if n is None else n
-    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+def checked(rows: DataFrame, n: int | None = None, row_bytes: int = 16) -> DataFrame:
+    """A frame marked for broadcast only if a count proves it small; ``row_bytes`` is the most that a row may take."""
+    n = rows.count() if n is None else n
+    return F.broadcast(rows) if n * row_bytes <= BROADCAST_BYTES else rows
 
 
 def own(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
