@@ -12,7 +12,8 @@ near copies needs about n tests and not n squared:
 1. for each prefix shingle, the members against one of them, the hub;
 2. for each prefix shingle, members of different groups of step 1 against each other. Members of one
    group are linked already, whatever a test would say, so no link between groups is lost. Sets are first held
-   against whole bands of sizes, so that those near a crowd but not near enough to any of it make no pairs.
+   against whole bands of sizes; those in crowds by all their shingles against all other groups at once, so that what is
+   near a crowd but not near enough to any of it makes no pairs.
 
 Both steps test a pair only if it shares as many prefix shingles as sets of their sizes must; step 1, which
 does not count shingles with another hub, if a third of them. What step 1 leaves out step 2 meets.
@@ -35,9 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
 from tallyhour.llm import spans
 from tallyhour.llm.components import components
@@ -51,7 +51,13 @@ FRAGMENTS = 16
 #: Bands of set sizes for each doubling of the size.
 BANDS = 16
 #: How often sets without enough in common with a band are taken out before pairs are made.
-ROUNDS = 2
+ROUNDS = 1
+#: A shingle that more groups than this have makes no pairs of sets with groups.
+CROWD = 64
+#: How often sets whose shared shingles leave no partner possible are taken out.
+REACH_ROUNDS = 1
+#: Shingles of a block of sets that are held against each other in a task.
+BLOCK = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -87,7 +93,7 @@ def _summaries(rows: DataFrame, size: int, slots: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
         names = ["doc_id", "n_shingles", "set_id", "second", "slot", "n"]
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.thrifty(batches, "text"):
             sets = _sets(batch, size)
             np.add.at(counts, (np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), 1)
             signatures = [_signature(hashes) if len(hashes) else (None, None) for hashes in sets]
@@ -145,7 +151,7 @@ def _prefix_rows(rows: DataFrame, order, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, done = order.value, set()
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.thrifty(batches, "text"):
             found, owners = [], []
             for hashes in _sets(batch, size):
                 if not len(hashes):
@@ -193,6 +199,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sizes(classes: DataFrame) -> DataFrame:
+    """``set_id, n_shingles``, sent to all tasks while it is small."""
+    return checked(classes.select("set_id", "n_shingles"), row_bytes=32)
+
+
 def _spokes(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, shared`` of each set with the hubs of its prefix shingles.
 
@@ -205,11 +216,12 @@ def _spokes(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         members.join(sizes, "shingle")
         .groupBy("set_id")
         .agg(F.sum("weight").alias("weight"))
-        .join(classes.select("set_id", "n_shingles"), "set_id")
+        .join(_sizes(classes), "set_id")
         .select("set_id", (F.col("weight") / (n - _ceil_div(percent * n, 100) + 1)).alias("common"))
     )
+    common = land(common, "common")
     hubs = (
-        members.join(common, "set_id")
+        members.join(checked(common, row_bytes=32), "set_id")
         .groupBy("shingle")
         .agg(F.max(F.struct("common", "set_id"))["set_id"].alias("hub"))
     )
@@ -226,7 +238,7 @@ def _segments(rows: DataFrame, order, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = order.value
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.thrifty(batches, "text"):
             owners, fragments, parts, lengths = [], [], [], []
             for hashes in _sets(batch, size):
                 if not len(hashes):
@@ -254,6 +266,14 @@ def _segments(rows: DataFrame, order, size: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, fragment int, hashes array<long>")
 
 
+def _segments_of(sets: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int) -> DataFrame:
+    """``set_id, fragment, hashes`` of the sets named, each from one of its texts."""
+    keys = land(sets.select("set_id").distinct().join(classes.select("set_id", F.col("doc_id").alias("key")), "set_id"), "needed")
+    texts = rows.join(checked(keys.select(F.col("key").alias("doc_id")).distinct(), keys.count()), "doc_id", "left_semi")
+    segments = _segments(texts, order, size).join(keys.select("set_id"), "set_id", "left_semi")
+    return land(segments.dropDuplicates(["set_id", "fragment"]), "segments")
+
+
 def _ceil_div(value: Column, by: int) -> Column:
     return F.floor((value + F.lit(by - 1)) / by).cast("long")
 
@@ -279,7 +299,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int, seen: int) ->
 
     ``shared`` counts at least one in ``seen`` of what the pair shares.
     """
-    sizes = classes.select("set_id", "n_shingles")
+    sizes = _sizes(classes)
     possible = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     return (
         pairs.join(sizes.toDF("a", "n_a"), "a")
@@ -294,17 +314,12 @@ def _links(
 ) -> DataFrame:
     """The pairs ``a, b`` that reach the threshold: overlaps per fragment, summed per pair."""
     pairs = land(_promising(pairs, classes, percent, seen), "pairs")
-    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    keys = land(needed.join(classes.select("set_id", F.col("doc_id").alias("key")), "set_id"), "needed")
-    texts = rows.join(checked(keys.select(F.col("key").alias("doc_id")).distinct(), keys.count()), "doc_id", "left_semi")
-    segments = land(
-        _segments(texts, order, size).join(keys.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id", "fragment"]),
-        "segments",
-    )
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id")))
+    segments = _segments_of(ends, rows, classes, order, size)
     left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("hashes").alias("hashes_a"))
     right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("hashes").alias("hashes_b"))
     partial = (
-        pairs.join(left, "a")
+        checked(pairs, row_bytes=48).join(left, "a")
         .join(right, ["b", "fragment"])
         .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("hashes_a", "hashes_b")).alias("overlap"))
     )
@@ -357,39 +372,174 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
             .where(possible & (F.col("shared") >= needed))
             .select("set_id", "other")
         )
+        kept = checked(land(kept, "kept"), row_bytes=24)
         members = land(members.join(kept, ["set_id", "other"] if number else "set_id"), "open")
     return members
 
 
-def _across(shared: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b, shared`` of sets in different groups so far, by the prefix shingles they share.
+def _reaching(
+    members: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Of the sets of ``members``, those whose whole sets leave a link with another group possible.
 
-    First a set meets bands of sizes, then groups within them, and their members last: it must share
-    enough shingles with all members taken together, for the sizes these have.
+    Gives ``set_id, n, component, most`` of each, ``most`` being the largest partner it may have, and ``set_id,
+    shingle`` of what it shares with sets of other groups; the rest of it no partner has. A copy that was changed too
+    much to be near any other shares too little, though it may have much in common with each: it is known
+    without being held against them. What fails does not count for others, so the rest is judged anew. Every
+    round grows with the shingles of these sets, not with pairs.
     """
-    members = (
-        shared.join(groups, "set_id", "left")
-        .join(classes.select("set_id", F.col("n_shingles").alias("n")), "set_id")
-        .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"), _band(F.col("n")).alias("band"))
+    sets = land(members.select("set_id", "n", "component").distinct(), "reaching")
+    parts = _segments_of(sets, rows, classes, order, size).select("set_id", F.explode("hashes").alias("shingle"))
+    for _ in range(REACH_ROUNDS):
+        held = parts.join(sets.select("set_id", "component"), "set_id")
+        mixed = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        shared = parts.join(mixed.where("low != high").select("shingle"), "shingle", "left_semi")
+        counted = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared")).join(sets.drop("most", "shared"), "set_id")
+        most = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n")
+        sets = land(
+            counted.select("set_id", "n", "component", "shared", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n")),
+            "reach",
+        )
+        parts = land(shared.join(sets.select("set_id"), "set_id", "left_semi"), "whole")
+    return sets, parts
+
+
+def _asks(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """``set_id, their``: sets with the groups they may have a link in, each pair of groups asked from its smaller side.
+
+    The order is now exact: by how many of these sets have a shingle, and what no other group has comes first. Two sets
+    that share enough must meet in the first shingles of both, as many as either may miss, so a set meets
+    others by the rarest of what it shares. Sizes are told apart by bands, as the fewer a set may miss the nearer
+    its partner's size.
+    """
+    ranges = sets.groupBy(_band(F.col("n")).alias("other")).agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), _ceil_div(percent * F.col("n"), 100))
+    depth = (F.col("n") - _least_overlap(F.col("n"), smallest, percent) + 1).alias("depth")
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    wanted = (
+        members.select("set_id", "band", "other").distinct()
+        .join(sets, "set_id")
+        .join(F.broadcast(ranges), "other")
+        .where("least <= most")
+        .join(sizes, "component")
+        .select("set_id", "n", "component", "size", "most", "band", "other", depth, (F.col("n") - F.col("shared")).alias("alone"))
     )
-    mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("low != high").select("shingle")
-    members = _open(land(members.join(mixed, "shingle", "left_semi"), "members"), percent)
+    often = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    by_place = Window.partitionBy("set_id").orderBy("often", "shingle")
+    placed = parts.join(often, "shingle").select("set_id", "shingle", F.row_number().over(by_place).alias("place"))
+    first = land(placed.join(wanted, "set_id").where("alone + place <= depth").drop("alone", "place", "depth"), "first")
+    theirs = first.groupBy(
+        "shingle", F.col("component").alias("their"), F.col("size").alias("their_size"),
+        F.col("band").alias("other"), F.col("other").alias("band"),
+    ).agg(F.min("n").alias("least"), F.max("n").alias("greatest"), F.max("most").alias("reach"))
+    smaller = (F.col("size") < F.col("their_size")) | ((F.col("size") == F.col("their_size")) & (F.col("component") < F.col("their")))
+    near = (F.col("least") <= F.col("most")) & (F.col("n") <= F.col("reach"))
+    near = near & (100 * F.col("greatest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    met = first.join(theirs, ["shingle", "band", "other"]).where(smaller & near)
+    return land(met.select("set_id", "their").distinct(), "asks")
+
+
+def _in_blocks(asks: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` for each set and group asked: the nearest of the group's sets, if it reaches the threshold.
+
+    Askers and members of a group are cut into blocks of a bounded number of shingles, and meet block by block;
+    what they share is counted in arrays, so no row is made for a pair that is not linked. Members of a
+    group are linked already, so one link with it is as good as all.
+    """
+    whole = land(
+        parts.groupBy("set_id").agg(F.collect_list("shingle").alias("hashes")).join(sets.select("set_id", "n", "component"), "set_id"),
+        "arrays",
+    )
+    asking = asks.join(whole.drop("component"), "set_id")
+    weight = F.ceil(F.sum(F.size("hashes")) / BLOCK).cast("int")
+    askers = asking.groupBy("their").agg(weight.alias("askers"))
+    blocks = whole.withColumnRenamed("component", "their").groupBy("their").agg(weight.alias("blocks")).join(askers, "their")
+
+    def dealt(to: str) -> Column:
+        return F.pmod(F.xxhash64("set_id"), F.col(to)).cast("int")
+
+    def each(to: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(to) - 1))
+
+    left = asking.join(blocks, "their").select("their", "set_id", "n", "hashes", dealt("askers").alias("asker"), each("blocks").alias("block"))
+    right = whole.withColumnRenamed("component", "their").join(blocks, "their").select(
+        F.col("their").alias("of"),
+        F.col("set_id").alias("member"),
+        F.col("n").alias("member_n"),
+        F.col("hashes").alias("member_hashes"),
+        dealt("blocks").alias("block"),
+        each("askers").alias("asker"),
+    )
+
+    def nearest(askers: pa.Table, members: pa.Table) -> pa.Table:
+        found: tuple[list[int], list[int]] = ([], [])
+        if askers.num_rows and members.num_rows:
+            lists = members.column("member_hashes").combine_chunks()
+            flat = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            by_hash = np.argsort(flat, kind="stable")
+            flat, owner = flat[by_hash], owner[by_hash]
+            sizes, ids = members.column("member_n").to_numpy(), members.column("member").to_numpy()
+            for asker, n, hashes in zip(*[askers.column(name) for name in ("set_id", "n", "hashes")]):
+                wanted, n = hashes.values.to_numpy(), n.as_py()
+                start, stop = np.searchsorted(flat, wanted), np.searchsorted(flat, wanted, "right")
+                lengths = stop - start
+                places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - start, lengths)
+                overlap = np.bincount(owner[places], minlength=len(sizes))
+                reached = (100 + percent) * overlap >= percent * (n + sizes)
+                if reached.any():
+                    best = np.where(reached, overlap / (n + sizes), -1.0).argmax()
+                    found[0].append(asker.as_py())
+                    found[1].append(int(ids[best]))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    pairs = left.groupBy("their", "block", "asker").cogroup(right.groupBy("of", "block", "asker")).applyInArrow(nearest, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _crowded(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members in shingles of few groups, and those that may have links by the crowded shingles alone.
+
+    A shingle of more than ``CROWD`` groups is crowded. Of two sets that share enough, one of which has fewer crowded
+    shingles in its prefix than they must share, some shared shingle is not crowded: the first frame has these, with
+    ``crowded``, how many were taken out of the set. The other pairs lie among the second frame's sets.
+    """
+    crowds = members.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"))
+    crowds = land(crowds.where(F.col("groups") > CROWD).select("shingle", F.lit(True).alias("in_crowd")), "crowds")
+    ranges = F.broadcast(members.groupBy(F.col("band").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    _, needed = _least_over(F.col("n"), F.col("least"), F.col("most"), percent)
+    held = members.join(crowds.select("shingle"), "shingle", "left_semi").groupBy("set_id", "n", "other").agg(
+        F.count(F.lit(1)).alias("crowded")
+    )
+    held = land(held.join(ranges, "other").select("set_id", "other", "crowded", (F.col("crowded") >= needed).alias("deep")), "crowded")
+    calm = members.join(crowds.select("shingle"), "shingle", "left_anti").join(held.drop("deep"), ["set_id", "other"], "left")
+    deep = members.join(held.where("deep").select("set_id", "other"), ["set_id", "other"], "left_semi")
+    return calm.withColumn("crowded", F.coalesce("crowded", F.lit(0))), deep
+
+
+def _by_groups(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, shared`` of sets in different groups, by the shingles of ``members`` that they share.
+
+    A set meets groups within bands of sizes, and their members last: it must share enough shingles with all members
+    taken together, for the sizes these have.
+    """
     theirs = [F.col("component").alias("their"), F.col("band").alias("other"), F.col("other").alias("band")]
     ranges = members.groupBy(*theirs[:2]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     possible, needed = _least_over(F.col("n"), F.col("least"), F.col("most"), percent)
     meets = (
         members.join(members.select("shingle", *theirs).distinct(), ["shingle", "band", "other"])
         .where("component != their")
-        .groupBy("set_id", "n", "component", "their", "other")
+        .groupBy("set_id", "n", "crowded", "component", "their", "other")
         .agg(F.count(F.lit(1)).alias("shared"))
         .join(ranges, ["their", "other"])
-        .where(possible & (F.col("shared") >= needed))
+        .where(possible & (F.col("shared") + F.col("crowded") >= needed))
         .select("set_id", "component", "their", "other")
     )
-    meets = land(meets, "meets")
+    meets = checked(land(meets, "meets"), row_bytes=48)
     each = members.drop("n").join(meets, ["set_id", "component", "other"])
-    left = each.where("component < their").select("shingle", "component", "their", "band", "other", F.col("set_id").alias("a"))
+    left = each.where("component < their").select(
+        "shingle", "component", "their", "band", "other", F.col("set_id").alias("a"), F.col("crowded").alias("crowded_a")
+    )
     right = each.where("component > their").select(
         "shingle",
         F.col("their").alias("component"),
@@ -397,14 +547,40 @@ def _across(shared: DataFrame, groups: DataFrame, classes: DataFrame, percent: i
         F.col("other").alias("band"),
         F.col("band").alias("other"),
         F.col("set_id").alias("b"),
+        F.col("crowded").alias("crowded_b"),
     )
     return (
         left.join(right, ["shingle", "component", "their", "band", "other"])
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg((F.count(F.lit(1)) + F.max(F.least("crowded_a", "crowded_b"))).alias("shared"))
     )
 
 
+def _across(
+    shared: DataFrame, groups: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int
+) -> DataFrame:
+    """Pairs ``a, b, shared`` of sets in different groups so far, enough of them to find all groups that are linked.
+
+    First a set meets bands of sizes by its prefix. What then lies in crowds is held against all other groups at once by its
+    whole set, then against single groups by the rarest shingles it shares, and against their members last.
+    """
+    members = (
+        shared.join(checked(groups, row_bytes=32), "set_id", "left")
+        .join(_sizes(classes).withColumnRenamed("n_shingles", "n"), "set_id")
+        .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"), _band(F.col("n")).alias("band"))
+    )
+    mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.where("low != high").select("shingle")
+    calm, deep = _crowded(_open(land(members.join(mixed, "shingle", "left_semi"), "members"), percent), percent)
+    deep = land(deep, "deep")
+    if not deep.limit(1).count():
+        return _by_groups(calm, percent)
+    sets, parts = _reaching(deep, rows, classes, order, size, percent)
+    pairs = _in_blocks(_asks(deep, sets, parts, percent), sets, parts, percent)
+    # the blocks have counted what the pair shares; partial overlaps of fragments settle it
+    return _by_groups(calm, percent).unionByName(pairs.withColumn("shared", F.lit(1 << 40)))
+
+
 def ngram_jaccard_join(
     documents: DataFrame,
     size: int = SHINGLE,
@@ -450,7 +626,7 @@ def ngram_jaccard_join(
     )
     links = _links(_spokes(members, classes, percent), rows, classes, order, size, percent, seen=3)
     groups = components(links, "set_id")
-    more = _links(_across(members, groups, classes, percent), rows, classes, order, size, percent)
+    more = _links(_across(members, groups, rows, classes, order, size, percent), rows, classes, order, size, percent)
     if more.limit(1).count():
         groups = components(links.union(more), "set_id")
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from tallyhour.llm import ngram_jaccard_join as join
 from tallyhour.llm.components import components
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
 
@@ -67,6 +68,31 @@ def test_groups_equal_brute_force(documents, seed):
     assert found == brute_force(rows)
 
 
+def crowd(seed, n=400):
+    """Copies of one text that is not there itself, each changed elsewhere, so that most lie just outside the threshold."""
+    rng = random.Random(seed)
+    source = [f"s{k}" for k in range(120)]
+    rows = []
+    for doc_id in range(n):
+        copy = list(source)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 3])):
+            copy[rng.randrange(len(copy))] = f"own{doc_id}x{rng.randrange(3)}" if rng.random() < 0.7 else f"some{rng.randrange(9)}"
+        start, stop = rng.randint(0, 6), rng.randint(100, 120)
+        rows.append((doc_id, " ".join(copy[start:stop])))
+    return rows
+
+
+@pytest.mark.parametrize("seed, crowd_size", [(3, 64), (4, 3)])
+def test_a_crowd_around_the_threshold(documents, seed, crowd_size, monkeypatch):
+    monkeypatch.setattr(join, "CROWD", crowd_size)
+    monkeypatch.setattr(join, "BLOCK", 3000)  # several blocks of askers and members
+    rows = crowd(seed)
+    expected = brute_force(rows)
+    assert 20 < len({component for _, component in expected.values()}) < len(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(documents(*rows)).collect()}
+    assert found == expected
+
+
 def test_defined_cases(documents):
     text = "One two THREE four five six seven"
     rows = [
