@@ -1,23 +1,23 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of text. Elements that never hold main text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) leave empty lines in their place, as do
-lines that are mostly links, and, where a page marks its article, all lines outside it. The
-characters of lines are summed over a sliding window. The text surges where a line has text after a window
-without, and dives where a window without text follows.
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) leave empty lines in their place, as do,
+where a page marks its article, all lines outside it. Characters of lines, those inside links left out where
+most of a line is linked, are summed over a sliding window. The page's own distribution sets the threshold: a share
+of the mean window. The text surges at a line that reaches it by itself, and dives where the window after does not.
+
+The stretch with most text is the main one. Around it everything is kept that stands in the smallest element that holds more
+than it, so long as that is not the whole body: short lines, headings, parts beyond an advert. Sections side by
+side belong together. Paragraphs right in the body are kept from first to last if they are most of what stands
+there, and a heading next to the stretch goes with it. Another stretch is kept if it has ``KEPT_SHARE`` of
+the main one's text.
 
 Furniture is known by its tag, or by a class, id or role that names nothing else. A form, header or named element that holds
 most of the text of the page's articles (of the page, if it marks none) is not left out, and none that holds its main element.
 
-Page furniture leaves more empty lines than a window holds, so it ends a stretch, but never inside a container: all blocks of an
-article, or of one common parent, from the first surge to the last dive are one stretch, whatever was left out
-between them. Paragraphs right in the body count so if they are most of that stretch. A main stretch without a heading goes back to the
-one before it under the same parent. Of these stretches the one with most text is kept, and others of at least
-``KEPT_SHARE`` of it. Lines are never dropped for being short.
-
 Defined cases: a null or empty page has an empty text; markup that is cut off or unbalanced is read up to its
-end; rows that repeat an id are extracted one by one; a null id or url stays null; an empty table gives no rows;
-columns not named are left alone.
+end, in time that grows with the page; rows that repeat an id are extracted one by one; a null id or url stays null; an
+empty table gives no rows; columns not named are left alone.
 """
 
 from __future__ import annotations
@@ -35,16 +35,18 @@ from tallyhour.llm.tables import own
 WINDOW = 3
 KEPT_SHARE = 0.3
 MAX_LINKED = 0.6
+#: The least that a line and a window must have, as a share of the mean window.
+SURGE = 0.15
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
-_RAW = frozenset("script style noscript template textarea title svg math iframe object xmp".split())
+_RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object xmp".split())
 _FURNITURE = frozenset(
     "nav footer aside form menu dialog select button fieldset head header noscript canvas audio video map".split()
 )
@@ -83,11 +85,9 @@ _ARTICLE_ROLES = frozenset({"main", "article"})
 _CONTAINERS = frozenset("article main section div td center body html".split())
 _LISTS = frozenset("ul ol menu dir".split())
 _HEADINGS = frozenset({"h1", "h2"})
-_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
-_TEXT, _OPEN, _CLOSE, _BREAK = range(4)
-_CONTAINERS = frozenset("article main section div td center body html".split())
-_LISTS = frozenset("ul ol menu dir".split())
-_HEADINGS = frozenset({"h1", "h2"})
+#: A line of these may be one link and still be text.
+_PROSE = frozenset("p blockquote dd figcaption pre h1 h2 h3 h4 h5 h6".split())
+_WHOLE = frozenset({"body", "html"})
 _SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 _TEXT, _OPEN, _CLOSE, _BREAK = range(4)
 
@@ -124,109 +124,7 @@ class _Element:
 
     __slots__ = (
         "tag", "words", "hidden", "parent", "is_article", "is_main", "named", "container", "article", "heading",
-        "opened", "closed", "holds_main", "holds_text",
-    )
-
-    def __init__(self, tag: str, attrs: str, parent: _Element | None):
-        self.tag, self.parent = tag, parent
-        self.words, role, self.hidden = _names(attrs) if "=" in attrs or "hidden" in attrs else (set(), "", False)
-        self.named = bool(self.words)
-        self.is_main = tag == "main" or role == "main"
-        self.is_article = (tag in ("article", "main") or role in _ARTICLE_ROLES) and not self.words & _COMMENT
-        self.container = self if tag in _CONTAINERS else parent and parent.container
-        self.article = parent and parent.article or (self if self.is_article else None)
-        self.heading = tag in _HEADINGS or bool(parent and parent.heading)
-        self.opened = self.closed = 0
-        self.holds_main = self.holds_text = False
-
-    def furniture(self) -> bool:
-        """Left out whatever the rest of the page is."""
-        return self.hidden or self.tag in _SURE or bool(self.words & _NEVER) and not self.is_article
-
-    def left_out(self) -> bool:
-        if self.hidden or self.tag == "head":
-            return True
-        if self.holds_main or self.holds_text and not self.furniture():
-            return False
-        if self.tag == "header" and self.article and not self.named:
-            return False  # the heading of an article belongs to it
-        return self.tag in _FURNITURE or self.named and self.tag not in ("body", "html") and not self.is_article
-
-
-def _parse(page: str) -> list[tuple[int, object]]:
-    """Texts, and elements that open and close, in order; an element left open ends with the one around it."""
-    events: list[tuple[int, object]] = []
-    stack: list[_Element] = []
-    n_open: dict[str, int] = {}
-
-    def close_from(place: int) -> None:
-        while len(stack) > place:
-            one = stack.pop()
-            n_open[one.tag] -= 1
-            one.closed = len(events)
-            events.append((_CLOSE, one))
-
-    def near(tag: str, stops) -> int | None:
-        """Place of the open ``tag`` above the last element that stops the search."""
-        if n_open.get(tag):
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place].tag == tag:
-                    return place
-                if stops(stack[place].tag):
-                    return None
-        return None
-
-    at, n = 0, len(page)
-    while at < n:
-        found = _TOKEN.search(page, at)
-        if not found:
-            events.append((_TEXT, page[at:]))
-            break
-        if found.start() > at:
-            events.append((_TEXT, page[at : found.start()]))
-        at = found.end()
-        if found["cdata"] is not None:
-            events.append((_TEXT, found["cdata"]))
-        if not found["tag"]:
-            continue
-        tag, closing, attrs = found["tag"].lower(), bool(found["close"]), found["attrs"]
-        if tag in _RAW and not closing and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if closing:
-            block = tag in _BLOCK
-            place = near(tag, (lambda t: False) if block and tag != "p" else _BLOCK.__contains__)
-            if place is not None:
-                close_from(place)
-            elif block:
-                events.append((_BREAK, None))
-            continue
-        if tag in _BLOCK:
-            place = near("p", _BLOCK.__contains__)
-            if place is None and tag == "li":
-                place = near("li", _LISTS.__contains__)
-            if place is not None:
-                close_from(place)
-        one = _Element(tag, attrs, stack[-1] if stack else None)
-        one.opened = len(events)
-        events.append((_OPEN, one))
-        if tag not in _VOID:
-            stack.append(one)
-            n_open[tag] = n_open.get(tag, 0) + 1
-            if _SELF_CLOSED.search(attrs):
-                close_from(len(stack) - 1)
-    close_from(0)
-    _weigh(events)
-    return events
-
-
-class _Element:
-    """An open tag: what it is, where it closes, what it holds, and the container, article and heading it lies in."""
-
-    __slots__ = (
-        "tag", "words", "hidden", "parent", "is_article", "is_main", "named", "container", "article", "heading",
-        "opened", "closed", "holds_main", "holds_text",
+        "prose", "opened", "closed", "holds_main", "holds_text",
     )
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
@@ -238,6 +136,7 @@ class _Element:
         self.container = self if tag in _CONTAINERS else parent and parent.container
         self.article = parent and parent.article or (self if self.is_article else None)
         self.heading = tag in _HEADINGS or bool(parent and parent.heading)
+        self.prose = tag in _PROSE or bool(parent and parent.prose)
         self.opened = self.closed = 0
         self.holds_main = self.holds_text = False
 
@@ -423,50 +322,105 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
+def _path(here: _Element | None) -> list[_Element]:
+    """The elements around a line, outermost first."""
+    out = []
+    while here:
+        out.append(here)
+        here = here.parent
+    return out[::-1]
+
+
+def _around(lines: list, first: int, last: int) -> list[int]:
+    """Lines that belong with those from ``first`` to ``last``: all in the smallest element that holds more, short of the body.
+
+    Of an element that is a section, the sections beside it belong too.
+    """
+    shared = [a for a, b in zip(_path(lines[first][2]), _path(lines[last][2])) if a is b]
+    one = shared[-1].container if shared else None
+    if one is None or one.tag in _WHOLE:
+        return []
+    parent = one.parent and one.parent.container
+    beside = parent if one.tag == "section" else None
+    if parent and parent.tag not in _WHOLE:
+        one = parent
+    belongs: dict[_Element | None, bool] = {None: False}
+
+    def inside(here: _Element | None) -> bool:
+        climbed = []
+        while here not in belongs:
+            climbed.append(here)
+            here = here.parent
+        known = belongs[here]
+        for element in reversed(climbed):
+            among = element.tag == "section" and beside and element.parent and element.parent.container is beside
+            known = belongs[element] = known or element is one or bool(among)
+        return known
+
+    return [at for at, (text, _, here) in enumerate(lines) if text and inside(here)]
+
+
 def _back_to_heading(lines: list, lengths: list[int], start: int, stop: int) -> int:
-    """The heading that a stretch without one goes back to, if a container other than the body holds both."""
+    """The heading that a stretch without one goes back to: right before it, or held with it by more than the body."""
     texts = [at for at in range(start, stop) if lengths[at]]
     if any(lines[at][2] and lines[at][2].heading for at in texts):
         return start
-    one = lines[max(texts, key=lengths.__getitem__)][2]
-    around = set()
-    while one:
-        if one.tag not in ("body", "html"):
-            around.add(one.container)
-        one = one.parent
+    around = {one.container for one in _path(lines[max(texts, key=lengths.__getitem__)][2]) if one.tag not in _WHOLE}
     for at in range(start - 1, -1, -1):
         one = lines[at][2]
         if lengths[at] and one and one.heading:
-            while one and one not in around:
-                one = one.parent
-            return at if one else start
+            return at if all(lengths[at:start]) or around.intersection(_path(one)) else start
     return start
 
 
-def main_text(page: str, window: int = WINDOW, kept_share: float = KEPT_SHARE, max_linked: float = MAX_LINKED) -> str:
-    """The text between the surge and the dive of a page's lines."""
-    lines = page_lines(page, window)
-    marked = any(here and here.article for _, _, here in lines)
-    lengths = []
+def _weights(lines: list, marked: bool, max_linked: float) -> list[int]:
+    """Characters of each line that count; none of a line that cannot be text."""
+    out = []
     for text, linked, here in lines:
         inside = here and here.article
-        lengths.append(0 if not text or (marked and not inside) or (linked > max_linked * len(text) and not inside) else len(text))
+        if not text or marked and not inside:
+            out.append(0)
+        elif linked > max_linked * len(text) and not inside:
+            out.append(max(1, len(text) - linked) if here and here.prose else 0)
+        else:
+            out.append(len(text))
+    return out
+
+
+def _stretches(lengths: list[int], window: int, share: float) -> list[tuple[int, int]]:
+    """From each surge to its dive."""
     sums = [0]
     for length in lengths:
         sums.append(sums[-1] + length)
-    stretches: list[tuple[int, int]] = []
+    n = len(lengths)
+    blocks = [sums[min(at + window, n)] - sums[at] for at in range(n)]
+    texts = [at for at in range(n) if lengths[at]]
+    least = share * sum(blocks[at] for at in texts) / max(len(texts), 1)
+    found: list[tuple[int, int]] = []
     start = None
-    for at, length in enumerate(lengths):
+    for at in range(n):
         if start is None:
-            if length:
-                start = at  # surge: text after a window without
-        elif sums[min(at + window, len(lengths))] - sums[at] == 0:
-            stretches.append((start, at))  # dive: a window without text follows
+            if lengths[at] and lengths[at] >= least:
+                start = at
+        elif blocks[at] < max(least, 1):
+            found.append((start, at))
             start = None
     if start is not None:
-        stretches.append((start, len(lengths)))
+        found.append((start, n))
+    return found
+
+
+def main_text(page: str, window: int = WINDOW, kept_share: float = KEPT_SHARE, max_linked: float = MAX_LINKED) -> str:
+    """The text between the surge and the dive of a page's lines, and what belongs with it."""
+    lines = page_lines(page, window)
+    marked = any(here and here.article for _, _, here in lines)
+    lengths = _weights(lines, marked, max_linked)
+    stretches = _stretches(lengths, window, SURGE)
     if not stretches:
         return ""
+    sums = [0]
+    for length in lengths:
+        sums.append(sums[-1] + length)
     parents: dict[_Element | None, list[int]] = {}
     for at, (_, _, here) in enumerate(lines):
         if lengths[at]:
@@ -475,12 +429,15 @@ def main_text(page: str, window: int = WINDOW, kept_share: float = KEPT_SHARE, m
             first_last[2] += lengths[at]
     for parent, (first, last, size) in parents.items():
         # the body holds the whole page, so it is a parent of the text only if most of it stands there by itself
-        if parent and parent.tag not in ("body", "html") or 2 * size >= sums[last + 1] - sums[first]:
+        if parent and parent.tag not in _WHOLE or 2 * size >= sums[last + 1] - sums[first]:
             stretches.append((first, last + 1))
     stretches = _merged(stretches)
     if not marked:
         start, stop = max(stretches, key=lambda span: sums[span[1]] - sums[span[0]])
-        stretches = _merged([*stretches, (_back_to_heading(lines, lengths, start, stop), stop)])
+        start = _back_to_heading(lines, lengths, start, stop)
+        texts = [at for at in range(start, stop) if lengths[at]]
+        held = [at for at in _around(lines, texts[0], texts[-1]) if lengths[at]]
+        stretches = _merged([*stretches, (min([start, *held]), max([stop, *(at + 1 for at in held)]))])
     sizes = [sums[stop] - sums[start] for start, stop in stretches]
     kept = [range(*span) for size, span in zip(sizes, stretches) if size >= min(1, kept_share) * max(sizes)]
     return "\n".join(lines[at][0] for span in kept for at in span if lengths[at])

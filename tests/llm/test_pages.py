@@ -34,19 +34,6 @@ def test_furniture_does_not_split_the_text_of_a_container():
     assert main_text(f"<body><article>{heads}{long}</article><article>Small other one</article></body>") == want
 
 
-def test_furniture_does_not_split_the_text_of_a_container():
-    long = "".join(f"<p>Long paragraph {k} {'with many words ' * 9}</p>" for k in range(6))
-    ad = '<div class="ad">Buy now</div>'
-    want = "Title\nFirst words.\n" + "\n".join(f"Long paragraph {k} {'with many words ' * 9}".strip() for k in range(6))
-    heads = "<h1>Title</h1><p>First words.</p>"
-    outside = "<div class=x><p>Other things</p></div>" + ad
-    assert main_text(f"<body>{outside}<div class=content>{heads}{ad}{long}</div><footer>f</footer></body>") == want
-    assert main_text(f"<body>{outside}<article>{heads}{ad * 4}{long}</article></body>") == want
-    assert main_text(f"<body><nav>n</nav>{heads}{ad}{long}<footer>f</footer></body>") == want
-    assert main_text(f"<body>{outside}<div><div class=top>{heads}</div>{ad}<div class=text>{long}</div></div></body>") == want
-    assert main_text(f"<body><article>{heads}{long}</article><article>Small other one</article></body>") == want
-
-
 def test_names_of_furniture_do_not_take_the_text_with_them():
     text, rest = "<h1>Title</h1><p>Text of some length.</p>", '<div class="sidebar">Popular</div><footer>f</footer>'
     want = "Title\nText of some length."
@@ -63,6 +50,62 @@ def test_names_of_furniture_do_not_take_the_text_with_them():
     assert main_text(f'<body><article>{text}</article><div class="related"><article>Teaser</article></div></body>') == want
 
 
+LONG = [f"Paragraph {k} with a good many words to read, {'and some more ' * 12}".strip() for k in range(5)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{text}</p>" for text in texts)
+
+
+def test_parts_beyond_an_advert_are_kept():
+    story = f'<div id=story><div class=text>{paragraphs(LONG)}</div><div class=ad>Buy</div><div class=end><p>Conclusion.</p></div></div>'
+    assert main_text(f"<body><nav>n</nav>{story}<footer>f</footer></body>") == "\n".join([*LONG, "Conclusion."])
+    two = f"<section>{paragraphs(LONG)}</section><div class=advert>Buy</div><section><p>Short second part.</p></section>"
+    assert main_text(f"<body>{two}<footer>f</footer></body>") == "\n".join([*LONG, "Short second part."])
+
+
+def test_a_paragraph_that_is_one_link_is_text():
+    body = f"{paragraphs(LONG[:2])}<p><a href=x>Read the whole report of the commission</a></p>{paragraphs(LONG[2:])}"
+    want = "\n".join([*LONG[:2], "Read the whole report of the commission", *LONG[2:]])
+    assert main_text(f"<body><div class=content>{body}</div><ul><li><a>One</a><li><a>Two</a></ul></body>") == want
+
+
+def test_formulas_are_text():
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=tex>E=m</annotation></math>"
+    assert main_text(f"<article><p>So {formula} holds.</p></article>") == "So E=m holds."
+    assert main_text("<article><p>a</p><svg><text>axis</text></svg></article>") == "a"
+
+
+def test_surge_and_dive_decide_where_nothing_is_named():
+    menu = "".join(f"<div><span>Item {k}</span></div>" for k in range(12))
+    page = f"<body>{menu}<div><h1>Title</h1>{paragraphs(LONG)}<p>End.</p></div>{menu}</body>"
+    want = "\n".join(["Title", *LONG, "End."])
+    assert main_text(page) == want
+    # without a container around the text either
+    flat = f"<body>{menu}<h1>Title</h1>{paragraphs(LONG)}<p>End.</p>{menu}</body>"
+    assert main_text(flat) == want
+    assert main_text(f"<body>{menu}<div><h1>Title</h1></div><div>{paragraphs(LONG)}</div>{menu}</body>") == "\n".join(["Title", *LONG])
+
+
+def test_short_lines_of_a_text_are_kept():
+    poem = [f"line {k}" for k in range(20)]
+    lines = "".join(f"<p>{line}</p>" for line in poem)
+    assert main_text(f"<body><nav>n</nav><div>{lines}</div><footer>f</footer></body>") == "\n".join(poem)
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+
+    for piece in ('<a "x', "<a 'x", "<p", "<", "<a b=\"c'", "<!--", "<![CDATA[", "</p", "<div>", "<div><p>x", "&amp", "<a href='x\">y"):
+        times = []
+        for n in (20_000, 80_000):
+            page = piece * (n // len(piece))
+            start = time.perf_counter()
+            main_text(page)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 12 * times[0] + 0.5, (piece, times)
+
+
 def test_main_text_of_odd_markup():
     assert main_text("") == ""
     assert main_text("plain &amp; simple") == "plain & simple"
@@ -161,6 +204,64 @@ def test_texts_of_no_trained_language_are_rejected(spark):
     assert sum(r.accepted and r.language == r.truth for r in rows) >= 0.97 * len(rows)
 
 
+def posterior(rows, model):
+    """Language and confidence of each row by the definition, row by row."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyhour.llm import language_id as lang
+
+    n_languages = len(model.languages)
+    buckets, n, letters = lang._grams(pa.array([row[1] or "" for row in rows]))
+    likelihoods = model.likelihoods(buckets, n)
+    fits = model.fits(likelihoods, n)
+    best = [int(l.argmax()) if k >= lang.MIN_LETTERS and f[l.argmax()] else None for l, f, k in zip(likelihoods, fits, letters)]
+    total = np.array([sum(b == at for b in best) for at in range(n_languages)], float)
+    overall = (total + 1) / (total.sum() + n_languages)
+
+    def counts(values):
+        found = {}
+        for value, b in zip(values, best):
+            if value is not None and b is not None:
+                found.setdefault(value, np.zeros(n_languages))[b] += 1
+        return found
+
+    logs = np.log(overall) + lang.TEXT_POWER * likelihoods
+    hosts = counts([row[4] for row in rows])
+    parent = lambda host: ".".join(host.split(".")[-2:]) if "." in host else ""
+    parents = {}
+    for host, one in hosts.items():
+        parents[parent(host)] = parents.get(parent(host), 0) + one
+    smooth = lambda one, prior: (one + lang.SMOOTHING * prior) / (one.sum() + lang.SMOOTHING)
+    for at, row in enumerate(rows):
+        if row[4] in hosts:
+            logs[at] += np.log(smooth(hosts[row[4]], smooth(parents[parent(row[4])], overall))) - np.log(overall)
+        for column in (2, 3):
+            found = counts([r[column] for r in rows])
+            if row[column] in found:
+                logs[at] += np.log((found[row[column]] + 1) / (total + len(found) + 1))
+    shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+    shares /= shares.sum(axis=1, keepdims=True)
+    return {row[0]: (model.languages[int(l.argmax())], float(l.max())) for row, l in zip(rows, shares)}
+
+
+def test_each_evidence_turns_a_verdict(spark, documents):
+    """Texts both languages could have: what is declared, the address and the host each decide, and by Bayes' rule."""
+    shared, one, two = "common words stand here ", "uno dos tres cuatro ", "eins zwei drei vier "
+    model = train(documents(*[(n, shared * 6 + (one if n % 2 else two), "aa" if n % 2 else "bb") for n in range(40)]))
+    rows = [(n, (one if n % 2 else two) * 10, "aa" if n % 2 else "bb", "x/aa" if n % 2 else "x/bb", "a.site.x" if n % 2 else "b.other.x") for n in range(80)]
+    odd = [(1000, None, None, None), (1001, "aa", None, None), (1002, "bb", None, None), (1003, None, "x/aa", None)]
+    odd += [(1004, None, "x/bb", None), (1005, None, None, "a.site.x"), (1006, None, None, "b.other.x"), (1007, "aa", "x/bb", "b.other.x")]
+    rows += [(doc_id, shared * 4, *evidence) for doc_id, *evidence in odd]
+    frame = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
+    found = {r.id: (r.language, r.confidence) for r in language_id(frame, model).collect()}
+    assert [found[k][0] for k in (1001, 1002, 1003, 1004, 1005, 1006, 1007)] == ["aa", "bb", "aa", "bb", "aa", "bb", "bb"]
+    expected = posterior(rows, model)
+    for doc_id, (language, confidence) in expected.items():
+        assert abs(found[doc_id][1] - confidence) < 1e-9
+        assert found[doc_id][0] == language or confidence < 0.5 + 1e-9
+
+
 def test_language_cases(spark, documents):
     model = train(documents((0, "le chat est la " * 9, "fr"), (1, "the cat is there " * 9, "en"), (2, None, "en"), (3, "x", None)))
     rows = documents((1, None), (2, ""), (3, "### 123"), (4, "le chat est la bas encore", None, None), (4, "the cat is there again", "fr", "h"), (None, "the cat is there"))
