@@ -5,8 +5,14 @@ sequence, of which the first may be shorter. The rest are packed per partition b
 a lower bound from dual-feasible functions certifies the partition where it needs no more
 sequences than the bound. Partitions with a gap keep their full sequences and exchange the pieces of the others, certified ones
 those of their emptiest sequence, which the bound of all partitions together may spare. These are
-dealt out anew, by another hash and over half the partitions or fewer, and packed again, until one partition
-holds all that is left. The sequences made and the bound of all pieces together are logged. Every round runs as one grouped job over partitions of a bounded number of pieces.
+dealt out anew, by another hash, to partitions of at most ``partition`` pieces on average, and packed again.
+
+Where an exchange no longer settles a tenth of what it deals, all open pieces are packed together: there are no more
+different lengths than tokens in a sequence, so the driver runs best-fit decreasing over how often each occurs, run by run,
+and tells which places of a length go to which sequences. Pieces are counted off within their length, partition by partition,
+and take their places. No task and no driver holds more than a partition's pieces, or a number per length and run.
+
+The result tells how many sequences were made and how many any packing needs at least.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are packed one by
 one; a null id stays null; an empty table gives no rows; columns not named are left alone.
@@ -23,7 +29,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhour.llm import spans
@@ -36,8 +42,12 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs, on average.
 PARTITION = 4_000
+#: An exchange goes on while it settles this share of its pieces.
+SETTLED = 0.1
+ROUNDS = 16
 
 _PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_COLUMNS = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"]
 _PACKED = _PIECES + ", part long, bin long, offset long, done boolean"
 
 
@@ -85,6 +95,77 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
+def runs_of(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing over how often each length occurs, and the number of sequences made.
+
+    Rows are runs ``length, rank, bins, each, bin, offset``: from that rank of the length on, so many sequences from
+    ``bin`` on take ``each`` pieces, the first at ``offset``. Pieces of one length follow one another into the fullest
+    sequence with room until it has none, and sequences of one room are alike, so runs stand for pieces one by one.
+    """
+    rooms: dict[int, list[tuple[int, int]]] = {}
+    occupied, made = 0, 0
+    runs: list[tuple[int, ...]] = []
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal occupied
+        if room and n:
+            rooms.setdefault(room, []).append((first, n))
+            occupied |= 1 << room
+
+    for at in np.argsort(-lengths, kind="stable").tolist():
+        length, left, rank = int(lengths[at]), int(counts[at]), 0
+        while left:
+            above = occupied >> length
+            if not above:
+                n = -(-left // (capacity // length))
+                put(capacity, made, n)
+                made += n
+                continue
+            room = length + (above & -above).bit_length() - 1
+            first, n = rooms[room].pop()
+            if not rooms[room]:
+                occupied &= ~(1 << room)
+            each = min(room // length, left)
+            bins = min(n, left // each)
+            runs.append((length, rank, bins, each, first, capacity - room))
+            put(room - each * length, first, bins)
+            put(room, first + bins, n - bins)
+            rank += bins * each
+            left -= bins * each
+    return np.array(runs, np.int64).reshape(-1, 6), made
+
+
+def _together(waiting: DataFrame, number: int, capacity: int, partition: int) -> DataFrame:
+    """All open pieces in one packing, by the histogram of their lengths."""
+    histogram = waiting.groupBy("length").count().toPandas()
+    runs, _ = runs_of(histogram["length"].to_numpy(), histogram["count"].to_numpy(), capacity)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    buckets = max(1, -(-int(histogram["count"].sum()) // partition))
+    dealt = waiting.withColumn("bucket", F.pmod(F.xxhash64("row_id", "piece", F.lit(number)), F.lit(buckets)))
+    sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("length", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row_id", "piece"))
+    ranked = dealt.withColumn("within", within).join(before, ["length", "bucket"])
+    ranked = ranked.select(*_COLUMNS, (F.col("before") + F.col("within") - 1).alias("rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.searchsorted(runs[:, 0], np.arange(capacity + 2))
+        # one number that rises with length and rank
+        most = int(runs[:, 1].max(initial=0)) + int((runs[:, 2] * runs[:, 3]).max(initial=0)) + 1
+        keys = runs[:, 0] * most + runs[:, 1]
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.maximum(np.searchsorted(keys, length * most + rank, "right") - 1, starts[length])
+            _, first, _, each, start, offset = runs[at].T
+            sequence = (number << 58) + start + (rank - first) // each
+            columns = [batch.column(name) for name in _COLUMNS]
+            columns += [pa.array(offset + (rank - first) % each * length), pa.array(np.ones(len(rank), bool)), pa.array(sequence)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_COLUMNS, "offset", "done", "sequence_id"])
+
+    return land(ranked.mapInArrow(place, f"{_PIECES}, offset long, done boolean, sequence_id long"), "packed")
+
+
 def pieces(
     documents: DataFrame,
     tokenizer: str | None = None,
@@ -100,7 +181,7 @@ def pieces(
 
         path = tokenizer or public_tokenizers.path(TOKENIZER)
         end = np.array([end_id], "<u4")
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.thrifty(batches, "text"):
             _, ids = tokenize(batch.column("text"), path, True)
             columns: list[list] = [[], [], [], [], []]
             for row, own_ids in enumerate(ids):
@@ -157,29 +238,32 @@ def best_fit_packing(
     text_column: str = "text",
     partition: int = PARTITION,
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece, ``n_sequences`` and ``least_sequences``."""
     waiting = land(pieces(documents, tokenizer, capacity, end_id, id_column, text_column), "pieces")
     lengths = waiting.groupBy("length").count().toPandas()
     n_waiting, packed, made = int(lengths["count"].sum()), [], 0
-    parts = max(1, -(-n_waiting // partition))
     for number in itertools.count():
+        parts = max(1, -(-n_waiting // partition))
         dealt = _round(waiting, number, parts, capacity)
         begins = F.col("offset") == 0
         found = dealt.agg(F.count_if(~F.col("done")), F.count_if(begins), F.count_if(begins & F.col("done"))).first()
-        n_waiting = found[0]
-        if not n_waiting or parts == 1:
+        if not found[0] or parts == 1:
             packed.append(dealt)
             made += found[1]
             break
         packed.append(dealt.where("done"))
         made += found[2]
         waiting = dealt.where(~F.col("done")).drop("offset", "done", "sequence_id")
-        # halved at least, so that it ends
-        parts = max(1, min(-(-n_waiting // partition), parts // 2))
+        settled, n_waiting = n_waiting - found[0], found[0]
+        if number + 1 == ROUNDS or settled < SETTLED * (settled + n_waiting):
+            last = _together(waiting, number + 1, capacity, partition)
+            packed.append(last)
+            made += last.where("offset = 0").count()
+            break
     bound = lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
     _log.info("%d sequences, %d at least", made, bound)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     result = packed[0].select(*columns)
     for more in packed[1:]:
         result = result.unionByName(more.select(*columns))
-    return result
+    return result.withColumns({"n_sequences": F.lit(made).cast("long"), "least_sequences": F.lit(bound).cast("long")})

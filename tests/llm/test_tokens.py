@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tallyhour.llm import best_fit_packing as packing
 from tallyhour.llm import tokens
-from tallyhour.llm.best_fit_packing import best_fit_decreasing, best_fit_packing, lower_bound
+from tallyhour.llm.best_fit_packing import best_fit_decreasing, best_fit_packing, lower_bound, runs_of
 from tallyhour.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -104,13 +104,49 @@ def test_packing_gives_every_id_back(documents, partition):
     assert best_fit_packing(documents("x").limit(0)).count() == 0
 
 
-def test_exchange_goes_on_until_one_partition_is_left(spark, documents, monkeypatch, caplog):
-    seen = []
-    monkeypatch.setattr(packing, "_round", lambda *args, made=packing._round: (seen.append(args[2]), made(*args))[1])
-    docs = documents(*[(k, "word " * 11) for k in range(160)])
-    with caplog.at_level("INFO", packing.__name__):
-        packed = packing.best_fit_packing(docs, capacity=30, partition=1).collect()
-    assert seen[-1] == 1 and all(after <= before // 2 for before, after in zip(seen, seen[1:]))
-    made, bound = caplog.records[-1].args
-    assert made == len({r.sequence_id for r in packed}) and len(packed) == 160
-    assert bound == packing.lower_bound(np.array([r.length for r in packed]), 30) <= made
+def test_open_pieces_are_packed_together_without_one_large_group(spark, documents, monkeypatch):
+    """Lengths that leave a gap everywhere: groups stay small, and sequences are as few as in one packing of all."""
+    sizes = []
+    monkeypatch.setattr(packing, "_round", lambda *args, made=packing._round: (sizes.append(args[0].count() / args[2]), made(*args))[1])
+    rng = random.Random(4)
+    lengths = [rng.randint(9, 13) for _ in range(3000)]
+    rows = spark.createDataFrame([(k, k, 0, 0, n, 0) for k, n in enumerate(lengths)], packing._PIECES)
+    monkeypatch.setattr(packing, "pieces", lambda *_: rows)
+    packed = packing.best_fit_packing(documents("x"), capacity=30, partition=50).collect()
+    assert sorted(r.length for r in packed) == sorted(lengths) and {r.doc_id for r in packed} == set(range(3000))
+    sequences: dict[int, list] = {}
+    for row in packed:
+        sequences.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    for inside in sequences.values():
+        inside.sort()
+        assert inside[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(inside, inside[1:])) and sum(inside[-1]) <= 30
+    whole, _ = best_fit_decreasing(np.array(lengths), 30)
+    assert len(sequences) <= 1.01 * len(set(whole.tolist()))
+    assert {(r.n_sequences, r.least_sequences) for r in packed} == {(len(sequences), lower_bound(np.array(lengths), 30))}
+    assert max(sizes) <= 50
+
+
+def test_pieces_alike_are_packed_two_by_two(documents):
+    packed = packing.best_fit_packing(documents(*[(k, "word " * 11) for k in range(160)]), capacity=30, partition=1).collect()
+    assert len(packed) == 160 and len({r.sequence_id for r in packed}) == 80
+    assert {r.n_sequences for r in packed} == {80} and packed[0].least_sequences <= 80
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=200))
+def test_runs_are_best_fit_decreasing(lengths):
+    sizes, counts = np.unique(np.array(lengths), return_counts=True)
+    runs, made = runs_of(sizes, counts, 60)
+    bins, _ = best_fit_decreasing(np.array(lengths), 60)
+    assert made == len(set(bins.tolist()))
+    places: dict[int, list] = {}
+    seen = dict.fromkeys(sizes.tolist(), 0)
+    for length, rank, n_bins, each, first, offset in runs.tolist():
+        assert rank == seen[length]
+        seen[length] += n_bins * each
+        for k in range(n_bins * each):
+            places.setdefault(first + k // each, []).append((offset + k % each * length, length))
+    assert seen == dict(zip(sizes.tolist(), counts.tolist()))
+    for inside in places.values():
+        inside.sort()
+        assert inside[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(inside, inside[1:])) and sum(inside[-1]) <= 60
