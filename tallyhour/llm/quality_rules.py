@@ -6,9 +6,11 @@ hold is boilerplate, wherever it stands. Boilerplate lines are taken away, and a
 keeps less than ``min_left`` of its words is rejected.
 
 Copies of one text count once, as they are for deduplication to judge: documents of equal lines are one, and so
-are near copies. A near copy has less than ``own_share`` of its words in lines of its own, those that at most
-``max_documents`` different texts of the host hold; it is named by its main line, the rarest of its others. Documents
-of one host that are all made of one block and little else are near copies of each other by this.
+are near copies, of a similarity of 0.75 or more as everywhere in this package. Two texts of one length reach that
+if no more than a seventh of either (``OWN_SHARE``) is its own. A document with less in lines of its own, those that at most
+``max_documents`` different texts of the host hold, counts as the text that its main line stands for, the rarest of its
+others; with more, it counts for itself, however much it shares. So a block that stands in many documents goes, a
+document made of several such blocks is left depleted and goes, and copies of one document stay for deduplication.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails the rule on
 length; a null host is a host of its own; rows that repeat an id are judged one by one, and each
@@ -28,7 +30,8 @@ from tallyhour.llm import spans
 from tallyhour.llm.tables import land, own
 
 MAX_DOCUMENTS = 20
-OWN_SHARE = 0.2
+#: Of two texts of one length whose similarity is 0.75, what only one of them has.
+OWN_SHARE = 1 - 2 * 0.75 / (1 + 0.75)
 MIN_LEFT = 0.1
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -61,7 +64,7 @@ def _repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in spans.slices(batches, "text"):
+    for batch in spans.thrifty(batches, "text"):
         data, offsets = spans.text_bytes(batch.column("text"))
         starts, ends, first = spans.words(data, offsets)
         chars = np.zeros(len(data) + 1, np.int64)

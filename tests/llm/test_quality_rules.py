@@ -74,6 +74,80 @@ def test_block_of_lines_is_boilerplate_wherever_it_stands(documents):
     assert all(found[row[0]].kept and found[row[0]].removed_words == 0 for row in few)
 
 
+def by_hand(rows):
+    """Removed words and verdict with sets, rule by rule."""
+    own, max_documents = 1 - 2 * 0.75 / 1.75, 20
+    lines = {}
+    for doc_id, text, _, host in rows:
+        found = {}
+        for line in (text or "").split("\n"):
+            words = re.findall(r"[^\x20\x09-\x0D]+", line)
+            if words:
+                one = " ".join(re.sub("[0-9]", "0", w.lower()) for w in words)
+                found[one] = found.get(one, 0) + len(words)
+        lines[doc_id] = (host, found)
+
+    def frequent(name_of):
+        held = {}
+        for doc_id, (host, found) in lines.items():
+            for one in found:
+                held.setdefault((host, one), set()).add(name_of(doc_id))
+        return {key: len(names) for key, names in held.items() if len(names) > max_documents}
+
+    common = frequent(lambda doc_id: tuple(lines[doc_id][1]))
+
+    def name(doc_id):
+        host, found = lines[doc_id]
+        shared = [one for one in found if (host, one) in common]
+        n_own = sum(found.values()) - sum(found[one] for one in shared)
+        if not shared or n_own >= own * sum(found.values()):
+            return tuple(found)
+        least = min(common[host, one] for one in shared)
+        return ("main", frozenset(one for one in shared if common[host, one] == least))
+
+    # ties of the rarest line are broken by hash in the operator; rows here have none
+    held = {}
+    for doc_id, (host, found) in lines.items():
+        for one in found:
+            if (host, one) in common:
+                held.setdefault((host, one), set()).add(name(doc_id))
+    gone = {key for key, names in held.items() if len(names) > max_documents}
+    out = {}
+    for doc_id, text, _, host in rows:
+        found = lines[doc_id][1]
+        removed = sum(n for one, n in found.items() if (host, one) in gone)
+        n_words = sum(found.values())
+        out[doc_id] = (removed, not base(text)[-1] and n_words - removed >= 0.1 * n_words)
+    return out
+
+
+def test_verdicts_equal_brute_force(documents):
+    """Blocks of several sizes in documents with more or less of their own, two hosts, exact copies."""
+    blocks = [" ".join(f"b{letters(k)}x{letters(j)}" for j in range(20 + 15 * k)) for k in range(6)]
+    rows = []
+    for n in range(260):
+        chosen = [blocks[k] for k in range(6) if (n * 7 + k * 3) % (k + 2) == 0]
+        rows.append((n, "\n".join([*body(n, n % 7), *chosen]), "en", f"host{n % 2}"))
+    rows += [(1000 + n, rows[3][1], "en", "host1") for n in range(30)]
+    found = {r.doc_id: (r.removed_words, r.kept) for r in quality_rules(documents(*rows)).collect()}
+    expected = by_hand(rows)
+    assert found == expected
+    assert any(removed and kept for removed, kept in found.values())
+    assert any(removed and not kept for (removed, kept), row in zip(found.values(), rows) if not base(row[1])[-1])
+
+
+def test_a_block_goes_where_documents_are_not_near_copies(documents):
+    block = " ".join(f"shared{letters(k)}" for k in range(140))
+
+    def kept_words(n_own):
+        rows = [(n, f"{block}\n" + " ".join(f"own{letters(n)}x{letters(k)}" for k in range(n_own)), "en", "host") for n in range(60)]
+        return {(r.removed_words, r.kept) for r in quality_rules(documents(*rows)).collect()}
+
+    # with ten words of their own their shingles are alike by three quarters and more: one document, for deduplication
+    assert kept_words(10) == {(0, True)}
+    assert kept_words(30) == kept_words(60) == {(140, True)}
+
+
 def test_defined_cases(documents):
     good = "\n".join(body(5))
     rows = documents((1, good, "en", None), (1, good, "en", None), (None, good, None, None), (2, None, None, None))
