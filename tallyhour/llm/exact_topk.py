@@ -12,10 +12,11 @@ group holds a bounded number of candidates and of queries.
 
 Scores are integers, exact. Ties go to the smaller id.
 
-Defined cases: a vector that is null, empty, or holds a null or a value that is not finite takes no part; shorter
-vectors count as filled with zeros; rows that repeat an id are candidates one by one, but never for a
-query of the same id; each repeated query has its own list, numbered by ``query_row``; an empty table
-gives no rows; columns not named are left alone.
+Defined cases: a vector that is null, or holds a null or a value that is not finite, takes no part; shorter
+vectors, empty ones too, count as filled with zeros; rows that repeat an id are candidates one by one, those of the
+query's id but for the query's own row; each repeated query has its own list, numbered by ``query_row``; a row without an
+id takes no part; a cluster column of any type serves, by its hash if it is no number; an empty table gives no rows;
+columns not named are left alone.
 """
 
 from __future__ import annotations
@@ -63,9 +64,16 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _search(
-    queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Best ``k`` scores and ids of each query among sorted ``rows``; -1 marks an empty place.
+    queries: np.ndarray,
+    query_rows: np.ndarray,
+    floor: np.ndarray,
+    rows: np.ndarray,
+    ids: np.ndarray,
+    row_ids: np.ndarray,
+    k: int,
+    block: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` scores and ids of each query among sorted ``rows``, and which places are filled.
 
     ``floor`` is a score that k rows elsewhere are known to reach: blocks below it are not read.
     """
@@ -93,7 +101,7 @@ def _search(
             span = slice(starts[one], starts[one] + block)
             new = _products(queries[who], rows[span])
             new_ids = np.broadcast_to(ids[span], new.shape)
-            allowed = new_ids != query_ids[who, None]
+            allowed = row_ids[None, span] != query_rows[who, None]
             all_has = np.concatenate([has[who], allowed], axis=1)
             all_scores = np.concatenate([scores[who], new], axis=1)
             all_ids = np.concatenate([found[who], new_ids], axis=1)
@@ -118,10 +126,10 @@ def _hits(part: int, query_rows, query_ids, scores, found, has) -> pa.Table:
     )
 
 
-def _sorted_rows(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_rows(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = pa.compute.sort_indices(rows, [("cluster", "ascending"), ("vec_id", "ascending")])
     rows = rows.take(order)
-    return _matrix(rows.column("vector"), width), rows.column("vec_id").to_numpy()
+    return _matrix(rows.column("vector"), width), rows.column("vec_id").to_numpy(), rows.column("row_id").to_numpy()
 
 
 def exact_topk(
@@ -145,8 +153,10 @@ def exact_topk(
         rows = rows.withColumn("cluster", F.lit(0))
     whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    valid = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~broken).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("cluster").cast("long").alias("cluster"), whole.alias("vector")
+    number = dict(rows.dtypes)["cluster"] in ("tinyint", "smallint", "int", "bigint")
+    cluster = F.col("cluster").cast("long") if number else F.xxhash64(F.col("cluster"))
+    valid = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~broken).select(
+        F.col("vec_id").cast("long").alias("vec_id"), cluster.alias("cluster"), whole.alias("vector")
     )
     totals = valid.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
     n, width = totals["n"], totals["width"] or 1
@@ -178,18 +188,18 @@ def exact_topk(
         if not candidates.num_rows or not asked.num_rows:
             nothing = np.zeros(0, np.int64)
             return _hits(0, nothing, nothing, np.zeros((0, k), np.int64), np.zeros((0, k), np.int64), np.zeros((0, k), bool))
-        vectors_, ids = _sorted_rows(candidates, width)
-        query_ids = asked.column("query_id").to_numpy()
+        vectors_, ids, row_ids = _sorted_rows(candidates, width)
+        query_rows = asked.column("query_row").to_numpy()
         floor = asked.column("floor").to_numpy()
         scores, found, has = _search(
-            _matrix(asked.column("query"), width), query_ids, floor, vectors_, ids, k, block_rows
+            _matrix(asked.column("query"), width), query_rows, floor, vectors_, ids, row_ids, k, block_rows
         )
-        return _hits(key[0].as_py(), asked.column("query_row").to_numpy(), query_ids, scores, found, has)
+        return _hits(key[0].as_py(), query_rows, asked.column("query_id").to_numpy(), scores, found, has)
 
     def searched(asked: DataFrame) -> DataFrame:
         """Every query in the part it is dealt to: parts meet chunks of queries."""
         numbers = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-        candidates = index.select("part", "vec_id", "cluster", "vector", numbers if chunks > 1 else F.lit(0).alias("chunk"))
+        candidates = index.select("part", "vec_id", "row_id", "cluster", "vector", numbers if chunks > 1 else F.lit(0).alias("chunk"))
         return (
             candidates.groupBy("part", "chunk")
             .cogroup(asked.withColumn("chunk", chunk_of).groupBy("part", "chunk"))
@@ -234,7 +244,7 @@ def exact_topk(
     visits = (
         asked.select("*", others)
         .where(F.col("other") != F.col("part"))
-        .join(checked(outline), "other")
+        .join(checked(outline, parts, 16 * width + 64), "other")
         .where(bound + F.abs(bound) * 1e-9 + 1 >= F.col("floor"))
         .select("query_row", "query_id", "query", "floor", F.col("other").alias("part"))
     )
@@ -248,14 +258,16 @@ def exact_topk(
 
 
 ORACLE_SQL = f"""
-WITH valid AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH numbered AS (SELECT vec_id, embedding, row_number() OVER () AS row_id FROM embeddings),
+valid AS (
+  SELECT vec_id, row_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM numbered
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM valid q JOIN valid c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_MODULUS} = 0
+  SELECT q.vec_id AS query_id, q.row_id AS query_row, c.vec_id,
+         COALESCE(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM valid q JOIN valid c ON q.row_id <> c.row_id WHERE q.vec_id % {QUERY_MODULUS} = 0
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
 """

@@ -14,12 +14,12 @@ def brute_force(rows, k, modulus):
     valid = [
         (i, [math.floor(64 * x) for x in v])
         for i, v in rows
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
     lists = []
-    for query, q in valid:
+    for place, (query, q) in enumerate(valid):
         if query % modulus == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c)), i) for i, c in valid if i != query)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(q, c)), i) for other, (i, c) in enumerate(valid) if other != place)[:k]
             lists.append((query, [(i, -s) for s, i in scored]))
     return sorted(lists)
 
@@ -39,10 +39,19 @@ def test_topk_equals_brute_force(spark, sizes):
     rows += [(300 + i, [1.0] * 6, 9) for i in range(40)]  # ties
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as part", "2 as score", "3 as cluster")
     part_rows, block_rows, chunk = sizes
+    rows += [(40, rows[5][1], 1), (60, [], 2), (60, [0.5] * 6, 2)]
+    frame = frame.unionByName(spark.createDataFrame(rows[-3:], "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as part", "2 as score", "3 as cluster"))
     found = exact_topk(frame, k=5, query_modulus=10, part_rows=part_rows, block_rows=block_rows, query_chunk=chunk).collect()
     assert listed(found) == brute_force([row[:2] for row in rows], 5, 10)
 
 
+def test_topk_by_a_cluster_of_text(spark):
+    rows = [(i, [float(i % 7), 1.0], f"name {i % 3}" if i % 5 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = exact_topk(frame, k=4, query_modulus=10, part_rows=10, block_rows=4).collect()
+    assert listed(found) == brute_force([row[:2] for row in rows], 4, 10)
+
+
 def test_topk_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert listed(exact_topk(frame).collect()) == [(0, [(1, 64 * 128)])]
