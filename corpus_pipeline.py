@@ -5,9 +5,10 @@ columns of ``docs``; the last returns pieces of sequences. ``run`` writes what e
 folder and reads it back for the next.
 
 Stages name rows by a 64-bit hash of their columns, so rows that repeat an id are told apart; rows that are equal in
-all columns share a name and a verdict, and only deduplication makes one of them. What a stage drops is
-sent as a list of names to where the texts are, if a count proves it small; else both sides
-are shuffled. Null ids and empty tables pass through every stage.
+all columns share a name and a verdict, and only deduplication makes one of them. Different rows may share a name by
+chance, and then a verdict: at 10^9 rows one such pair is to be expected about once in forty runs, at 10^10 two or three in
+each. What a stage drops is sent as a list of names to where the texts are, if a count proves it small; else both sides
+are shuffled. Null ids, empty tables and columns of any name pass through every stage.
 """
 
 from __future__ import annotations
@@ -25,16 +26,38 @@ from tallyhour.llm.tables import checked, land, table
 
 _NAME = "_row_name"
 _NAMED_BY = ("doc_id", "text", "lang", "source")
+_MIXED = ("copy", "copies", "order_key")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until the input has no such column."""
+    while name.lower() in (column.lower() for column in docs.columns):
+        name += "_"
+    return name
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_NAME, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _NAMED_BY]))
+    """The columns that name a row, and its name; none that another column could be mistaken for."""
+    return docs.select(*_NAMED_BY).withColumn(_NAME, _name())
+
+
+def _name():
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _NAMED_BY])
 
 
 def _without(docs: DataFrame, names: DataFrame) -> DataFrame:
     """``docs`` but for the rows named."""
-    gone = land(names.distinct(), "dropped").withColumnRenamed(names.columns[0], _NAME)
-    return _named(docs).join(checked(gone), _NAME, "left_anti").select(*docs.columns)
+    gone = land(names.distinct(), "dropped").withColumnRenamed(names.columns[0], _free(docs, _NAME))
+    return _also_named(docs).join(checked(gone), gone.columns[0], "left_anti").select(*_columns(docs))
+
+
+def _also_named(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, and the name of each row under a free one."""
+    return docs.withColumn(_free(docs, _NAME), _name())
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{column}`") for column in docs.columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,15 +90,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = land(rows.where("n > 1").join(stays, _NAME, "left_semi").select(_NAME), "repeated")
     if not repeated.limit(1).count():
         return single
-    again = checked(repeated)
-    once = _named(single).join(again, _NAME, "left_semi").dropDuplicates([_NAME]).select(*docs.columns)
-    return _named(single).join(again, _NAME, "left_anti").select(*docs.columns).unionByName(once)
+    name = _free(docs, _NAME)
+    again = checked(repeated.withColumnRenamed(_NAME, name))
+    once = _also_named(single).join(again, name, "left_semi").dropDuplicates([name]).select(*_columns(docs))
+    return _also_named(single).join(again, name, "left_anti").select(*_columns(docs)).union(once)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weights of their sources ask for, in random order."""
     ship(spark)
-    return mix_sources(docs).select(*docs.columns)
+    kept = {column: _free(docs, f"kept_{column}") for column in docs.columns if column.lower() in _MIXED}
+    mixed = mix_sources(docs.withColumnsRenamed(kept))
+    return mixed.select(*[F.col(f"`{kept.get(column, column)}`").alias(column) for column in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
