@@ -55,3 +55,14 @@ def test_repeated_rows_nulls_and_empty_tables(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         stage(spark, docs, SF).collect()
+
+
+def test_columns_of_any_name_pass_through(spark, documents):
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = documents((1, text), (2, text), (3, " ".join(f"v{k} x" for k in range(60)))).selectExpr(
+        "doc_id", "text", "lang", "source", "n_chars", "'mine' as _row_name", "7 as copy", "8 as copies", "'k' as order_key"
+    )
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        assert {(r._row_name, r["copy"], r.copies, r.order_key) for r in found.collect()} <= {("mine", 7, 8, "k")}, name
