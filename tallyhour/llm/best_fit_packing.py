@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -211,20 +210,22 @@ def pieces(
     return rows.mapInArrow(cut, _PIECES)
 
 
-def _pack(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    frame = frame.sort_values(["length", "row_id", "piece"], ascending=[False, True, True], ignore_index=True)
-    lengths = frame["length"].to_numpy()
+def _pack(table: pa.Table, capacity: int) -> pa.Table:
+    length, row, piece = (table.column(name).to_numpy() for name in ("length", "row_id", "piece"))
+    order = np.lexsort((piece, row, -length))
+    table, lengths = table.take(pa.array(order)), length[order]
     bins, offsets = best_fit_decreasing(lengths, capacity)
     filled = np.bincount(bins, lengths).astype(np.int64)
     certified = bins.max() < lower_bound(lengths, capacity)
     # where the bound is not met, only full sequences stay; the emptiest one is always worth an exchange
     stays = (filled == capacity) | (certified & (np.arange(len(filled)) != filled.argmin()))
-    return frame.assign(bin=bins, offset=offsets, done=stays[bins])
+    columns = {name: table.column(name) for name in [*_COLUMNS, "part"]}
+    return pa.table({**columns, "bin": pa.array(bins), "offset": pa.array(offsets), "done": pa.array(stays[bins])})
 
 
 def _round(open_pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
     dealt = open_pieces.withColumn("part", F.pmod(F.xxhash64("row_id", "piece", F.lit(number)), F.lit(parts)))
-    packed = dealt.groupBy("part").applyInPandas(lambda frame: _pack(frame, capacity), _PACKED)
+    packed = dealt.groupBy("part").applyInArrow(lambda table: _pack(table, capacity), _PACKED)
     sequence = F.lit(number << 58) + F.shiftleft("part", 32) + F.col("bin")
     return land(packed.withColumn("sequence_id", sequence).drop("part", "bin"), "packed")
 

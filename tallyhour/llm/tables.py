@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,18 @@ def checked(rows: DataFrame, n: int | None = None, row_bytes: int = 16) -> DataF
 def own(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The named columns under the operator's names; other columns never meet them."""
     return frame.select(*[frame[f"`{theirs}`"].alias(ours) for ours, theirs in columns.items()])
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, Python workers get texts in batches of at most ``rows``, which bounds what the JVM holds beside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
