@@ -22,7 +22,7 @@ from tallyhour.llm.mix_sources import mix_sources
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
 from tallyhour.llm.quality_rules import quality_rules
 from tallyhour.llm.registry import ship
-from tallyhour.llm.tables import checked, land, table
+from tallyhour.llm.tables import checked, land, small_batches, table
 
 _NAME = "_row_name"
 _NAMED_BY = ("doc_id", "text", "lang", "source")
@@ -63,25 +63,26 @@ def _columns(docs: DataFrame) -> list:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is identified with confidence."""
     ship(spark)
-    judged = language_id(document_evidence(_named(docs), id_column=_NAME), train(docs))
-    return _without(docs, judged.where(~F.col("accepted")).select("id"))
+    with small_batches(spark):
+        judged = language_id(document_evidence(_named(docs), id_column=_NAME), train(docs))
+        return _without(docs, judged.where(~F.col("accepted")).select("id"))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules within a document and are not made of boilerplate lines."""
     ship(spark)
-    judged = quality_rules(_named(docs), id_column=_NAME)
-    return _without(docs, judged.where(~F.col("kept")).select("doc_id"))
+    with small_batches(spark):
+        judged = quality_rules(_named(docs), id_column=_NAME)
+        return _without(docs, judged.where(~F.col("kept")).select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id."""
     ship(spark)
     named = _named(docs)
-    groups = land(
-        ngram_jaccard_join(named, id_column=_NAME).select(F.col("doc_id").alias(_NAME), F.col("component_id").alias("component")),
-        "groups",
-    )
+    with small_batches(spark):
+        joined = ngram_jaccard_join(named, id_column=_NAME)
+        groups = land(joined.select(F.col("doc_id").alias(_NAME), F.col("component_id").alias("component")), "groups")
     rows = land(groups.groupBy(_NAME, "component").agg(F.count(F.lit(1)).alias("n")), "named")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _NAME)).alias("least")
     ids = named.select(_NAME, "doc_id").distinct()
@@ -107,7 +108,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
     ship(spark)
-    return best_fit_packing(docs)
+    with small_batches(spark):
+        return best_fit_packing(docs)
 
 
 STAGES = [
