@@ -10,7 +10,8 @@ from tallyhour.session import build
 from tallyhour.sinks.cursor import CursorTable
 from tallyhour.sinks.ledger import SentLedger
 from tallyhour.sinks.topic import publish
-from tallyhour.sources.raw import raw_table
+from tallyhour.sources.raw import raw_stream, raw_table
+from tallyhour.streaming.capture import publish_stream
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -19,7 +20,10 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--raw-option", action="append", default=[], metavar="KEY=VALUE")
     parser.add_argument("--topic-format", default="kafka")
     parser.add_argument("--topic-option", action="append", default=[], metavar="KEY=VALUE")
-    parser.add_argument("--cursor", required=True, help="shared folder of the scan cursor")
+    place = parser.add_mutually_exclusive_group(required=True)
+    place.add_argument("--cursor", help="shared folder of the scan cursor; the table is polled")
+    place.add_argument("--stream-checkpoint", help="shared folder of a stream's progress; the table is read as a stream")
+    parser.add_argument("--once", action="store_true", help="of a stream: stop at the present end of the table")
     parser.add_argument("--settle", default="2 seconds", help="how late a row may arrive and still be sent")
     parser.add_argument(
         "--overlap",
@@ -37,8 +41,14 @@ def arguments() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = arguments().parse_args(argv)
     spark = build("tallyhour-capture")
-    cursors = CursorTable(args.cursor)
     topic = option_map(args.topic_option)
+    if args.stream_checkpoint:
+        trigger = {"availableNow": True} if args.once else {}
+        raw = raw_stream(spark, args.raw_format, option_map(args.raw_option))
+        query = publish_stream(raw, topic, args.stream_checkpoint, args.topic_format, **trigger)
+        query.awaitTermination()
+        return sum(batch["numInputRows"] for batch in query.recentProgress)
+    cursors = CursorTable(args.cursor)
     ledger = None if args.resend else SentLedger(f"{args.cursor.rstrip('/')}/ledger")
     lease = cursors.take_lease(spark)
 

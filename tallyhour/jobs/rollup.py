@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tallyhour.jobs.options import option_map
 from tallyhour.plans.batch import BatchSink, deliver
 from tallyhour.schemas import EVENTS, EVENTS_WRITTEN, PUBLISHER
-from tallyhour.session import build, for_state
+from tallyhour.session import build, for_state, scratch
 from tallyhour.sinks.batches import BatchTable, tally_table
 from tallyhour.sinks.jdbc import jdbc_plain_sink, jdbc_sink
-from tallyhour.sources.dimension import jdbc_dimension, stored_dimension
+from tallyhour.sources.dimension import JOB_QUERY, jdbc_bounds, jdbc_dimension, jdbc_table, refreshed, stored_dimension
 from tallyhour.sources.topic import topic_stream
 from tallyhour.streaming.rollup import run_rollup
 
@@ -30,6 +30,8 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--plain-append", action="store_true", help="for a target without stream_id and batch_id; replays append again")
     parser.add_argument("--job-path", help="job dimension as parquet, instead of over JDBC")
     parser.add_argument("--publisher-path", help="publisher dimension as parquet, instead of over JDBC")
+    parser.add_argument("--refresh", type=float, default=60.0, help="seconds for which a copy of the dimensions serves; 0 for each batch anew")
+    parser.add_argument("--dimension-connections", type=int, default=1, help="connections that read a dimension over JDBC, split by its key")
     parser.add_argument("--events-path", help="fact table as parquet batches, instead of over JDBC")
     parser.add_argument("--tally-path", help="state rows as parquet batches for jobs/compact.py, instead of fact rows")
     parser.add_argument("--dead-letter-path", help="folder for messages that cannot be read, with the reason")
@@ -62,13 +64,24 @@ def main(argv: list[str] | None = None) -> None:
     jdbc = option_map(args.jdbc_option)
     fact = {name: EVENTS[name] for name in [*EVENTS_WRITTEN, "updated_at"]}
 
+    def over_jdbc(table: str, key: str, query: str):
+        if args.dimension_connections == 1:
+            return jdbc_dimension(spark, jdbc, query)
+        bounds = jdbc_bounds(spark, jdbc, table, key)
+        return jdbc_table(spark, jdbc, f"({query}) dimension", key, bounds, args.dimension_connections)
+
     def load_job():
-        return stored_dimension(spark, args.job_path) if args.job_path else jdbc_dimension(spark, jdbc)
+        return stored_dimension(spark, args.job_path) if args.job_path else over_jdbc("job", "job_id", JOB_QUERY)
 
     def load_publisher():
         if args.publisher_path:
             return stored_dimension(spark, args.publisher_path, PUBLISHER)
-        return jdbc_dimension(spark, jdbc, "SELECT id FROM master_publisher")
+        return over_jdbc("master_publisher", "id", "SELECT id FROM master_publisher")
+
+    copies = scratch(spark, "dimensions")
+    load_job, load_publisher = (
+        refreshed(load, f"{copies}/{name}", args.refresh) for name, load in (("job", load_job), ("publisher", load_publisher))
+    )
 
     if args.events_path:
         write = BatchTable(args.events_path, fact).write
@@ -79,7 +92,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.quarantine_path:
         quarantine = _stamped(BatchTable(args.quarantine_path, {**fact, "failed_reference": "string"}))
         landing = args.quarantine_path.rstrip("/") + "-landing"
-    sink = deliver(load_job, write, load_publisher, quarantine, landing, check_size=True)
+    # copies are files, whose size Spark knows
+    sink = deliver(load_job, write, load_publisher, quarantine, landing)
     if args.tally_path:
         sink = tally_table(args.tally_path).write
     dead = dead_landing = None

@@ -27,6 +27,19 @@ def distinct_changes(changes: DataFrame) -> DataFrame:
     )
 
 
+def conflicting_changes(changes: DataFrame) -> DataFrame:
+    """``create_time, n_copies`` of changes whose copies are not all alike, of which ``distinct_changes`` keeps one.
+
+    Rows are told apart by 128 bits of hash: the aggregate's state is four numbers, hashed throughout without a sort.
+    """
+    columns = [F.col(name) for name in changes.columns]
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    hashed = changes.where(F.col(KEY).isNotNull()).select(KEY, one.alias("one"), two.alias("two"))
+    ends = [f(name).alias(f"{end}_{name}") for name in ("one", "two") for end, f in (("low", F.min), ("high", F.max))]
+    found = hashed.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_copies"), *ends)
+    return found.where("low_one <> high_one or low_two <> high_two").select(KEY, "n_copies")
+
+
 def distinct_stream(changes: DataFrame, horizon: str, salts: int = 16) -> DataFrame:
     """Drop copies that arrive within ``horizon`` of the first one, across micro-batches.
 

@@ -307,6 +307,8 @@ def oracle_sql() -> dict[str, str]:
         "CAST(COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') AS BIGINT) AS first_sent, "
         "CAST(COUNT(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00') AS BIGINT) AS second_sent FROM events",
         "deduped_changes": whole_raw,
+        "conflicting_changes": "SELECT CAST(event_id AS VARCHAR) AS create_time, CAST(3 AS BIGINT) AS n_copies "
+        "FROM events WHERE event_id % 7 = 0",
         "stream_parse": whole_raw,
         "stream_publish": whole_raw,
         "stream_deltas_compacted": whole_rollup,

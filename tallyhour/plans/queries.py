@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyhour.functions import EPOCH, iso_text, is_kind, millis, op_code, parse_iso, saturating_instant
 from tallyhour.operators.capture import incremental_scan, next_cursor
 from tallyhour.operators.contract import events_rows, last_id, to_events_contract
-from tallyhour.operators.dedup import distinct_changes
+from tallyhour.operators.dedup import conflicting_changes, distinct_changes
 from tallyhour.operators.enrich import with_company, with_company_as_of
 from tallyhour.operators.envelope import dead_letters, living, read_changes, read_or_refuse, to_envelope
 from tallyhour.operators.integrity import Reference, nullify_deleted, remap_keys, split_by_reference
@@ -555,6 +555,14 @@ def deduped_changes(spark, sf_dir):
     return _shown(distinct_changes(raw.unionByName(raw)), RAW)
 
 
+@_query
+def conflicting_changes_(spark, sf_dir):
+    """Every change is sent twice, and one in seven a third time with another bid."""
+    raw = inputs.tracking(spark, sf_dir)
+    other = raw.where(F.col("create_time").cast("bigint") % 7 == 0).withColumn("bid", F.lit(-1).cast("float"))
+    return conflicting_changes(raw.unionByName(raw).unionByName(other))
+
+
 @_query
 def lateness_quantiles_(spark, sf_dir):
     """Sketches of three batches, added up; a row is late by the square of a number its id gives, in milliseconds."""

@@ -34,16 +34,20 @@ def jdbc_append(rows: DataFrame, connection: dict[str, str], table: str = "event
 
 
 def jdbc_batch_keys(
-    spark: SparkSession, connection: dict[str, str], table: str, stream_id: str, batch_id: int
+    spark: SparkSession, connection: dict[str, str], table: str, stream_id: str, batch_id: int, connections: int = 8
 ) -> DataFrame:
-    """Hour keys the target already holds for a batch; an index on both ids serves it."""
+    """Hour keys the target already holds for a batch; an index on both ids serves it.
+
+    They are read by as many connections as write, split by hour of the day; keys without an hour come with the first.
+    """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", stream_id):
         raise ValueError(f"not a stream id: {stream_id!r}")
     query = (
         f"SELECT {', '.join(HOUR_KEYS)} FROM {table} "
         f"WHERE stream_id = '{stream_id}' AND batch_id = {int(batch_id)}"
     )
-    return spark.read.format("jdbc").options(**connection).option("query", query).load()
+    split = {"partitionColumn": "hours", "lowerBound": 0, "upperBound": 24, "numPartitions": connections}
+    return spark.read.format("jdbc").options(**connection).option("dbtable", f"({query}) stored").options(**split).load()
 
 
 def missing_rows(rows: DataFrame, stored_keys: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def jdbc_sink(
         append_once(
             _dates(rows, dates_as_text),
             batch_id,
-            lambda stream, batch: jdbc_batch_keys(rows.sparkSession, connection, table, stream, batch),
+            lambda stream, batch: jdbc_batch_keys(rows.sparkSession, connection, table, stream, batch, connections),
             lambda chosen: jdbc_append(chosen, connection, table, connections),
         )
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 from support import event, rows_of
 from pyspark.sql import functions as F
 
-from tallyhour.operators.dedup import distinct_changes
+from tallyhour.operators.dedup import conflicting_changes, distinct_changes
 from tallyhour.operators.envelope import to_envelope
 from tallyhour.operators.rollup import hourly
 from tallyhour.schemas import TRACKING
@@ -30,6 +30,17 @@ def test_the_greatest_copy_wins_whatever_the_order(tracking):
         assert rows_of(distinct_changes(tracking(*rows)), "bid") == [(2.0,)]
 
 
+def test_copies_that_differ_are_reported_without_a_sort(tracking):
+    raw = tracking(
+        event(create_time="a"), event(create_time="a"), event(create_time="b"), event(create_time="b", bid=None),
+        event(create_time="b"), event(create_time=None, bid=1.0), event(create_time=None, bid=2.0), event(create_time="c"),
+    )
+    found = conflicting_changes(raw)
+    assert rows_of(found, "create_time", "n_copies") == [("b", 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "Sort" not in plan
+
+
 def test_columns_keep_their_order(tracking):
     assert distinct_changes(tracking(event())).columns == list(TRACKING)
 

@@ -14,7 +14,8 @@ from tallyhour.session import scratch
 from tallyhour.sinks import jdbc
 from tallyhour.sinks.batches import BatchTable, compact, published, tally_table
 from tallyhour.sinks.tables import create_all, table_append
-from tallyhour.sources.dimension import JOB_QUERY, jdbc_dimension, jdbc_options, jdbc_table, stored_dimension
+from tallyhour.sinks.versions import names
+from tallyhour.sources.dimension import JOB_QUERY, jdbc_dimension, jdbc_options, jdbc_table, refreshed, stored_dimension
 from tallyhour.sources.raw import raw_table
 
 
@@ -219,11 +220,34 @@ def test_jdbc_sinks(monkeypatch, contract):
 
 def test_jdbc_batch_keys_query():
     session = Recorder()
-    jdbc.jdbc_batch_keys(session, CONNECTION, "events", "s-1", 12)
-    assert session.calls["query"] == (
-        "SELECT job_id, dates, hours, publisher_id, campaign_id, group_id FROM events "
-        "WHERE stream_id = 's-1' AND batch_id = 12"
+    jdbc.jdbc_batch_keys(session, CONNECTION, "events", "s-1", 12, 6)
+    assert session.calls["dbtable"] == (
+        "(SELECT job_id, dates, hours, publisher_id, campaign_id, group_id FROM events "
+        "WHERE stream_id = 's-1' AND batch_id = 12) stored"
     )
+    split = {"partitionColumn": "hours", "lowerBound": 0, "upperBound": 24, "numPartitions": 6}
+    assert split.items() <= session.calls.items()
+
+
+def test_a_dimension_is_read_once_per_refresh(spark):
+    now, reads, path = [0.0], [], scratch(spark, "copies")
+
+    def load():
+        reads.append(now[0])
+        return spark.createDataFrame([(len(reads), 10)], "job_id int, company_id int")
+
+    loaded = refreshed(load, path, 60.0, lambda: now[0])
+    served = []
+    for at in (0.0, 30.0, 59.0, 61.0, 100.0, 121.5):
+        now[0] = at
+        served.append(loaded().first().job_id)
+    assert (served, reads) == ([1, 1, 1, 2, 2, 3], [0.0, 61.0, 121.5])
+    assert len(names(spark, path)) == 2
+    plan = spark.range(5).selectExpr("id as job_id").join(loaded(), "job_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    always = refreshed(load, path, 0, lambda: now[0])
+    always(), always()
+    assert len(reads) == 5
 
 
 def test_raw_table_reads_declared_columns(spark, tracking):

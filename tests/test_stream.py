@@ -228,6 +228,19 @@ def test_programs_from_raw_table_to_fact(spark, tracking, dedup):
     assert rows_of(bad, "job_id", "publisher_id", "failed_reference") == [(1, 0, "publisher_id"), (9, 15, "job_id")]
 
 
+def test_capture_as_a_stream(spark, tracking):
+    folder = scratch(spark, "raw-stream")
+    arguments = ["--raw-format", "parquet", "--raw-option", f"path={folder}/raw", "--topic-format", "parquet",
+                 "--topic-option", f"path={folder}/topic", "--stream-checkpoint", f"{folder}/checkpoint", "--once"]
+    sent = []
+    for rows in ([event(), event(job=2), event(ts=None)], [event(job=3)]):
+        tracking(*rows).write.mode("append").parquet(f"{folder}/raw")
+        sent.append(capture_job.main(arguments))
+    assert sent == [3, 1]
+    changes = read_changes(spark.read.schema("value binary").parquet(f"{folder}/topic"))
+    assert rows_of(changes, "job_id") == [(1,), (2,), (3,)]
+
+
 def test_programs_to_a_served_table(spark, tracking):
     """Tallies and dead letters by the rollup, merged and served by the compaction; state can be added to."""
     folder = scratch(spark, "served")
