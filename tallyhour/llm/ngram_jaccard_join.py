@@ -12,8 +12,8 @@ near copies needs about n tests and not n squared:
 1. for each prefix shingle, the members against one of them, the hub;
 2. for each prefix shingle, members of different groups of step 1 against each other. Members of one
    group are linked already, whatever a test would say, so no link between groups is lost. Sets are first held
-   against whole bands of sizes; those in crowds by all their shingles against all other groups at once, so that what is
-   near a crowd but not near enough to any of it makes no pairs.
+   against whole bands of sizes; those in crowds, or with many possible partners, by all their shingles against all other
+   groups at once, so that what is near a crowd but not near enough to any of it makes no pairs.
 
 Both steps test a pair only if it shares as many prefix shingles as sets of their sizes must; step 1, which
 does not count shingles with another hub, if a third of them. What step 1 leaves out step 2 meets.
@@ -54,6 +54,8 @@ BANDS = 16
 ROUNDS = 1
 #: A shingle that more groups than this have makes no pairs of sets with groups.
 CROWD = 64
+#: A set with more possible partners than this makes no rows for each of its shingles and each of them.
+PARTNERS = 4
 #: How often sets whose shared shingles leave no partner possible are taken out.
 REACH_ROUNDS = 1
 #: Shingles of a block of sets that are held against each other in a task.
@@ -517,11 +519,11 @@ def _crowded(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return calm.withColumn("crowded", F.coalesce("crowded", F.lit(0))), deep
 
 
-def _by_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b, shared`` of sets in different groups, by the shingles of ``members`` that they share.
+def _meets(members: DataFrame, percent: int) -> DataFrame:
+    """``set_id, n, component, band, their, other, partners``: groups that sets may have links with, by bands of sizes.
 
-    A set meets groups within bands of sizes, and their members last: it must share enough shingles with all members
-    taken together, for the sizes these have.
+    A set must share enough shingles of ``members`` with all members of a group in a band taken together, for the sizes these have.
+    ``partners`` counts those members which likewise share enough with the set's own group.
     """
     theirs = [F.col("component").alias("their"), F.col("band").alias("other"), F.col("other").alias("band")]
     ranges = members.groupBy(*theirs[:2]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -529,13 +531,40 @@ def _by_groups(members: DataFrame, percent: int) -> DataFrame:
     meets = (
         members.join(members.select("shingle", *theirs).distinct(), ["shingle", "band", "other"])
         .where("component != their")
-        .groupBy("set_id", "n", "crowded", "component", "their", "other")
+        .groupBy("set_id", "n", "crowded", "component", "band", "their", "other")
         .agg(F.count(F.lit(1)).alias("shared"))
         .join(ranges, ["their", "other"])
         .where(possible & (F.col("shared") + F.col("crowded") >= needed))
-        .select("set_id", "component", "their", "other")
+        .select("set_id", "n", "component", "band", "their", "other")
     )
-    meets = checked(land(meets, "meets"), row_bytes=48)
+    meets = land(meets, "meets")
+    back = meets.groupBy(*_turned()).agg(F.count(F.lit(1)).alias("partners"))
+    return land(meets.join(back, ["component", "their", "band", "other"]), "mutual")
+
+
+def _turned() -> list[Column]:
+    """The columns of a meeting as the other side has them."""
+    pairs = ("their", "component"), ("component", "their"), ("other", "band"), ("band", "other")
+    return [F.col(theirs).alias(ours) for theirs, ours in pairs]
+
+
+def _by_partners(meets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Meetings of sets with few possible partners, and ``set_id, n, component, band, other`` of the other sets and their partners.
+
+    A pair of which one set has more than ``PARTNERS`` has both its sets in the second frame.
+    """
+    busy = meets.groupBy("set_id").agg(F.sum("partners").alias("partners")).where(F.col("partners") > PARTNERS)
+    busy = land(busy.select("set_id"), "busy")
+    busy = checked(busy)
+    theirs = meets.join(busy, "set_id", "left_semi")
+    partners = meets.join(theirs.select(*_turned()).distinct(), ["component", "their", "band", "other"], "left_semi")
+    columns = ["set_id", "n", "component", "band", "other"]
+    return meets.join(busy, "set_id", "left_anti"), theirs.select(columns).union(partners.select(columns)).distinct()
+
+
+def _by_groups(members: DataFrame, meets: DataFrame) -> DataFrame:
+    """Pairs ``a, b, shared`` of sets in groups that meet, by the shingles of ``members`` that they share."""
+    meets = checked(land(meets.select("set_id", "component", "their", "other"), "few"), row_bytes=48)
     each = members.drop("n").join(meets, ["set_id", "component", "other"])
     left = each.where("component < their").select(
         "shingle", "component", "their", "band", "other", F.col("set_id").alias("a"), F.col("crowded").alias("crowded_a")
@@ -561,8 +590,9 @@ def _across(
 ) -> DataFrame:
     """Pairs ``a, b, shared`` of sets in different groups so far, enough of them to find all groups that are linked.
 
-    First a set meets bands of sizes by its prefix. What then lies in crowds is held against all other groups at once by its
-    whole set, then against single groups by the rarest shingles it shares, and against their members last.
+    First a set meets bands of sizes by its prefix, then groups. What lies in crowds or may have many partners is held against
+    all other groups at once by its whole set, then against single groups by the rarest shingles it shares, and against their
+    members last.
     """
     members = (
         shared.join(checked(groups, row_bytes=32), "set_id", "left")
@@ -572,13 +602,15 @@ def _across(
     mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low != high").select("shingle")
     calm, deep = _crowded(_open(land(members.join(mixed, "shingle", "left_semi"), "members"), percent), percent)
-    deep = land(deep, "deep")
+    few, many = _by_partners(_meets(calm, percent))
+    pairs = _by_groups(calm, few)
+    deep = land(deep.select(many.columns).union(many).distinct(), "deep")
     if not deep.limit(1).count():
-        return _by_groups(calm, percent)
+        return pairs
     sets, parts = _reaching(deep, rows, classes, order, size, percent)
-    pairs = _in_blocks(_asks(deep, sets, parts, percent), sets, parts, percent)
+    near = _in_blocks(_asks(deep, sets, parts, percent), sets, parts, percent)
     # the blocks have counted what the pair shares; partial overlaps of fragments settle it
-    return _by_groups(calm, percent).unionByName(pairs.withColumn("shared", F.lit(1 << 40)))
+    return pairs.unionByName(near.withColumn("shared", F.lit(1 << 40)))
 
 
 def ngram_jaccard_join(

@@ -93,6 +93,18 @@ def test_a_crowd_around_the_threshold(documents, seed, crowd_size, monkeypatch):
     assert found == expected
 
 
+@pytest.mark.parametrize("n", [60, 240])
+def test_pairs_around_the_threshold_grow_with_the_sets(documents, n, monkeypatch):
+    """Below a crowd, too, sets with many possible partners make no rows for all of these."""
+    monkeypatch.setattr(join, "CROWD", 10**6)
+    made, across = [], join._across
+    monkeypatch.setattr(join, "_across", lambda *a: made.append(across(*a)) or made[-1])
+    rows = crowd(5, n)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(documents(*rows)).collect()}
+    assert found == brute_force(rows)
+    assert made[0].count() <= 5 * n
+
+
 def test_defined_cases(documents):
     text = "One two THREE four five six seven"
     rows = [
