@@ -5,14 +5,15 @@ of high recall then propose more, overlapping each other: written-out and spaced
 with other separators or run together with more digits, phones without a plus. Every span, found or proposed, is described by
 its format, worked out after separators are taken out, and by its context.
 
-Gradient-boosted trees learn from a bounded sample: spans of the patterns are positive; negative are matches that failed
-their check, and a spoilt twin of every span (a wrong check digit, a part beyond 255, no domain). One half of the sample, by document,
-grows the trees; the other half calibrates: scores are turned into precision by isotonic regression, and a kind's
+Gradient-boosted trees learn from all labelled spans: spans of the patterns are positive; negative are matches that failed
+their check, and a spoilt twin of every span (a wrong check digit, a part beyond 255, no domain). One half of them, by document,
+grows the trees; the other half calibrates: scores, in ``GRID`` steps, are turned into precision by isotonic regression, and a kind's
 threshold is the least score whose precision reaches ``PRECISION``, one error counted beyond those seen. A kind
 with too few spans to show that adds none. Of overlapping proposals the best scored stays.
 
-Texts are read once; what is landed grows with the spans. The sample holds about ``SAMPLE`` rows of each kind and
-label, chosen by a hash of document and place.
+Texts are read once; what is landed grows with the spans. Spans with equal features are counted together and weighed by their
+number, so that each kind and label weighs the same. The values at which trees may part a feature are quantiles of
+all that grow them; only those values and the counts of each score step reach the driver.
 
 Defined cases: a null or empty text has no spans; a null id counts as any other; rows that repeat an id are judged one by
 one; a table without spans, or an empty one, trains nothing; the time spent on a text grows with its length,
@@ -29,15 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhour.llm import spans
 from tallyhour.llm.tables import land, own
 
 KINDS = ("email", "ip", "card", "phone")
-#: Training rows of each kind and label, about; half of them calibrate.
-SAMPLE = 2500
+#: Steps of a score in which spans are counted to find a threshold.
+GRID = 1 << 16
+#: Values, at most, at which trees may part a feature within a kind.
+CUTS = 16
 PRECISION = 0.98
 TREES = 12
 DEPTH = 4
@@ -278,33 +281,55 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(rows)
 
 
-def _sample(proposals: DataFrame, size: int) -> DataFrame:
-    """About ``size`` labelled rows of each kind and label, by a hash; ``held_out`` goes by document."""
-    labelled = proposals.where(F.col("label").isNotNull())
-    counts = {(r.kind, r.label): r.n for r in labelled.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = 1 << 40
-    place = F.pmod(F.xxhash64("doc_id", "start", "end", "kind", "label"), F.lit(slots))
-    limit = F.lit(0)
-    for (kind, label), n in counts.items():
-        share = min(slots, size * slots // n)
-        limit = F.when((F.col("kind") == kind) & (F.col("label") == label), F.lit(share)).otherwise(limit)
+def _labelled(proposals: DataFrame) -> DataFrame:
+    """``kind, label, held_out, features, n``: all labelled spans, equal ones together; ``held_out`` goes by document."""
     fold = F.pmod(F.hash(F.lit(7), "doc_id"), F.lit(2)) == 1
-    return labelled.where(place < limit).select(
-        "kind", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), fold.alias("held_out")
+    keys = ["kind", F.col("label").cast("double").alias("label"), fold.alias("held_out"), "features"]
+    return proposals.where(F.col("label").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cuts(training: DataFrame) -> list[list[float]]:
+    """For each feature the values that trees may part it at: quantiles within each kind."""
+    places = [k / CUTS for k in range(CUTS)]
+    found = (
+        training.select("kind", F.posexplode("features").alias("at", "value"))
+        .groupBy("kind", "at")
+        .agg(F.percentile_approx("value", places).alias("cuts"))
+        .select("at", F.explode("cuts").alias("cut"))
+        .groupBy("at")
+        .agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
     )
+    return [row.cuts for row in found.orderBy("at").collect()]
 
 
-def calibrated_threshold(scores: np.ndarray, labels: np.ndarray, precision: float) -> float | None:
-    """The least score from which isotonic precision reaches ``precision``, with one error more than was seen."""
+def _parted(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Features as one binary value for each cut, marked as such: trees then need no sample of rows to find their splits."""
+
+    def above(at: int, values: list[float]) -> Column:
+        return F.transform(F.array(*map(F.lit, values)), lambda cut: (F.col("features")[at] > cut).cast("double"))
+
+    width = sum(map(len, cuts))
+    marks = {"ml_attr": {"attrs": {"binary": [{"idx": k, "name": f"f{k}"} for k in range(width)]}, "num_attrs": width}}
+    return rows.withColumn("features", array_to_vector(F.concat(*map(above, range(len(cuts)), cuts))).alias("features", metadata=marks))
+
+
+def calibrated_threshold(
+    scores: np.ndarray, labels: np.ndarray, precision: float, counts: np.ndarray | None = None
+) -> float | None:
+    """The least score from which isotonic precision reaches ``precision``, with one error more than was seen.
+
+    With ``counts``, each score stands for so many rows, of which ``labels`` are positive.
+    """
     order = np.argsort(-scores, kind="stable")
-    scores, labels = scores[order], labels[order]
+    counts = np.ones(len(scores)) if counts is None else counts
+    scores, labels, counts = scores[order], labels[order], counts[order]
     blocks: list[list[float]] = []  # positives, rows and least score, by falling score
-    for score, label in zip(scores.tolist(), labels.tolist()):
+    for score, label, count in zip(scores.tolist(), labels.tolist(), counts.tolist()):
         if blocks and blocks[-1][2] == score:
             blocks[-1][0] += label
-            blocks[-1][1] += 1
+            blocks[-1][1] += count
         else:
-            blocks.append([label, 1, score])
+            blocks.append([label, count, score])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] <= blocks[-1][0] * blocks[-2][1]:
             hits, rows, least = blocks.pop()
             blocks[-1] = [blocks[-1][0] + hits, blocks[-1][1] + rows, least]
@@ -320,20 +345,33 @@ def calibrated_threshold(scores: np.ndarray, labels: np.ndarray, precision: floa
 
 
 def _scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    return scored.withColumn("step", F.floor(F.col("score") * GRID))
 
 
-def _fit(proposals: DataFrame, size: int, precision: float, trees: int, depth: int) -> tuple[GBTClassificationModel, dict[int, float]] | None:
-    """Boosted trees and each kind's threshold; None without rows of both labels to learn from."""
-    sample = land(_sample(proposals, size), "pii-sample").coalesce(4)
-    training = sample.where(~F.col("held_out"))
+def _fit(
+    proposals: DataFrame, precision: float, trees: int, depth: int
+) -> tuple[GBTClassificationModel, list[list[float]], dict[int, float]] | None:
+    """Boosted trees, the cuts of their features and each kind's threshold; None without rows of both labels to learn from."""
+    labelled = land(_labelled(proposals), "pii-labelled")
+    training = labelled.where(~F.col("held_out"))
     if training.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=12).fit(training)
-    judged = _scored(model, sample.where("held_out")).select("kind", "score", "label").toArrow()
-    kind, score, label = (judged.column(name).to_numpy() for name in ("kind", "score", "label"))
-    found = {k: calibrated_threshold(score[kind == k], label[kind == k], precision) for k in range(len(KINDS))}
-    return model, {k: threshold for k, threshold in found.items() if threshold is not None}
+    cuts = _cuts(training)
+    totals = training.groupBy("kind", "label").agg(F.sum("n").alias("total"))
+    mean = F.lit(totals.agg(F.avg("total")).first()[0])
+    weighed = training.join(F.broadcast(totals), ["kind", "label"]).withColumn("weight", F.col("n") * mean / F.col("total"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=12, weightCol="weight").fit(_parted(weighed, cuts))
+    judged = _scored(model, _parted(labelled.where("held_out"), cuts)).groupBy("kind", "step").agg(
+        F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")
+    )
+    judged = judged.toArrow()
+    kind, step, hits, n = (judged.column(name).to_numpy() for name in ("kind", "step", "hits", "n"))
+    found = {}
+    for k in range(len(KINDS)):
+        of = kind == k
+        found[k] = calibrated_threshold(step[of], hits[of], precision, n[of])
+    return model, cuts, {k: threshold for k, threshold in found.items() if threshold is not None}
 
 
 def _written(edges: list[tuple[int, int, int]]) -> str:
@@ -363,7 +401,6 @@ def personal_data(
     documents: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    sample: int = SAMPLE,
     precision: float = PRECISION,
     trees: int = TREES,
     depth: int = DEPTH,
@@ -380,13 +417,13 @@ def personal_data(
     measured = land(rows.mapInArrow(_measure, _MEASURES), "pii")
     proposals = measured.select("row_id", "doc_id", F.inline("proposals"))
     texts = measured.where(F.col("base").isNotNull()).drop("proposals")
-    fitted = _fit(proposals, sample, precision, trees, depth)
+    fitted = _fit(proposals, precision, trees, depth)
     if fitted:
-        model, thresholds = fitted
+        model, cuts, thresholds = fitted
         chosen = F.lit(False)
         for kind, threshold in thresholds.items():
-            chosen = chosen | ((F.col("kind") == kind) & (F.col("score") >= F.lit(threshold)))
-        open_ = proposals.where(F.col("label").isNull()).withColumn("features", array_to_vector("features"))
+            chosen = chosen | ((F.col("kind") == kind) & (F.col("step") >= F.lit(threshold)))
+        open_ = _parted(proposals.where(F.col("label").isNull()), cuts)
         accepted = (
             _scored(model, open_)
             .where(chosen)
