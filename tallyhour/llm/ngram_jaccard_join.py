@@ -20,6 +20,9 @@ does not count shingles with another hub, if a third of them. What step 1 leaves
 
 The result has the groups of all links: the connected components.
 
+Disk: shuffles and landed tables go as soon as what they were for is landed, and steps that need not see all sets or
+shingles at once run slice by slice, so the disk holds the landed tables and the shuffles of one step.
+
 Hashes have 64 bits. Equal signatures of different sets are found by a second signature
 and stop the run. Two shingles with one hash would need to fall into the texts of one candidate pair
 to matter.
@@ -36,12 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhour.llm import spans
 from tallyhour.llm.components import components
-from tallyhour.llm.tables import checked, land, own
+from tallyhour.llm.tables import checked, in_slices, land, own, passing, shuffles_freed
 
 SHINGLE = 5
 PERCENT = 75
@@ -60,6 +63,10 @@ PARTNERS = 4
 REACH_ROUNDS = 1
 #: Shingles of a block of sets that are held against each other in a task.
 BLOCK = 1 << 19
+#: Shingles of whole sets that are looked through together in a task.
+PART = 1 << 20
+#: Numbers of 64 bits, about 1 GB, that steps which need not see all sets or shingles at once shuffle at a time.
+SLICE = 1 << 27
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -236,19 +243,20 @@ def _spokes(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _segments(rows: DataFrame, order, size: int) -> DataFrame:
-    """``set_id, fragment, hashes`` of the sets of some rows."""
+    """``doc_id, set_id, fragment, hashes`` of the sets of some rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = order.value
         for batch in spans.thrifty(batches, "text"):
-            owners, fragments, parts, lengths = [], [], [], []
-            for hashes in _sets(batch, size):
+            ids, owners, fragments, parts, lengths = [], [], [], [], []
+            for doc_id, hashes in zip(batch.column("doc_id").to_pylist(), _sets(batch, size)):
                 if not len(hashes):
                     continue
                 set_id, _ = _signature(hashes)
                 where = places.fragment(hashes)
                 by_fragment = np.argsort(where, kind="stable")
                 present, counts = np.unique(where, return_counts=True)
+                ids += [doc_id] * len(present)
                 owners += [set_id] * len(present)
                 fragments += present.tolist()
                 lengths += counts.tolist()
@@ -258,22 +266,31 @@ def _segments(rows: DataFrame, order, size: int) -> DataFrame:
                 np.cumsum(lengths, out=bounds[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(ids, pa.int64()),
                         pa.array(owners, pa.int64()),
                         pa.array(fragments, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(bounds), spans.signed(np.concatenate(parts))),
                     ],
-                    names=["set_id", "fragment", "hashes"],
+                    names=["doc_id", "set_id", "fragment", "hashes"],
                 )
 
-    return rows.mapInArrow(run, "set_id long, fragment int, hashes array<long>")
+    return rows.mapInArrow(run, "doc_id long, set_id long, fragment int, hashes array<long>")
 
 
 def _segments_of(sets: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int) -> DataFrame:
     """``set_id, fragment, hashes`` of the sets named, each from one of its texts."""
-    keys = land(sets.select("set_id").distinct().join(classes.select("set_id", F.col("doc_id").alias("key")), "set_id"), "needed")
-    texts = rows.join(checked(keys.select(F.col("key").alias("doc_id")).distinct(), keys.count()), "doc_id", "left_semi")
-    segments = _segments(texts, order, size).join(keys.select("set_id"), "set_id", "left_semi")
-    return land(segments.dropDuplicates(["set_id", "fragment"]), "segments")
+    named = classes.select("set_id", F.col("doc_id").alias("key"), "copies")
+    keys = land(sets.select("set_id").distinct().join(named, "set_id"), "needed")
+
+    def cut(keys: DataFrame) -> DataFrame:
+        keys, n = keys.select(F.col("key").alias("doc_id"), "set_id"), keys.count()
+        texts = rows.join(checked(keys.select("doc_id").distinct(), n), "doc_id", "left_semi")
+        return _segments(texts, order, size).join(checked(keys, n, row_bytes=24), ["doc_id", "set_id"], "left_semi").drop("doc_id")
+
+    segments, repeated = cut(keys.where("copies = 1")), keys.where("copies > 1")
+    if repeated.limit(1).count():
+        segments = segments.unionByName(cut(repeated).dropDuplicates(["set_id", "fragment"]))
+    return land(segments, "segments")
 
 
 def _ceil_div(value: Column, by: int) -> Column:
@@ -315,19 +332,28 @@ def _links(
     pairs: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int, seen: int = 1
 ) -> DataFrame:
     """The pairs ``a, b`` that reach the threshold: overlaps per fragment, summed per pair."""
-    pairs = land(_promising(pairs, classes, percent, seen), "pairs")
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id")))
-    segments = _segments_of(ends, rows, classes, order, size)
-    left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("hashes").alias("hashes_a"))
-    right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("hashes").alias("hashes_b"))
-    partial = (
-        checked(pairs, row_bytes=48).join(left, "a")
-        .join(right, ["b", "fragment"])
-        .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("hashes_a", "hashes_b")).alias("overlap"))
-    )
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    union = F.col("n_a") + F.col("n_b") - F.col("overlap")
-    return land(total.where(100 * F.col("overlap") >= percent * union).select("a", "b"), "links")
+    with passing(rows.sparkSession):
+        pairs = land(_promising(pairs, classes, percent, seen), "pairs")
+        ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id")))
+        segments = _segments_of(ends, rows, classes, order, size)
+        weight = pairs.agg(F.sum(F.col("n_a") + F.col("n_b"))).first()[0] or 0
+        sized = checked(pairs, row_bytes=48)
+
+        def overlaps(segments: DataFrame) -> DataFrame:
+            left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("hashes").alias("hashes_a"))
+            right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("hashes").alias("hashes_b"))
+            partial = (
+                sized.join(left, "a")
+                .join(right, ["b", "fragment"])
+                .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("hashes_a", "hashes_b")).alias("overlap"))
+            )
+            return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+
+        slices = min(order.value.fragments, -(-weight // SLICE))
+        partial = in_slices(overlaps, segments, F.col("fragment"), slices, "overlaps")
+        total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+        union = F.col("n_a") + F.col("n_b") - F.col("overlap")
+        return land(total.where(100 * F.col("overlap") >= percent * union).select("a", "b"), "links", stays=True)
 
 
 def _band(n: Column) -> Column:
@@ -379,44 +405,85 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
     return members
 
 
-def _reaching(
-    members: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int
-) -> tuple[DataFrame, DataFrame]:
+def _mixed(parts: pa.Table) -> pa.Table:
+    """Of ``set_id, fragment, component, hashes`` of a fragment: what sets of several groups have, and how many sets have it."""
+    lists = parts.column("hashes").combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    flat = lists.flatten().to_numpy()
+    by_hash = np.argsort(flat, kind="stable")
+    flat, owner = flat[by_hash], owner[by_hash]
+    component = parts.column("component").to_numpy()[owner]
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    first, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    often = np.diff(np.append(first, len(flat)))
+    shared = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
+    kept = np.flatnonzero(shared[run])
+    kept = kept[np.argsort(owner[kept], kind="stable")]
+    present, lengths = np.unique(owner[kept], return_counts=True)
+    bounds = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+    return pa.table(
+        {
+            "set_id": parts.column("set_id").to_numpy()[present],
+            "fragment": parts.column("fragment").to_numpy()[present],
+            "hashes": pa.ListArray.from_arrays(bounds, pa.array(flat[kept])),
+            "often": pa.ListArray.from_arrays(bounds, pa.array(often[run[kept]].astype(np.int32))),
+        }
+    )
+
+
+def _reaching(members: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the sets of ``members``, those whose whole sets leave a link with another group possible.
 
-    Gives ``set_id, n, component, most`` of each, ``most`` being the largest partner it may have, and ``set_id,
-    shingle`` of what it shares with sets of other groups; the rest of it no partner has. A copy that was changed too
-    much to be near any other shares too little, though it may have much in common with each: it is known
-    without being held against them. What fails does not count for others, so the rest is judged anew. Every
+    Gives ``set_id, n, component, shared, most, ordered`` of each, ``most`` being the largest partner it may have, and
+    ``ordered`` what it shares with sets of other groups, as ``often, hashes``, rarest first; the rest of it no partner has. A
+    copy that was changed too much to be near any other shares too little, though it may have much in common with each: it is
+    known without being held against them. What fails does not count for others, so the rest is judged anew.
+
+    Whole sets meet in fragments of the hashes alone, so that no row is made for a shingle. Every
     round grows with the shingles of these sets, not with pairs.
     """
     sets = land(members.select("set_id", "n", "component").distinct(), "reaching")
-    parts = _segments_of(sets, rows, classes, order, size).select("set_id", F.explode("hashes").alias("shingle"))
+    weight = sets.agg(F.sum("n")).first()[0]
+    slices = -(-weight // SLICE)
+    evenly = GlobalOrder(np.zeros(1, np.int64), max(FRAGMENTS, -(-weight // PART)))
+    parts = _segments_of(sets, rows, classes, rows.sparkSession.sparkContext.broadcast(evenly), size)
     for _ in range(REACH_ROUNDS):
-        held = parts.join(sets.select("set_id", "component"), "set_id")
-        mixed = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        shared = parts.join(mixed.where("low != high").select("shingle"), "shingle", "left_semi")
-        counted = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared")).join(sets.drop("most", "shared"), "set_id")
+        held = checked(sets.select("set_id", "component"), row_bytes=32)
+
+        def shared(parts: DataFrame, held: DataFrame = held) -> DataFrame:
+            schema = "set_id long, fragment int, hashes array<long>, often array<int>"
+            named = parts.select("set_id", "fragment", "hashes").join(held, "set_id")
+            return named.groupBy("fragment").applyInArrow(_mixed, schema)
+
+        parts = in_slices(shared, parts, F.col("fragment"), slices, "whole")
+        counted = parts.groupBy("set_id").agg(F.sum(F.size("hashes")).alias("shared")).join(sets.drop("most", "shared"), "set_id")
         most = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n")
         sets = land(
             counted.select("set_id", "n", "component", "shared", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n")),
             "reach",
         )
-        parts = land(shared.join(sets.select("set_id"), "set_id", "left_semi"), "whole")
-    return sets, parts
+        parts = parts.join(checked(sets.select("set_id")), "set_id", "left_semi")
 
+    def ordered(parts: DataFrame) -> DataFrame:
+        zipped = F.flatten(F.collect_list(F.arrays_zip("often", "hashes")))
+        return parts.groupBy("set_id").agg(F.sort_array(zipped).alias("ordered"))
 
-def _asks(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    return in_slices(ordered, parts, F.xxhash64("set_id"), slices, "ordered").join(checked(sets, row_bytes=48), "set_id")
+
+
+def _asks(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """``set_id, their``: sets with the groups they may have a link in, each pair of groups asked from its smaller side.
 
-    The order is now exact: by how many of these sets have a shingle, and what no other group has comes first. Two sets
+    The order is now exact: by how many of the sets of ``members`` have a shingle, and what no other group has comes first. Two sets
     that share enough must meet in the first shingles of both, as many as either may miss, so a set meets
     others by the rarest of what it shares. Sizes are told apart by bands, as the fewer a set may miss the nearer
     its partner's size.
     """
+    sets = whole.drop("ordered")
     ranges = sets.groupBy(_band(F.col("n")).alias("other")).agg(F.min("n").alias("least"))
     smallest = F.greatest(F.col("least"), _ceil_div(percent * F.col("n"), 100))
-    depth = (F.col("n") - _least_overlap(F.col("n"), smallest, percent) + 1).alias("depth")
+    depth = (F.col("shared") - _least_overlap(F.col("n"), smallest, percent) + 1).cast("int").alias("depth")
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     wanted = (
         members.select("set_id", "band", "other").distinct()
@@ -424,12 +491,14 @@ def _asks(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -
         .join(F.broadcast(ranges), "other")
         .where("least <= most")
         .join(sizes, "component")
-        .select("set_id", "n", "component", "size", "most", "band", "other", depth, (F.col("n") - F.col("shared")).alias("alone"))
+        .select("set_id", "n", "component", "size", "most", "band", "other", depth)
+        .where("depth > 0")
     )
-    often = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    by_place = Window.partitionBy("set_id").orderBy("often", "shingle")
-    placed = parts.join(often, "shingle").select("set_id", "shingle", F.row_number().over(by_place).alias("place"))
-    first = land(placed.join(wanted, "set_id").where("alone + place <= depth").drop("alone", "place", "depth"), "first")
+    wanted = land(wanted, "wanted")
+    deepest = wanted.groupBy("set_id").agg(F.max("depth").alias("deepest"))
+    placed = whole.join(deepest, "set_id").select("set_id", F.posexplode(F.slice("ordered.hashes", F.lit(1), F.col("deepest"))))
+    placed = placed.select("set_id", F.col("pos").alias("place"), F.col("col").alias("shingle"))
+    first = land(placed.join(wanted, "set_id").where("place < depth").drop("place", "depth"), "first")
     theirs = first.groupBy(
         "shingle", F.col("component").alias("their"), F.col("size").alias("their_size"),
         F.col("band").alias("other"), F.col("other").alias("band"),
@@ -441,17 +510,14 @@ def _asks(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -
     return land(met.select("set_id", "their").distinct(), "asks")
 
 
-def _in_blocks(asks: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(asks: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """``a, b`` for each set and group asked: the nearest of the group's sets, if it reaches the threshold.
 
     Askers and members of a group are cut into blocks of a bounded number of shingles, and meet block by block;
     what they share is counted in arrays, so no row is made for a pair that is not linked. Members of a
     group are linked already, so one link with it is as good as all.
     """
-    whole = land(
-        parts.groupBy("set_id").agg(F.collect_list("shingle").alias("hashes")).join(sets.select("set_id", "n", "component"), "set_id"),
-        "arrays",
-    )
+    whole = whole.select("set_id", "n", "component", F.col("ordered.hashes").alias("hashes"))
     asking = asks.join(whole.drop("component"), "set_id")
     weight = F.ceil(F.sum(F.size("hashes")) / BLOCK).cast("int")
     askers = asking.groupBy("their").agg(weight.alias("askers"))
@@ -507,14 +573,15 @@ def _crowded(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ``crowded``, how many were taken out of the set. The other pairs lie among the second frame's sets.
     """
     crowds = members.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"))
-    crowds = land(crowds.where(F.col("groups") > CROWD).select("shingle", F.lit(True).alias("in_crowd")), "crowds")
+    crowds = checked(land(crowds.where(F.col("groups") > CROWD).select("shingle"), "crowds"))
     ranges = F.broadcast(members.groupBy(F.col("band").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most")))
     _, needed = _least_over(F.col("n"), F.col("least"), F.col("most"), percent)
-    held = members.join(crowds.select("shingle"), "shingle", "left_semi").groupBy("set_id", "n", "other").agg(
+    held = members.join(crowds, "shingle", "left_semi").groupBy("set_id", "n", "other").agg(
         F.count(F.lit(1)).alias("crowded")
     )
     held = land(held.join(ranges, "other").select("set_id", "other", "crowded", (F.col("crowded") >= needed).alias("deep")), "crowded")
-    calm = members.join(crowds.select("shingle"), "shingle", "left_anti").join(held.drop("deep"), ["set_id", "other"], "left")
+    held = checked(held, row_bytes=32)
+    calm = members.join(crowds, "shingle", "left_anti").join(held.drop("deep"), ["set_id", "other"], "left")
     deep = members.join(held.where("deep").select("set_id", "other"), ["set_id", "other"], "left_semi")
     return calm.withColumn("crowded", F.coalesce("crowded", F.lit(0))), deep
 
@@ -528,16 +595,22 @@ def _meets(members: DataFrame, percent: int) -> DataFrame:
     theirs = [F.col("component").alias("their"), F.col("band").alias("other"), F.col("other").alias("band")]
     ranges = members.groupBy(*theirs[:2]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     possible, needed = _least_over(F.col("n"), F.col("least"), F.col("most"), percent)
-    meets = (
-        members.join(members.select("shingle", *theirs).distinct(), ["shingle", "band", "other"])
-        .where("component != their")
-        .groupBy("set_id", "n", "crowded", "component", "band", "their", "other")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .join(ranges, ["their", "other"])
-        .where(possible & (F.col("shared") + F.col("crowded") >= needed))
-        .select("set_id", "n", "component", "band", "their", "other")
-    )
-    meets = land(meets, "meets")
+    met, slices = members.select("shingle", *theirs).distinct(), -(-4 * members.count() // SLICE)
+    if slices > 1:
+        met = land(met, "met")
+
+    def judged(members: DataFrame) -> DataFrame:
+        return (
+            members.join(met, ["shingle", "band", "other"])
+            .where("component != their")
+            .groupBy("set_id", "n", "crowded", "component", "band", "their", "other")
+            .agg(F.count(F.lit(1)).alias("shared"))
+            .join(ranges, ["their", "other"])
+            .where(possible & (F.col("shared") + F.col("crowded") >= needed))
+            .select("set_id", "n", "component", "band", "their", "other")
+        )
+
+    meets = in_slices(judged, members, F.xxhash64("set_id"), slices, "meets")
     back = meets.groupBy(*_turned()).agg(F.count(F.lit(1)).alias("partners"))
     return land(meets.join(back, ["component", "their", "band", "other"]), "mutual")
 
@@ -585,32 +658,31 @@ def _by_groups(members: DataFrame, meets: DataFrame) -> DataFrame:
     )
 
 
-def _across(
-    shared: DataFrame, groups: DataFrame, rows: DataFrame, classes: DataFrame, order, size: int, percent: int
-) -> DataFrame:
+def _across(shared: DataFrame, groups: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs ``a, b, shared`` of sets in different groups so far, enough of them to find all groups that are linked.
 
     First a set meets bands of sizes by its prefix, then groups. What lies in crowds or may have many partners is held against
     all other groups at once by its whole set, then against single groups by the rarest shingles it shares, and against their
     members last.
     """
-    members = (
-        shared.join(checked(groups, row_bytes=32), "set_id", "left")
-        .join(_sizes(classes).withColumnRenamed("n_shingles", "n"), "set_id")
-        .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"), _band(F.col("n")).alias("band"))
-    )
-    mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("low != high").select("shingle")
-    calm, deep = _crowded(_open(land(members.join(mixed, "shingle", "left_semi"), "members"), percent), percent)
-    few, many = _by_partners(_meets(calm, percent))
-    pairs = _by_groups(calm, few)
-    deep = land(deep.select(many.columns).union(many).distinct(), "deep")
-    if not deep.limit(1).count():
-        return pairs
-    sets, parts = _reaching(deep, rows, classes, order, size, percent)
-    near = _in_blocks(_asks(deep, sets, parts, percent), sets, parts, percent)
-    # the blocks have counted what the pair shares; partial overlaps of fragments settle it
-    return pairs.unionByName(near.withColumn("shared", F.lit(1 << 40)))
+    with passing(rows.sparkSession):
+        members = (
+            shared.join(checked(groups, row_bytes=32), "set_id", "left")
+            .join(_sizes(classes).withColumnRenamed("n_shingles", "n"), "set_id")
+            .select("shingle", "set_id", "n", F.coalesce("component", "set_id").alias("component"), _band(F.col("n")).alias("band"))
+        )
+        mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        mixed = mixed.where("low != high").select("shingle")
+        calm, deep = _crowded(_open(land(members.join(mixed, "shingle", "left_semi"), "members"), percent), percent)
+        few, many = _by_partners(_meets(calm, percent))
+        pairs = _by_groups(calm, few)
+        deep = land(deep.select(many.columns).union(many).distinct(), "deep")
+        if deep.limit(1).count():
+            whole = _reaching(deep, rows, classes, size, percent)
+            near = _in_blocks(_asks(deep, whole, percent), whole, percent)
+            # the blocks have counted what the pair shares; partial overlaps of fragments settle it
+            pairs = pairs.unionByName(near.withColumn("shared", F.lit(1 << 40)))
+        return land(pairs, "across", stays=True)
 
 
 def ngram_jaccard_join(
@@ -632,35 +704,41 @@ def ngram_jaccard_join(
     )
     summaries = land(_summaries(rows, size, sketch), "summaries")
     counts = np.zeros(sketch, np.int64)
-    slots = summaries.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    with shuffles_freed(spark):
+        slots = summaries.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
     order = spark.sparkContext.broadcast(GlobalOrder(counts, fragments))
 
     sets = summaries.where("slot is null").drop("slot", "n")
     known = sets.where("set_id is not null and doc_id is not null")
-    classes = land(
-        known.groupBy("set_id").agg(
-            F.min("doc_id").alias("doc_id"),
-            F.min("n_shingles").alias("n_shingles"),
-            (F.min("second") != F.max("second")).alias("clash"),
-        ),
-        "classes",
+    by_id = known.groupBy("set_id", "doc_id").agg(
+        F.min("n_shingles").alias("n_shingles"),
+        F.min("second").alias("low"),
+        F.max("second").alias("high"),
+        F.count(F.lit(1)).alias("copies"),
     )
-    if classes.where("clash").limit(1).count():
-        raise RuntimeError("two shingle sets have one signature; change the hash")
-
-    prefixes = _prefix_rows(rows.where("doc_id is not null"), order, size, percent)
-    members = land(
-        prefixes.repartition(F.col("shingle")).sortWithinPartitions("shingle", "set_id").mapInArrow(
-            _shared, "shingle long, set_id long"
-        ),
-        "shared",
+    classes = by_id.groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "copies")).alias("least"),
+        F.min("n_shingles").alias("n_shingles"),
+        (F.min("low") != F.max("high")).alias("clash"),
     )
-    links = _links(_spokes(members, classes, percent), rows, classes, order, size, percent, seen=3)
-    groups = components(links, "set_id")
-    more = _links(_across(members, groups, rows, classes, order, size, percent), rows, classes, order, size, percent)
-    if more.limit(1).count():
-        groups = components(links.union(more), "set_id")
+    classes = land(classes.select("set_id", "least.doc_id", "least.copies", "n_shingles", "clash"), "classes")
+    with passing(spark), shuffles_freed(spark):
+        if classes.where("clash").limit(1).count():
+            raise RuntimeError("two shingle sets have one signature; change the hash")
+        prefixes = _prefix_rows(rows.where("doc_id is not null"), order, size, percent)
+        members = land(
+            prefixes.repartition(F.col("shingle")).sortWithinPartitions("shingle", "set_id").mapInArrow(
+                _shared, "shingle long, set_id long"
+            ),
+            "shared",
+        )
+        links = _links(_spokes(members, classes, percent), rows, classes, order, size, percent, seen=3)
+        groups = components(links, "set_id")
+        more = _links(_across(members, groups, rows, classes, size, percent), rows, classes, order, size, percent)
+        if more.limit(1).count():
+            groups = components(links.union(more), "set_id")
+        groups = land(groups, "linked", stays=True)
 
     named = classes.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

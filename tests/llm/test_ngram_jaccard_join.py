@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from tallyhour.llm import ngram_jaccard_join as join
 from tallyhour.llm.components import components
 from tallyhour.llm.ngram_jaccard_join import ngram_jaccard_join
+from tallyhour.session import shared_folder
 
 
 def brute_force(rows):
@@ -105,6 +108,44 @@ def test_pairs_around_the_threshold_grow_with_the_sets(documents, n, monkeypatch
     assert made[0].count() <= 5 * n
 
 
+@pytest.mark.parametrize("seed, crowd_size", [(6, 64), (7, 3)])
+def test_slices_of_any_number_find_the_same_groups(documents, seed, crowd_size, monkeypatch):
+    monkeypatch.setattr(join, "CROWD", crowd_size)
+    monkeypatch.setattr(join, "SLICE", 3000)
+    monkeypatch.setattr(join, "PART", 500)
+    rows = crowd(seed, 120)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(documents(*rows)).collect()}
+    assert found == brute_force(rows)
+
+
+def test_the_disk_is_given_back(spark, documents):
+    """No shuffle file outlives the step that made it, and of what is landed only what the result is made of stays."""
+    jvm, shared = spark.sparkContext._jvm, Path(shared_folder(spark).removeprefix("file:"))
+
+    def shuffled():
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, there = shuffled(), set(shared.glob("tallyhour/*"))
+    result = ngram_jaccard_join(documents(*crowd(8, 60)))
+    stays = {path.name.rsplit("-", 1)[0] for path in set(shared.glob("tallyhour/*")) - there}
+    assert stays == {"llm-summaries", "llm-classes", "llm-linked"}
+    deadline = time.time() + 10
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)  # files are deleted in the background
+    assert not shuffled() - before
+    assert result.count() == 60
+
+
+def test_texts_that_share_an_id_are_told_apart_by_their_sets(documents):
+    """A set is cut once into its fragments, whichever rows repeat its id."""
+    words = [f"w{k}" for k in range(60)]
+    one, two, three = (" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in (10, 11, 40))
+    rows = [(5, one), (5, two), (3, two), (5, one), (8, three), (8, three), (9, " ".join(words[:30])), (5, " ".join(words[:30]))]
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(documents(*rows)).collect()}
+    assert found == {(5, 56, 3), (3, 56, 3), (8, 56, 8), (9, 26, 5), (5, 26, 5)}
+
+
 def test_defined_cases(documents):
     text = "One two THREE four five six seven"
     rows = [
