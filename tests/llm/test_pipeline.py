@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from test_ngram_jaccard_join import brute_force
+from test_ngram_jaccard_join import brute_force, crowd
 from test_quality_rules import base
 
 import __spark_entry__ as contract
 from tallyhour.llm.tables import table
+from tallyhour.session import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,13 @@ def test_columns_of_any_name_pass_through(spark, documents):
         found = stage(spark, docs, SF)
         assert found.columns == docs.columns
         assert {(r._row_name, r["copy"], r.copies, r.order_key) for r in found.collect()} <= {("mine", 7, 8, "k")}, name
+
+
+def test_near_duplicates_leave_only_lists_of_names(spark, documents):
+    """Sets, prefixes and parts of them are deleted once the groups are landed."""
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    landed = lambda: set(shared.glob("tallyhour/*"))
+    there = landed()
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(*crowd(9, 40)), SF)
+    assert {path.name.rsplit("-", 1)[0] for path in landed() - there} <= {"llm-groups", "llm-named", "llm-dropped", "llm-repeated"}
+    assert 0 < kept.count() < 40
