@@ -65,7 +65,7 @@ REACH_ROUNDS = 1
 BLOCK = 1 << 19
 #: Shingles of whole sets that are looked through together in a task.
 PART = 1 << 20
-#: Numbers of 64 bits, about 1 GB, that steps which need not see all sets or shingles at once shuffle at a time.
+#: Shingles, or numbers of as many bytes, that steps which need not see all sets or shingles at once take up at a time.
 SLICE = 1 << 27
 
 
